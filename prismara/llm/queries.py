@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id
 from .common import id_fold, table
 from .decontaminate import contamination
+from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .sharding import ring_shards
 
@@ -19,6 +20,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -47,6 +52,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_ring_shards": op10_ring_shards,
@@ -77,7 +83,7 @@ WITH doc AS (
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
-""".replace("\\\\", "\\")
+"""
 
 
 def oracle_sql() -> dict[str, str]:
