@@ -13,6 +13,22 @@ from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .sharding import ring_shards
+from .url_filter import Rule, filter_urls
+
+
+#: The contract's URL rules.
+URL_RULES = [
+    Rule.parse("block", "com/en/"),
+    Rule.parse("allow", "example.com/en/7"),
+    Rule.parse("allow", "net/de/"),
+    Rule.parse("block", "example.net/de/8"),
+    Rule.parse("block", "org/es/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "margin")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +67,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op3_mix_sources": op3_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontaminate": op8_decontaminate,
