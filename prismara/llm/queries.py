@@ -11,6 +11,7 @@ from . import language_id
 from .common import id_fold, table
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
+from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .sharding import ring_shards
 from .url_filter import Rule, filter_urls
@@ -31,6 +32,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "margin")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).drop("text", "matches")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +74,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_license_scan": op2_license_scan,
         "op3_mix_sources": op3_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontaminate": op8_decontaminate,
