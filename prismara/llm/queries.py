@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .secret_scan import scan_secrets
 from .sharding import ring_shards
 from .url_filter import Rule, filter_urls
 
@@ -42,6 +43,20 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs).drop("text")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = joined(F.filter("secrets", lambda x: x["kind"] != "format"))
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -76,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_license_scan": op2_license_scan,
         "op3_mix_sources": op3_mix_sources,
+        "op4_secret_scan": op4_secret_scan,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
