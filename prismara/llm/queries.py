@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, quality_boost
 from .common import id_fold, table
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
@@ -57,6 +57,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op5_quality_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"))
+    trees = quality_boost.train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return quality_boost.score_quality(docs, trees).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -92,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_mix_sources": op3_mix_sources,
         "op4_secret_scan": op4_secret_scan,
+        "op5_quality_boost": op5_quality_boost,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
