@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .quality_rules import judge_quality
 from .secret_scan import scan_secrets
 from .sharding import ring_shards
 from .url_filter import Rule, filter_urls
@@ -63,6 +64,10 @@ def op5_quality_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_boost.score_quality(docs, trees).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op4_secret_scan": op4_secret_scan,
         "op5_quality_boost": op5_quality_boost,
+        "op6_quality_rules": op6_quality_rules,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
