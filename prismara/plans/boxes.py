@@ -305,9 +305,9 @@ def panel_grid_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 O_PANEL = f"""
-WITH d AS (SELECT *, {_AT} AS pos_at FROM ({DET})), o AS (SELECT a.media, count(*) AS overlaps FROM d a JOIN d b ON a.media = b.media AND a.pos_at < b.pos_at AND {o_iou('a', 'b')} > 0 GROUP BY 1),
+WITH d AS (SELECT *, {_AT} AS pos_at FROM ({DET})), o AS (SELECT a.media, count(*) AS k FROM d a JOIN d b ON a.media = b.media AND a.pos_at < b.pos_at AND {o_iou('a', 'b')} > 0 GROUP BY 1),
 p AS (SELECT media, count(*) AS n, sum((x2 - x1) * (y2 - y1)) / {WIDTH * HEIGHT} AS cover FROM d GROUP BY 1)
-SELECT p.media, n, coalesce(overlaps, 0) AS overlaps, round(cover, 6) AS cover, coalesce(overlaps, 0) < floor(n / 2) AND cover > 0.5 AND cover < 1.5 AS panels FROM p LEFT JOIN o ON p.media = o.media
+SELECT p.media, n, coalesce(k, 0) AS "overlaps", round(cover, 6) AS cover, coalesce(k, 0) < floor(n / 2) AND cover > 0.5 AND cover < 1.5 AS panels FROM p LEFT JOIN o ON p.media = o.media
 """
 
 
