@@ -295,19 +295,20 @@ O_SPLITS = f"SELECT media, (px + n) / 2.0 AS split FROM (SELECT *, lead(px) OVER
 
 
 def panel_grid_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlapping pairs and covered share of each media's boxes, and whether they may be panels."""
+    """Overlapping pairs and covered area of each media's boxes, and whether they may be panels."""
     d = VR.detections(spark, sf).withColumn("at", F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
     b = d.select("media", *[F.col(c).alias("r_" + c) for c in ("at", "x1", "y1", "x2", "y2")])
     over = d.join(b, "media").where((F.col("at") < F.col("r_at")) & (G.iou(G.box(), G.box("r_")) > 0)).groupBy("media").agg(F.count(F.lit(1)).alias("overlaps"))
-    per = d.groupBy("media").agg(F.count(F.lit(1)).alias("n"), (F.sum(G.area(G.box())) / (WIDTH * HEIGHT)).alias("cover"))
+    per = d.groupBy("media").agg(F.count(F.lit(1)).alias("n"), F.sum(G.area(G.box())).alias("covered"))
+    cover = F.col("covered") / (WIDTH * HEIGHT)
     out = per.join(over, "media", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)).cast("long"))
-    return out.select("media", "n", "overlaps", F.round("cover", 6).alias("cover"), ((F.col("overlaps") < F.floor(F.col("n") / 2)) & (F.col("cover") > 0.5) & (F.col("cover") < 1.5)).alias("panels"))
+    return out.select("media", "n", "overlaps", "covered", ((F.col("overlaps") < F.floor(F.col("n") / 2)) & (cover > 0.5) & (cover < 1.5)).alias("panels"))
 
 
 O_PANEL = f"""
 WITH d AS (SELECT *, {_AT} AS pos_at FROM ({DET})), o AS (SELECT a.media, count(*) AS k FROM d a JOIN d b ON a.media = b.media AND a.pos_at < b.pos_at AND {o_iou('a', 'b')} > 0 GROUP BY 1),
-p AS (SELECT media, count(*) AS n, sum((x2 - x1) * (y2 - y1)) / {WIDTH * HEIGHT} AS cover FROM d GROUP BY 1)
-SELECT p.media, n, coalesce(k, 0) AS "overlaps", round(cover, 6) AS cover, coalesce(k, 0) < floor(n / 2) AND cover > 0.5 AND cover < 1.5 AS panels FROM p LEFT JOIN o ON p.media = o.media
+p AS (SELECT media, count(*) AS n, CAST(sum((x2 - x1) * (y2 - y1)) AS BIGINT) AS covered, sum((x2 - x1) * (y2 - y1)) / {WIDTH * HEIGHT} AS cover FROM d GROUP BY 1)
+SELECT p.media, n, coalesce(k, 0) AS "overlaps", covered, coalesce(k, 0) < floor(n / 2) AND cover > 0.5 AND cover < 1.5 AS panels FROM p LEFT JOIN o ON p.media = o.media
 """
 
 
