@@ -43,15 +43,15 @@ def iou_best_match(spark: SparkSession, sf: str) -> DataFrame:
     order = F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
     left = d.where("l_partkey % 2 = 1")
     right = d.where("l_partkey % 2 = 0").withColumn("o", order).select("media", "o", "x1", "y1", "x2", "y2")
-    best = joins.iou_best(left, right, ["media"], DKEY, "o", lambda v: v > G.IOU_KEYPOINTS)
+    best = joins.iou_best(left, right, ["media"], [*DKEY, "x2"], "o", lambda v: v > G.IOU_KEYPOINTS)
     return best.select(*DKEY, F.col("r_o").alias("match"), F.round("iou", 6).alias("iou"))
 
 
 O_BEST = f"""
 WITH d AS ({DET}), l AS (SELECT * FROM d WHERE l_partkey % 2 = 1), r AS (SELECT *, frame * 1000000000 + l_partkey * 10000 + l_suppkey AS o FROM d WHERE l_partkey % 2 = 0),
-p AS (SELECT l.media, l.frame, l.l_partkey, l.l_suppkey, r.o, {o_iou('l', 'r')} AS v FROM l JOIN r USING (media)),
-b AS (SELECT *, row_number() OVER (PARTITION BY {DKEYS} ORDER BY v DESC, o) AS n FROM p)
-SELECT l.media, l.frame, l.l_partkey, l.l_suppkey, CASE WHEN v > 0.3 THEN o END AS match, CASE WHEN v > 0.3 THEN round(v, 6) END AS iou FROM l LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (media, frame, l_partkey, l_suppkey)
+p AS (SELECT l.media, l.frame, l.l_partkey, l.l_suppkey, l.x2, r.o, {o_iou('l', 'r')} AS v FROM l JOIN r USING (media)),
+b AS (SELECT *, row_number() OVER (PARTITION BY {DKEYS}, x2 ORDER BY v DESC, o) AS n FROM p)
+SELECT l.media, l.frame, l.l_partkey, l.l_suppkey, CASE WHEN v > 0.3 THEN o END AS match, CASE WHEN v > 0.3 THEN round(v, 6) END AS iou FROM l LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (media, frame, l_partkey, l_suppkey, x2)
 """
 
 
@@ -178,13 +178,13 @@ O_GENERAL = f"SELECT media, track, frame, l_partkey, l_suppkey, score FROM (SELE
 
 
 def best_candidate_body(spark: SparkSession, sf: str) -> DataFrame:
-    d = KP(VR.detections(spark, sf)).withColumn("at", F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
+    d = KP(VR.detections(spark, sf)).withColumn("at", F.col("media") * 10_000_000_000 + F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
     d = d.where(G.waist_visible(F.col("kps"))).drop("kps")
     best = select.best_rows(d, ["track", "x1"], 1000.0 / G.area(G.box()), "at")
     return best.select("track", "x1", "media", "frame", "l_partkey", "l_suppkey", F.round("score", 6).alias("score"))
 
 
-O_BODY = f"SELECT track, x1, media, frame, l_partkey, l_suppkey, round(s, 6) AS score FROM (SELECT *, 1000.0 / ((x2 - x1) * (y2 - y1)) AS s, row_number() OVER (PARTITION BY track, x1 ORDER BY 1000.0 / ((x2 - x1) * (y2 - y1)) DESC, {_AT}) AS n FROM ({DET}) WHERE {_WAIST}) WHERE n = 1"
+O_BODY = f"SELECT track, x1, media, frame, l_partkey, l_suppkey, round(s, 6) AS score FROM (SELECT *, 1000.0 / ((x2 - x1) * (y2 - y1)) AS s, row_number() OVER (PARTITION BY track, x1 ORDER BY 1000.0 / ((x2 - x1) * (y2 - y1)) DESC, media * 10000000000 + {_AT}) AS n FROM ({DET}) WHERE {_WAIST}) WHERE n = 1"
 
 
 def best_candidate_face(spark: SparkSession, sf: str) -> DataFrame:
