@@ -77,9 +77,9 @@ def index_tokens(tokens: np.ndarray, frequent: np.ndarray, t: Fraction) -> np.nd
     often = (frequent[at >> 3] >> (at & 7)) & 1 == 1
     rare, often = tokens[~often], tokens[often]
     prefix = n - -(-n * t.numerator // t.denominator) + 1
-    # the largest (n - e) (1-t)/2t + e + 2 over e <= n (1 - t) tokens in this set only
-    e, slope = n * (1 - t), (1 - t) / (2 * t)
-    extended = int((n - e) * slope + e) + 2
+    # the largest D + e + 2 over e <= n (1 - t) tokens in this set only, where D <= (n - e) (1-t)/t tokens each block a gap
+    e, slope = n * (1 - t), (1 - t) / t
+    extended = int(max((n - e) * slope + e, n * slope)) + 2
     singles = rare[:prefix]
     pairs = often[: max(0, extended - len(rare))]
     return np.concatenate((mix(singles + _U(1)), mix(pairs[:-1] * _U(0x9E3779B97F4A7C15) + mix(pairs[1:]))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prismara.llm import language_id, quality_boost, queries, secret_scan, sharding
 from prismara.llm.components import connected_components
 from prismara.llm.decontaminate import contamination
-from prismara.llm.jaccard_join import jaccard_components, keep_one
+from prismara.llm.jaccard_join import MAP_BITS, index_tokens, jaccard_components, keep_one
 from prismara.llm.license_scan import scan_licenses
 from prismara.llm.mixing import mix_sources, mixed_pieces
 from prismara.llm.quality_rules import judge_quality
@@ -318,6 +318,40 @@ def test_jaccard_on_chains_and_borders(spark):
         assert got == groups_truth(rows)
 
 
+def test_jaccard_index_meets_every_linked_pair():
+    """All pairs of small sets with similarity 0.8 or more share an index token, though every token is frequent."""
+    from fractions import Fraction
+    from itertools import combinations, product
+
+    import numpy as np
+
+    t, frequent = Fraction("0.8"), np.full(1 << (MAP_BITS - 3), 255, dtype=np.uint8)
+    lost = 0
+    for size in range(4, 16):
+        union = (np.arange(1, size + 1, dtype=np.uint64)) << np.uint64(40)
+        for alone in range(size // 5 + 1):
+            for places in combinations(range(size), alone):
+                for sides in product((0, 1), repeat=alone):
+                    a, b = (np.delete(union, [p for p, s in zip(places, sides, strict=True) if s == side]) for side in (0, 1))
+                    lost += not len(np.intersect1d(index_tokens(a, frequent, t), index_tokens(b, frequent, t)))
+    assert lost == 0
+
+
+def test_jaccard_links_short_texts_of_frequent_shingles(spark):
+    """Texts of 8 and 9 words, every shingle in more than one text: pairs of similarity exactly 0.8 are linked."""
+    rows = {}
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(9)]
+        for part in (words, words[1:]):
+            rows[len(rows)] = " ".join(part)
+            rows[len(rows)] = " ".join(part) + " "
+        for i in range(5):  # each shingle alone, so that it is counted in several sets
+            rows[len(rows)] = " ".join(words[i : i + 5])
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, frequent=0).collect()}
+    assert got == groups_truth(rows)
+
+
 def test_keep_one_and_nothing(edges, nothing):
     kept = {r["doc_id"] for r in keep_one(edges).collect()}
     assert {1, 2, 3, 4, 5, 8} <= kept and not kept & {6, 7, 9}
