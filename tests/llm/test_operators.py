@@ -429,6 +429,20 @@ def test_language_edges_and_rejection(spark, tiny, edges, nothing):
     assert {r["lang_pred"] for r in language_id.predict(edges, none).collect()} == {"und"}
 
 
+def test_small_language_beside_a_large_one(spark):
+    """All grams stay, though one language alone has more than 400,000 different ones."""
+    import random
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    large = [(" ".join("".join(rng.choice(letters) for _ in range(12)) for _ in range(50)), "large") for _ in range(1200)]
+    small = [("быстрая коричневая лиса", "small"), ("ленивая собака бежит", "small")]
+    model = language_id.train(spark.createDataFrame(large + small, "text string, lang string").repartition(4))
+    assert model.langs == ["large", "small"] and len(model.keys) > 400_000
+    rows = spark.createDataFrame([(1, "коричневая собака"), (2, large[0][0])], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.predict(rows, model).orderBy("doc_id").collect()] == ["small", "large"]
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all characters that may follow a context, the probabilities add up to 1 within the smoothing's floor."""
     import numpy as np
