@@ -1,8 +1,8 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
 Licence templates are lists of words. For a text that may hold one, the template words it contains are
-looked up; of those, the ones with the highest inverse document frequency (over all documents) give
-candidates: a posting says where the word stands in a template, and so where the template would begin.
+looked up; of each template's key phrase, the word with the highest inverse document frequency (over all
+documents) gives candidates: a posting says where it stands in the template, and so where that would begin.
 At such a beginning the other words' postings are intersected by relative position, and a template
 counts where its mandatory key phrase stands, word for word.
 """
@@ -90,14 +90,14 @@ def idf(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, floa
     return {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 0.01 for w in vocabulary}
 
 
-def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, rarest: int = 4, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, least_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and ``matches``.
 
     Null and empty texts have no words. ``matches`` lists (label, begin, score) of the templates found;
     ``begin`` can lie before the text's first word where a notice is cut. Without any, the labels are
     empty texts, the word places null and the score 0. Repeated rows get equal results; columns called
-    like an added one are replaced. ``rarest`` words of a text ask the index: those that look up
-    postings, not those that are verified.
+    like an added one are replaced. Of each template the rarest word of its key phrase asks the index, so
+    every phrase that stands is found, whatever else the text holds.
     """
     templates = TEMPLATES if templates is None else templates
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
@@ -111,14 +111,14 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, rare
     spots = F.transform("__w", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     rows = rows.withColumn("__hits", F.filter(spots, lambda s: F.array_contains(_array(vocabulary), s["word"])))
 
-    # the text's rarest template words
-    by_rarity = sorted(vocabulary, key=lambda w: (-weight[w], w))
-    present = F.array_intersect(_array(by_rarity), F.transform("__hits", lambda h: h["word"]))
-    rows = rows.withColumn("__rare", F.slice(present, 1, rarest))
-
-    # their postings: (template, begin), each once
-    postings = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(i).alias("off")) for t, x in enumerate(templates) for i, w in enumerate(x.words.split())])
-    asked = F.filter("__hits", lambda h: F.array_contains(F.col("__rare"), h["word"]))
+    # each template's rarest phrase word asks the index: (template, begin), each once
+    asking = []
+    for t, x in enumerate(templates):
+        phrase = x.phrase.split()
+        i = min(range(len(phrase)), key=lambda i: (-weight[phrase[i]], phrase[i], i))
+        asking.append(F.struct(F.lit(phrase[i]).alias("word"), F.lit(t).alias("t"), F.lit(x.at + i).alias("off")))
+    postings = F.array(*asking)
+    asked = F.filter("__hits", lambda h: F.exists(postings, lambda p: p["word"] == h["word"]))
     begins = F.flatten(F.transform(asked, lambda h: F.transform(F.filter(postings, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["t"].alias("t"), (h["pos"] - p["off"]).alias("begin")))))
     rows = rows.withColumn("__begin", F.array_distinct(begins))
 

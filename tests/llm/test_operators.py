@@ -120,6 +120,14 @@ def test_license_notice_is_added(spark):
     assert r[0]["labels"] == "bsd" and r[0]["base_labels"] == "" and r[0]["matches"][0]["begin"] == 2 and r[1]["labels"] == ""
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    """Rarer words elsewhere in the file, and other notices, take no template's place in the index."""
+    notices = {"unlicense": "this is free and unencumbered software released into the public domain", "cc-by-sa": "licensed under cc by sa 4 0", "mpl": "subject to the terms of the Mozilla Public License version 2 0", "bsd": "redistribution and use in source and binary forms with or without modification are permitted"}
+    texts = [" x ".join(notices.values()), "the eclipse of a domain, free of charge, affero: " + notices["cc-by-sa"]]
+    got = [r["labels"].split(",") for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert set(notices) <= set(got[0]) and "cc-by-sa" in got[1]
+
+
 # --- 3: mixing ----------------------------------------------------------------------------------
 
 
