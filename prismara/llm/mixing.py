@@ -1,10 +1,10 @@
 """Mixing sources to target weights with a low-discrepancy source schedule.
 
-The mix is a row of ``slots`` of equal token length. Slot ``i`` gets the golden-ratio point
-``frac(i * phi)``, which the cumulative target weights map to a source; so every prefix of the mix
-holds the sources near their weights. A slot is ranked within its source, and rank ``r`` takes block
-``r mod n_blocks`` of that source, whose documents are laid out in a shuffled order and cut into
-blocks of the slot's length.
+The mix is a row of slots, of equal token length within a source. Slot ``i`` gets the golden-ratio
+point ``frac(i * phi)``, which the cumulative numbers of slots that the targets ask for map to a source;
+so every prefix of the mix holds the sources near their weights. A slot is ranked within its source, and
+rank ``r`` takes block ``r mod n_blocks`` of that source, whose documents are laid out in a shuffled order
+and cut into blocks of the slot's length. Every source has ``LEAST_BLOCKS`` or more, or blocks of one word.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ GOLDEN = 0.6180339887498949  # fixed value: the golden ratio's fractional part
 CELLS = 4096
 ROWS_PER_BUCKET = 4096
 SLOTS_PER_CHUNK = 4096
+LEAST_BLOCKS = 1024
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,21 +55,29 @@ def unit_point(i: Column) -> Column:
     return F.pmod(i * F.lit(GOLDEN), F.lit(1.0))
 
 
-def source_schedule(targets: DataFrame, slots: int, block: int, most: float = 2.0) -> DataFrame:
+def cut_blocks(targets: DataFrame, block: int) -> DataFrame:
+    """Adds ``length`` and ``blocks``, a source's blocks of ``block`` words or less, and ``slots``, how many its target asks for."""
+    least = F.greatest(F.lit(1), F.floor(F.col("source_size") / F.lit(LEAST_BLOCKS)))
+    out = targets.withColumn("length", F.least(F.lit(block), least).cast("long"))
+    out = out.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
+    return out.withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+
+
+def source_schedule(targets: DataFrame, slots: int, most: float = 2.0) -> DataFrame:
     """(slot, source, rank, block): the slots that take a block, each source's ranked from 0.
 
-    ``targets`` has one row a source. Ranks are counted per chunk of slots and source and shifted by
+    ``targets`` has one row a source, with ``cut_blocks``. Ranks are counted per chunk of slots and source and shifted by
     the counts of earlier chunks, so no task holds all slots of a source. A source whose target is at
     its limit takes no slot beyond ``most`` rounds of its blocks.
     """
     spark = targets.sparkSession
     whole = targets.where("target > 0")
-    bounds = whole.withColumn("__to", F.sum("target").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)))
+    bounds = whole.withColumn("__to", F.sum("slots").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)))
     bounds = bounds.withColumn("__all", F.max("__to").over(W.partitionBy()))
     bounds = bounds.select(
         "source",
-        "source_size",
-        ((F.col("__to") - F.col("target")) / F.col("__all")).alias("__lo"),
+        "blocks",
+        ((F.col("__to") - F.col("slots")) / F.col("__all")).alias("__lo"),
         F.when(F.col("__to") == F.col("__all"), F.lit(2.0)).otherwise(F.col("__to") / F.col("__all")).alias("__hi"),
     )
     # the points' cells: a slot meets only the sources that reach into its 1/4096th of the line
@@ -77,15 +86,14 @@ def source_schedule(targets: DataFrame, slots: int, block: int, most: float = 2.
     slot = spark.range(slots).withColumnRenamed("id", "slot").withColumn("__u", unit_point(F.col("slot") + 1))
     slot = slot.withColumn("__cell", F.floor(F.col("__u") * CELLS).cast("int"))
     hit = slot.join(bounds, "__cell").where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi")))
-    hit = hit.withColumn("__chunk", F.floor(F.col("slot") / SLOTS_PER_CHUNK)).select("slot", "source", "source_size", "__chunk")
+    hit = hit.withColumn("__chunk", F.floor(F.col("slot") / SLOTS_PER_CHUNK)).select("slot", "source", "blocks", "__chunk")
     per = hit.groupBy("source", "__chunk").agg(F.count(F.lit(1)).alias("__c"))
     before = per.withColumn("__skip", F.sum("__c").over(W.partitionBy("source").orderBy("__chunk")) - F.col("__c")).drop("__c")
     inside = F.row_number().over(W.partitionBy("__chunk", "source").orderBy("slot")) - 1
     before = before.withColumnsRenamed({"source": "__s", "__chunk": "__k"})
     ranked = hit.withColumn("__in", inside).join(before, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__chunk") == F.col("__k")))
-    blocks = F.ceil(F.col("source_size") / F.lit(block))
-    ranked = ranked.withColumn("rank", F.col("__skip") + F.col("__in")).where(F.col("rank") < blocks * F.lit(int(most)))
-    return ranked.select("slot", "source", "rank", F.pmod(F.col("rank"), blocks).alias("block"))
+    ranked = ranked.withColumn("rank", F.col("__skip") + F.col("__in")).where(F.col("rank") < F.col("blocks") * F.lit(int(most)))
+    return ranked.select("slot", "source", "rank", F.pmod(F.col("rank"), F.col("blocks")).alias("block"))
 
 
 def lay_out(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
@@ -113,21 +121,24 @@ def _prepared(docs: DataFrame, weights: Sequence[float], share: float, most: flo
     targets = source_targets(thin, weights, share, most)
     n, total = targets.agg(F.sum("documents"), F.sum("source_size")).first()
     block = max(1, math.ceil(share * (total or 0) / slots))
-    schedule = source_schedule(targets, max(1, math.ceil(share * (total or 0) / block)), block, most)
-    return lay_out(rows, n or 0, seed), targets, schedule, block
+    targets = checkpointed(cut_blocks(targets, block))
+    asked = targets.agg(F.sum("slots")).first()[0] or 0
+    return lay_out(rows, n or 0, seed), targets, source_schedule(targets, max(1, math.ceil(asked)), most)
 
 
 def mixed_pieces(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: (slot, doc id, begin, words), the word range of the document in that slot, in slot order of a stream.
 
-    Each document meets the schedule at the blocks it reaches into; blocks have equal lengths, so no key is hot.
+    Each document meets the schedule at the blocks it reaches into; a source's blocks have equal lengths, so no key is hot.
     """
-    rows, _, schedule, block = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col))
-    reach = F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__from") + F.col("size") - 1) / block))
-    pieces = rows.where("size > 0").select("__id", "__source", "__from", "size", F.explode(reach).alias("__block"))
+    rows, targets, schedule = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col))
+    lengths = targets.select(F.col("source").alias("__t"), F.col("length").alias("__len"))
+    rows = rows.where("size > 0").join(lengths, F.col("__source").eqNullSafe(F.col("__t")))
+    reach = F.sequence(F.floor(F.col("__from") / F.col("__len")), F.floor((F.col("__from") + F.col("size") - 1) / F.col("__len")))
+    pieces = rows.select("__id", "__source", "__from", "size", "__len", F.explode(reach).alias("__block"))
     hit = pieces.join(schedule, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__block") == F.col("block")))
-    begin = F.greatest(F.lit(0), F.col("__block") * block - F.col("__from"))
-    end = F.least(F.col("size"), (F.col("__block") + 1) * block - F.col("__from"))
+    begin = F.greatest(F.lit(0), F.col("__block") * F.col("__len") - F.col("__from"))
+    end = F.least(F.col("size"), (F.col("__block") + 1) * F.col("__len") - F.col("__from"))
     return hit.select("slot", F.col("__id").alias(id_col), begin.alias("begin"), (end - begin).alias("words"))
 
 
@@ -135,9 +146,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, the words the mix takes of each.
 
     A null source is a source of its own, the last. Null, empty and blank texts have size 0 and are
-    taken with 0 words. The blocks are ``ceil(share * words / slots)`` words long, so ``slots`` sets
-    the resolution: taken words of a source are within a few blocks of its target, at every size of
-    input. Nothing is taken more than ``most`` times. Repeated rows are separate documents. An empty
+    taken with 0 words. The blocks are at most ``ceil(share * words / slots)`` words long and at most
+    a ``LEAST_BLOCKS``-th of their source (but a word at least): taken words of a source are within a
+    few of its blocks of its target, at every size of input and of source. Nothing is taken more than ``most`` times. Repeated rows are separate documents. An empty
     table gives an empty table. Columns of the input called like an added one are replaced.
 
     ``taken`` adds up the document's pieces in ``mixed_pieces``. As ranks go round a source's blocks
@@ -146,16 +157,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     """
     added = ("size", "source_size", "target", "taken")
     docs = docs.drop(*added)
-    rows, targets, schedule, block = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col))
+    rows, targets, schedule = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col))
     slots_of = schedule.groupBy("source").agg(F.count(F.lit(1)).alias("__slots")).withColumnRenamed("source", "__s")
     per = targets.join(slots_of, F.col("source").eqNullSafe(F.col("__s")), "left")
-    blocks = F.ceil(F.col("source_size") / F.lit(block))
-    n_slots = F.coalesce("__slots", F.lit(0))
+    blocks, n_slots = F.col("blocks"), F.coalesce("__slots", F.lit(0))
     per = per.select(
         F.col("source").alias("__t"), "source_size", "target",
+        "length",
         F.when(blocks > 0, F.floor(n_slots / blocks)).otherwise(0).alias("__rounds"),
         F.when(blocks > 0, F.pmod(n_slots, blocks)).otherwise(0).alias("__more"),
     )
     out = rows.join(per, F.col("__source").eqNullSafe(F.col("__t")))
-    extra = F.greatest(F.lit(0), F.least(F.col("__from") + F.col("size"), F.col("__more") * F.lit(block)) - F.col("__from"))
+    extra = F.greatest(F.lit(0), F.least(F.col("__from") + F.col("size"), F.col("__more") * F.col("length")) - F.col("__from"))
     return out.withColumn("taken", (F.col("__rounds") * F.col("size") + extra).cast("long")).select(*docs.columns, *added)

@@ -162,6 +162,14 @@ def test_mix(docs, texts):
         assert r["source_size"] == size[r["source"]]
 
 
+def test_mix_takes_small_sources_near_their_targets(spark):
+    """Sources of fewer words than a common block are taken as often as the large ones, near the target."""
+    rows = [(i, "w " * 1000, "large") for i in range(40)] + [(1000 + 10 * s + i, "w " * (20 + s), f"small{s}") for s in range(20) for i in range(10)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=64).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    for r in got:
+        assert r["taken"] == pytest.approx(r["target"], rel=0.05)
+
+
 def test_mix_pieces_add_up(docs):
     pieces = {r["doc_id"]: r["n"] for r in mixed_pieces(docs).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
     for r in mix_sources(docs).select("doc_id", "taken").collect():
