@@ -93,6 +93,14 @@ def test_url_models_learn_rejected_hosts(spark):
     assert right >= 0.98 * len(rows)
 
 
+def test_url_models_learn_hot_forms_from_a_small_sample(spark):
+    """Many URLs of few forms: the bounded sample holds each form by its share, so both classes are learned."""
+    good = [(i, f"https://{w}-library.example/books/{i:05d}") for i, w in enumerate(["history", "science", "music"] * 1000)]
+    bad = [(10_000 + i, f"http://{w}-casino.example/win/{i:05d}") for i, w in enumerate(["slots", "poker", "bonus"] * 1000)]
+    rows = filter_urls(spark.createDataFrame(good + bad, "page_id long, url string"), [], bound=100).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] >= 10_000) for r in rows)
+
+
 def test_url_filter_of_nothing(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
