@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -36,7 +38,18 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/prismara-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a ``materialise``d frame that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "written_to", None)
+    if path is not None:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
