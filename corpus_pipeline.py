@@ -19,32 +19,47 @@ from prismara.llm.queries import language_model
 from prismara.llm.sharding import ring_shards
 
 
+def whole(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns an operator reads, and every row as it is in ``__doc``: no column is lost to one that an operator adds."""
+    return docs.select(*needed, F.struct(*docs.columns).alias("__doc"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept."""
-    return predict(docs, language_model(docs)).where("accepted").select(*docs.columns)
+    """Documents whose language the models accept.
+
+    Null texts and texts without a letter are rejected; repeated rows fare alike. Rows with a null id
+    are learned from like others. Without any learned language nothing is accepted.
+    """
+    return predict(whole(docs, "text"), language_model(docs)).where("accepted").select("__doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group linked by Jaccard similarity 0.8 over five words."""
+    """One document, that of the smallest id, of each group linked by Jaccard similarity 0.8 over five words.
+
+    Texts without words are linked with nothing and stay, each row of them; null ids come last in a group.
+    """
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a ten-word window of a benchmark item."""
-    found = contaminated_words(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_words") == 0).select(*docs.columns)
+    """Documents without a ten-word window of a benchmark item. Null and empty texts stay."""
+    found = contaminated_words(whole(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hit_words") == 0).select("__doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, a part of a round counting from half a document on."""
-    mixed = mix_sources(docs.select("doc_id", "text", "source", "lang", "n_chars"))
+    """The mix: each document as often as it is taken, a part of a round counting from half a document on.
+
+    Texts without words are of no size, so none is taken; a null source is one of its own.
+    """
+    mixed = mix_sources(whole(docs, "doc_id", "text", "source"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     copies = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(times > 0)
-    return copies.select(*docs.columns)
+    return copies.select("__doc.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, shard, slot) of the mix's rows."""
+    """(doc_id, size, shard, slot) of the mix's rows; equal texts share a shard, and each row has its own slot."""
     return ring_shards(docs.select("doc_id", "text"), n_shards=40).select("doc_id", "size", "shard", "slot")
 
 
