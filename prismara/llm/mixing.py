@@ -23,6 +23,7 @@ CELLS = 4096
 ROWS_PER_BUCKET = 4096
 SLOTS_PER_CHUNK = 4096
 LEAST_BLOCKS = 1024
+MOST_BROADCAST = 1_000_000  # rows of the blocks' table that may be broadcast; more are joined by block, of which none is hot
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -92,38 +93,40 @@ def source_schedule(targets: DataFrame, slots: int, most: float = 2.0) -> DataFr
     inside = F.row_number().over(W.partitionBy("__chunk", "source").orderBy("slot")) - 1
     before = before.withColumnsRenamed({"source": "__s", "__chunk": "__k"})
     ranked = hit.withColumn("__in", inside).join(before, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__chunk") == F.col("__k")))
-    ranked = ranked.withColumn("rank", F.col("__skip") + F.col("__in")).where(F.col("rank") < F.col("blocks") * F.lit(int(most)))
+    ranked = ranked.withColumn("rank", F.col("__skip") + F.col("__in")).where(F.col("rank") < F.floor(F.col("blocks") * F.lit(float(most))))
     return ranked.select("slot", "source", "rank", F.pmod(F.col("rank"), F.col("blocks")).alias("block"))
 
 
-def lay_out(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
-    """Adds ``__from``: the words before the document in its source's shuffled order.
+def lay_out(rows: DataFrame, targets: DataFrame, n_rows: int, seed: int) -> DataFrame:
+    """Adds ``__from``, the words before the document in its source's shuffled order, and the source's ``__length``, ``__size`` and ``__target``.
 
     Running sums inside buckets of a few thousand rows, plus the sums of earlier buckets: a source
-    that holds a third of all rows is spread like the rest.
+    that holds a third of all rows is spread like the rest, and is joined by bucket, never as a whole.
     """
     buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
     rows = rows.withColumn("__draw", F.xxhash64(F.col("__id").cast("string"), F.lit(seed)))
     rows = rows.withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
     per = rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("__words"))
     base = per.withColumn("__base", F.sum("__words").over(W.partitionBy("__source").orderBy("__bucket")) - F.col("__words"))
-    base = base.select(F.col("__source").alias("__bs"), F.col("__bucket").alias("__bb"), "__base")
+    about = targets.select(F.col("source").alias("__t"), F.col("length").alias("__length"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
+    base = base.join(about, F.col("__source").eqNullSafe(F.col("__t")))
+    base = base.select(F.col("__source").alias("__bs"), F.col("__bucket").alias("__bb"), "__base", "__length", "__size", "__target")
     inside = W.partitionBy("__source", "__bucket").orderBy("__draw", "size").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__in", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(base, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__bucket") == F.col("__bb")))
     return rows.withColumn("__from", F.col("__base") + F.col("__in")).drop("__bs", "__bb", "__base", "__in", "__bucket", "__draw")
 
 
-def _prepared(docs: DataFrame, weights: Sequence[float], share: float, most: float, slots: int, seed: int, columns: tuple[str, str, str]):
+def _prepared(docs: DataFrame, weights: Sequence[float], share: float, most: float, slots: int, seed: int, columns: tuple[str, str, str], size: Column | None):
     id_col, text_col, source_col = columns
-    rows = docs.withColumn("size", word_count(F.col(text_col))).withColumn("__source", F.col(source_col)).withColumn("__id", F.col(id_col))
+    rows = docs.withColumn("size", word_count(F.col(text_col)) if size is None else size).withColumn("__source", F.col(source_col)).withColumn("__id", F.col(id_col))
     thin = rows.select(F.col("__source").alias("source"), "size")
     targets = source_targets(thin, weights, share, most)
     n, total = targets.agg(F.sum("documents"), F.sum("source_size")).first()
     block = max(1, math.ceil(share * (total or 0) / slots))
     targets = checkpointed(cut_blocks(targets, block))
     asked = targets.agg(F.sum("slots")).first()[0] or 0
-    return lay_out(rows, n or 0, seed), targets, source_schedule(targets, max(1, math.ceil(asked)), most)
+    return lay_out(rows, targets, n or 0, seed), targets, source_schedule(targets, max(1, math.ceil(asked)), most)
 
 
 def mixed_pieces(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -131,42 +134,53 @@ def mixed_pieces(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: f
 
     Each document meets the schedule at the blocks it reaches into; a source's blocks have equal lengths, so no key is hot.
     """
-    rows, targets, schedule = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col))
-    lengths = targets.select(F.col("source").alias("__t"), F.col("length").alias("__len"))
-    rows = rows.where("size > 0").join(lengths, F.col("__source").eqNullSafe(F.col("__t")))
-    reach = F.sequence(F.floor(F.col("__from") / F.col("__len")), F.floor((F.col("__from") + F.col("size") - 1) / F.col("__len")))
-    pieces = rows.select("__id", "__source", "__from", "size", "__len", F.explode(reach).alias("__block"))
+    rows, _, schedule = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col), None)
+    rows = rows.where("size > 0")
+    reach = F.sequence(F.floor(F.col("__from") / F.col("__length")), F.floor((F.col("__from") + F.col("size") - 1) / F.col("__length")))
+    pieces = rows.select("__id", "__source", "__from", "size", "__length", F.explode(reach).alias("__block"))
     hit = pieces.join(schedule, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__block") == F.col("block")))
-    begin = F.greatest(F.lit(0), F.col("__block") * F.col("__len") - F.col("__from"))
-    end = F.least(F.col("size"), (F.col("__block") + 1) * F.col("__len") - F.col("__from"))
+    begin = F.greatest(F.lit(0), F.col("__block") * F.col("__length") - F.col("__from"))
+    end = F.least(F.col("size"), (F.col("__block") + 1) * F.col("__length") - F.col("__from"))
     return hit.select("slot", F.col("__id").alias(id_col), begin.alias("begin"), (end - begin).alias("words"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def taken_blocks(targets: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(source, block, times, before): how many slots take each block, and the words that those of earlier blocks take."""
+    each = targets.select("source", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks"), F.lit(1)).cast("long") - 1)).alias("block"))
+    slots_of = schedule.groupBy(F.col("source").alias("__s"), F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("times"))
+    each = each.join(slots_of, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    before = F.sum(F.col("times") * F.col("length")).over(W.partitionBy("source").orderBy("block")) - F.col("times") * F.col("length")
+    return each.select("source", "block", "times", before.alias("before"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken``, the words the mix takes of each.
 
     A null source is a source of its own, the last. Null, empty and blank texts have size 0 and are
     taken with 0 words. The blocks are at most ``ceil(share * words / slots)`` words long and at most
     a ``LEAST_BLOCKS``-th of their source (but a word at least): taken words of a source are within a
     few of its blocks of its target, at every size of input and of source. Nothing is taken more than ``most`` times. Repeated rows are separate documents. An empty
-    table gives an empty table. Columns of the input called like an added one are replaced.
+    table gives an empty table. Columns of the input called like an added one are replaced. ``size``
+    gives the number of words where the caller has it already.
 
-    ``taken`` adds up the document's pieces in ``mixed_pieces``. As ranks go round a source's blocks
-    in order, its blocks are all taken in each whole round and the first ones once more, so a join
-    with one row a source (its rounds, and where the unfinished one stops) gives the same sum.
+    Each document meets its source's blocks where it begins and where it ends: what the slots take up to a
+    place is what they take of the blocks before it and of that part of its block, and the difference is
+    the sum of the document's pieces in ``mixed_pieces``, which nothing has to gather again.
     """
     added = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*added)
-    rows, targets, schedule = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col))
-    slots_of = schedule.groupBy("source").agg(F.count(F.lit(1)).alias("__slots")).withColumnRenamed("source", "__s")
-    per = targets.join(slots_of, F.col("source").eqNullSafe(F.col("__s")), "left")
-    blocks, n_slots = F.col("blocks"), F.coalesce("__slots", F.lit(0))
-    per = per.select(
-        F.col("source").alias("__t"), "source_size", "target",
-        "length",
-        F.when(blocks > 0, F.floor(n_slots / blocks)).otherwise(0).alias("__rounds"),
-        F.when(blocks > 0, F.pmod(n_slots, blocks)).otherwise(0).alias("__more"),
-    )
-    out = rows.join(per, F.col("__source").eqNullSafe(F.col("__t")))
-    extra = F.greatest(F.lit(0), F.least(F.col("__from") + F.col("size"), F.col("__more") * F.col("length")) - F.col("__from"))
-    return out.withColumn("taken", (F.col("__rounds") * F.col("size") + extra).cast("long")).select(*docs.columns, *added)
+    kept = docs.columns
+    docs = docs.select(*[c for c in kept if c not in added], *([size.alias("__words")] if size is not None else []))
+    rows, targets, schedule = _prepared(docs, weights, share, most, slots, seed, (id_col, text_col, source_col), None if size is None else F.col("__words"))
+    taken = taken_blocks(targets, schedule)
+    if taken.count() <= MOST_BROADCAST:
+        taken = F.broadcast(taken)
+    for place, at in (("lo", F.col("__from")), ("hi", F.col("__from") + F.col("size"))):
+        # a document that ends with its source ends in its last block
+        block = F.least(F.floor(at / F.col("__length")), F.greatest(F.ceil(F.col("__size") / F.col("__length")), F.lit(1)) - 1)
+        block = F.coalesce(block, F.lit(0).cast("long"))
+        there = taken.select(F.col("source").alias("__ts"), F.col("block").alias("__tb"), F.col("times").alias(f"__times_{place}"), F.col("before").alias(f"__before_{place}"))
+        rows = rows.withColumn("__b", block).join(there, F.col("__source").eqNullSafe(F.col("__ts")) & (F.col("__b") == F.col("__tb"))).drop("__ts", "__tb")
+        rows = rows.withColumn(f"__{place}", F.col(f"__before_{place}") + F.col(f"__times_{place}") * (at - F.col("__b") * F.col("__length")))
+    out = rows.withColumn("taken", (F.col("__hi") - F.col("__lo")).cast("long"))
+    out = out.withColumn("source_size", F.col("__size")).withColumn("target", F.col("__target"))
+    return out.select(*[c for c in kept if c not in added], *added)

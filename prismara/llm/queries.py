@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_boost
-from .common import id_fold, table
+from .common import id_fold, materialise, table, word_count
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
@@ -40,8 +40,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Words are counted once and written; the operator reads ids, sources and sizes."""
+    docs = table(spark, sf_dir, "documents")
+    thin = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
+    return mix_sources(thin, text_col="words", size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
