@@ -52,6 +52,20 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner", share: int = 2000, parts: int = 32) -> DataFrame:
+    """``big`` (written before) with ``small``, which has one row a key at most. Hot keys are dealt over ``parts`` tasks by the column ``by``.
+
+    A key is hot with more than a ``share``-th of the rows, so fewer than ``share`` keys are, and are broadcast.
+    """
+    rows = big.count()
+    hot = F.broadcast(big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows / share).select(*on, F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(F.lit(0).cast("long"))
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = big.join(hot, on, "left").withColumn("__part", part).drop("__hot")
+    right = small.join(hot, on, "left").withColumn("__part", F.explode(every)).drop("__hot")
+    return left.join(right, [*on, "__part"], how).drop("__part")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables of an iteration."""
     shared_dir(df.sparkSession)

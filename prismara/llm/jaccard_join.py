@@ -5,10 +5,11 @@ each by hash. For two sets with Jaccard similarity of ``t`` or more:
 
 * their ``n - ceil(t n) + 1`` first tokens share one, so *rare* tokens are indexed singly up to there;
 * if the first shared token is frequent, so are all shared ones. At most ``D <= (1-t)/(1+t) (n + m)``
-  tokens are in one set only; so among the first ``D + 2`` shared tokens two neighbours have none of
-  those between them and follow each other in both sets. They lie within an extended prefix, which is
-  ``0.4 n + 2`` tokens long for t = 0.8. So *frequent* tokens are indexed as combinations of two that
-  follow each other in the extended prefix.
+  tokens are in one set only, all rare ones among them; so among the first shared tokens, one more than
+  the frequent ones of ``D`` leave gaps for, two neighbours follow each other in both sets. They lie
+  within an extended prefix of ``0.4 n + 2 - 2 r`` frequent tokens for t = 0.8 and ``r`` rare ones. So
+  *frequent* tokens are indexed as combinations of two that follow each other in the extended prefix, and
+  only where ``r <= 0.2 n``: a text that is otherwise its own does not ask for a passage it shares.
 
 Which tokens count as frequent is read from a bit map of fixed size, filled from counts over all
 documents; any choice gives the same links, and a good one gives few candidates.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import SPACED, Words, mix, slices
-from .common import materialise
+from .common import discard, materialise, spread_join
 from .components import connected_components
 
 MAP_BITS = 23
@@ -70,19 +71,27 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - MAP_BITS)).astype(np.int64)
 
 
-def index_tokens(tokens: np.ndarray, frequent: np.ndarray, t: Fraction) -> np.ndarray:
-    """The index tokens of a set: single rare ones of the prefix and pairs of frequent ones of the extended prefix."""
-    n = len(tokens)
+def rare_tokens(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """bool: which tokens of a set are not on the map of frequent ones."""
     at = _bits(tokens)
-    often = (frequent[at >> 3] >> (at & 7)) & 1 == 1
-    rare, often = tokens[~often], tokens[often]
-    prefix = n - -(-n * t.numerator // t.denominator) + 1
-    # the largest D + e + 2 over e <= n (1 - t) tokens in this set only, where D <= (n - e) (1-t)/t tokens each block a gap
-    e, slope = n * (1 - t), (1 - t) / t
-    extended = int(max((n - e) * slope + e, n * slope)) + 2
-    singles = rare[:prefix]
-    pairs = often[: max(0, extended - len(rare))]
-    return np.concatenate((mix(singles + _U(1)), mix(pairs[:-1] * _U(0x9E3779B97F4A7C15) + mix(pairs[1:]))))
+    return (frequent[at >> 3] >> (at & 7)) & 1 == 0
+
+
+def index_tokens(tokens: np.ndarray, frequent: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The index tokens of a set: single rare ones of the prefix, and pairs of frequent ones of the extended prefix.
+
+    Pairs are needed only where a link may share no rare token; then all ``r`` rare ones are in this set
+    alone, as are ``e >= r`` in all, with ``e <= n - ceil(t n)``. Of the ``(n - e) (1-t)/t`` tokens or fewer that are in
+    one set only, the rare ones come first and block no gap between shared ones.
+    """
+    n = len(tokens)
+    alone = rare_tokens(tokens, frequent)
+    rare, often = tokens[alone], tokens[~alone]
+    most = n - -(-n * t.numerator // t.denominator)
+    singles = rare[: most + 1]
+    r, slope = len(rare), (1 - t) / t
+    pairs = often[: int(max((n - e) * slope - r + e - r for e in (r, most))) + 2] if r <= most else often[:0]
+    return mix(singles + _U(1)), mix(pairs[:-1] * _U(0x9E3779B97F4A7C15) + mix(pairs[1:]))
 
 
 def parity_sketch(tokens: np.ndarray) -> bytes:
@@ -124,63 +133,78 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield counted()
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(id, n, key) of every row, with the sketch of sets that the partition has not had before."""
+def _keys(batches: Iterator[pa.RecordBatch], k: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, n, key, rare) of every row, with the sketch of sets that the partition has not had before."""
     seen: set[int] = set()
     for batch in batches:
         for part, sets in shingle_sets(batch, k):
             keys = [set_key(s) for s in sets]
             sketches: list[bytes | None] = []
             for s, key in zip(sets, keys, strict=True):
-                sketches.append(parity_sketch(s) if len(s) > 3 and key not in seen else None)
+                sketches.append(parity_sketch(s) if len(s) and key not in seen else None)
                 seen.add(key)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], ["id", "n", "key", "sketch"])
+            rare = pa.array([int(rare_tokens(s, frequent).sum()) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), rare, pa.array(sketches, pa.binary())], ["id", "n", "key", "rare", "sketch"])
+
+
+SALTS = 64
 
 
 def _index(batches: Iterator[pa.RecordBatch], k: int, t: Fraction, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, n, key) of each different set of a partition. Sets of three tokens or fewer match equal ones only."""
+    """(token, n, key, salt) of each different set of a partition that another one may link with; pairs of frequent tokens are salted."""
     seen: set[int] = set()
     for batch in batches:
         for _, sets in shingle_sets(batch, k):
-            tokens, sizes, keys = [], [], []
+            tokens, sizes, keys, salts = [], [], [], []
             for s in sets:
-                if len(s) > 3 and (key := set_key(s)) not in seen:
+                # two different sets of at most n tokens reach (n - 1) / n at best
+                if (len(s) - 1) * t.denominator >= t.numerator * len(s) or len(s) * (t.denominator - t.numerator) >= t.numerator:
+                    key = set_key(s)
+                    if key in seen:
+                        continue
                     seen.add(key)
-                    tokens.append(index_tokens(s, frequent, t))
+                    singles, pairs = index_tokens(s, frequent, t)
+                    tokens += [singles, pairs]
                     sizes.append(len(s))
                     keys.append(key)
+                    salts.append((len(singles), len(pairs), 1 + key % SALTS))
             if keys:
-                each = [len(x) for x in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sizes), each)), pa.array(np.repeat(np.array(keys, dtype=np.int64), each))], ["token", "n", "key"])
+                each = [a + b for a, b, _ in salts]
+                salt = np.concatenate([x for a, b, y in salts for x in (np.zeros(a, np.int32), np.full(b, y, np.int32))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(sizes), each)), pa.array(np.repeat(np.array(keys, dtype=np.int64), each)), pa.array(salt)], ["token", "n", "key", "salt"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, n, key), those that another class of the same token could match in size, each once.
+    """Of rows sorted by (token, salt, n, key), those that another class of the same token could match in size, each once.
 
-    Rows stream by; a token's rows are never held together.
+    Rows stream by; a token's rows are never held together. A salted token's rows are in several
+    tasks, so all of them are given out.
     """
-    names = ["token", "n", "key"]
+    names = ["token", "salt", "n", "key"]
     before: list | None = None  # the row before the batch
     given = False  # it has been given out
     for batch in batches:
-        token, n, key = (batch.column(c).to_numpy() for c in names)
+        columns = [batch.column(c).to_numpy() for c in names]
         if before is not None:
-            token, n, key = (np.append(x, y) for x, y in zip(before, (token, n, key), strict=True))
-        if not len(token):
+            columns = [np.append(x, y) for x, y in zip(before, columns, strict=True)]
+        if not len(columns[0]):
             continue
-        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1])))
-        token, n, key = token[fresh], n[fresh], key[fresh]
+        fresh = np.zeros(len(columns[0]), dtype=bool)
+        fresh[0] = True
+        for x in columns:
+            fresh[1:] |= x[1:] != x[:-1]
+        token, salt, n, key = (x[fresh] for x in columns)
         close = np.zeros(len(token), dtype=bool)  # to the row before, in size
-        close[1:] = (token[1:] == token[:-1]) & (n[1:] * t.numerator <= n[:-1] * t.denominator)
-        give = close.copy()
+        close[1:] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (n[1:] * t.numerator <= n[:-1] * t.denominator)
+        give = close | (salt > 0)
         give[:-1] |= close[1:]
         if before is not None and given:
             give[0] = False
         end = len(token) - 1
         given = bool(give[end]) or (end == 0 and before is not None and given)
-        before = [token[end], n[end], key[end]]
+        before = [x[end : end + 1] for x in (token, salt, n, key)]
         if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (token, n, key)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (token, salt, n, key)], names)
 
 
 def _near(n: np.ndarray, m: np.ndarray, bits: np.ndarray, t: Fraction) -> np.ndarray:
@@ -190,10 +214,13 @@ def _near(n: np.ndarray, m: np.ndarray, bits: np.ndarray, t: Fraction) -> np.nda
 
 
 def _block_pairs(table: pa.Table, t: Fraction) -> pa.Table:
-    """Rows of one block pair of a bucket -> (g, a_id, b_id, bits) of pairs of different components that may match."""
-    ids, n, component, own = (table.column(c).to_numpy() for c in ("id", "n", "component", "own"))
+    """Rows of one block pair of a bucket -> (g, a_id, b_id, bits) of pairs of different components that may match.
+
+    Besides sizes and sketches, ``spare`` decides: two sets that share no rare token have all of them apart.
+    """
+    ids, n, component, own, spare, by_rare, by_often = (table.column(c).to_numpy() for c in ("id", "n", "component", "own", "spare", "by_rare", "by_often"))
     order = np.argsort(n, kind="stable")
-    ids, n, component, own = ids[order], n[order], component[order], own[order]
+    ids, n, component, own, spare, by_rare, by_often = (x[order] for x in (ids, n, component, own, spare, by_rare, by_often))
     raw = table.column("sketch").to_pylist()
     sketches = [np.frombuffer(raw[i], np.uint64) for i in order]
     widths = np.array([len(s) for s in sketches])
@@ -205,7 +232,8 @@ def _block_pairs(table: pa.Table, t: Fraction) -> pa.Table:
         end = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, "right"))
         w = int(widths[i])
         rest = np.arange(i + 1, end)
-        rest = rest[(component[rest] != component[i]) & (whole | (own[rest] != own[i]))]
+        meet = (by_rare[rest] & by_rare[i]) | (by_often[rest] & by_often[i] & (spare[rest] + spare[i] <= 0))
+        rest = rest[meet & (component[rest] != component[i]) & (whole | (own[rest] != own[i]))]
         if len(rest):
             bits = np.bitwise_count(folds[w][rest - start[w]] ^ sketches[i]).sum(axis=1, dtype=np.int64)
             keep = bits * (t.denominator + t.numerator) <= (n[rest] + n[i]) * (t.denominator - t.numerator)
@@ -278,46 +306,55 @@ class JaccardJoin:
         """(id, n_shingles, component_id) of every row."""
         k, t = self.k, self.t
         frequent = self.spark.sparkContext.broadcast(self.frequent_map())
-        rows = materialise(self.docs.mapInArrow(lambda b: _keys(b, k), "id long, n long, key long, sketch binary"))
-        classes = materialise(rows.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"), F.max("sketch").alias("sketch")))
-        tokens = self.docs.select("text").mapInArrow(lambda b: _index(b, k, t, frequent.value), "token long, n long, key long")
-        tokens = tokens.repartition("token").sortWithinPartitions("token", "n", "key")
-        shared = materialise(tokens.mapInArrow(lambda b: _buckets(b, t), "token long, n long, key long"))
+        rows = materialise(self.docs.mapInArrow(lambda b: _keys(b, k, frequent.value), "id long, n long, key long, rare long, sketch binary"))
+        classes = materialise(rows.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"), F.max("rare").alias("rare"), F.max("sketch").alias("sketch")))
+        tokens = self.docs.select("text").mapInArrow(lambda b: _index(b, k, t, frequent.value), "token long, n long, key long, salt int")
+        tokens = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key")
+        shared = materialise(tokens.mapInArrow(lambda b: _buckets(b, t), "token long, salt int, n long, key long"))
 
-        # each class in the buckets of its tokens' pivots
+        # each class in the buckets of its tokens' pivots, with what brought it there
         central = shared.groupBy("key", "n").agg(F.count(F.lit(1)).alias("w"))
         rank = F.shiftleft("w", 40).bitwiseOR(F.shiftrightunsigned("key", 24))
         ranked = shared.join(central, ["key", "n"]).select("token", "key", "n", rank.alias("rank"))
         pivots = ranked.groupBy("token").agg(F.max_by("key", "rank").alias("pivot"), F.max_by("n", "rank").alias("pivot_n"))
-        met = materialise(shared.join(pivots, "token").select("key", "n", "pivot", "pivot_n").distinct())
+        met = spread_join(shared, pivots, ["token"], "key").groupBy("key", "n", "pivot", "pivot_n").agg(F.bool_or(F.col("salt") == 0).alias("by_rare"), F.bool_or(F.col("salt") > 0).alias("by_often"))
+        met = materialise(met)
+        discard(shared)
 
         # first each class with its nearest pivot
-        mine = classes.select("key", "n", F.col("id").alias("a_id"), F.col("sketch").alias("a_sketch"))
-        theirs = classes.select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("id").alias("b_id"), F.col("sketch").alias("b_sketch"))
-        star = met.where("key <> pivot OR n <> pivot_n").join(mine, ["key", "n"]).join(theirs, ["pivot", "pivot_n"])
-        near = self.near(star).groupBy("a_id").agg(F.min(F.struct("bits", "b_id")).alias("p")).select("a_id", "p.b_id", "p.bits")
+        spare = (F.col("rare") * (t.denominator + t.numerator) - F.col("n") * (t.denominator - t.numerator)).alias("spare")
+        mine = classes.select("key", "n", F.col("id").alias("a_id"), F.col("sketch").alias("a_sketch"), spare)
+        theirs = classes.withColumn("spare", spare).select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("id").alias("b_id"), F.col("sketch").alias("b_sketch"), F.col("spare").alias("b_spare"))
+        star = spread_join(met.where("key <> pivot OR n <> pivot_n"), theirs, ["pivot", "pivot_n"], "key").join(mine, ["key", "n"]).where("by_rare OR spare + b_spare <= 0")
+        near = materialise(self.near(star).groupBy("a_id").agg(F.min(F.struct("bits", "b_id")).alias("p")).select("a_id", "p.b_id", "p.bits"))
         parts = near.groupBy("b_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        tried = materialise(near.join(parts, "b_id").select(F.xxhash64("b_id", F.pmod(F.xxhash64("a_id"), "parts")).alias("g"), "a_id", "b_id", "bits"))
+        tried = materialise(spread_join(near, parts, ["b_id"], "a_id").select(F.xxhash64("b_id", F.pmod(F.xxhash64("a_id"), "parts")).alias("g"), "a_id", "b_id", "bits"))
         links = materialise(self.verified(tried))
         found = connected_components(links)
 
-        # then the pairs of a bucket that are still apart, block by block
-        place = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "sketch", F.coalesce("component", "id").alias("component"))
-        held = met.join(place.select("key", "n", "component"), ["key", "n"]).groupBy("pivot", "pivot_n").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        torn = held.where("lo <> hi").select("pivot", "pivot_n", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        apart = met.join(torn, ["pivot", "pivot_n"]).join(place, ["key", "n"])
+        # then what is still apart in a bucket: by a rare token, or by frequent ones with so few rare that some other may be near enough
+        place = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", "id", "sketch", spare, F.coalesce("component", "id").alias("component"))
+        bucket = ["pivot", "pivot_n"]
+        inside = materialise(met.join(place.drop("sketch"), ["key", "n"]))
+        least = inside.where("by_often").groupBy(*bucket).agg(F.min("spare").alias("least"))
+        apart = spread_join(inside, least, bucket, "key", how="left").withColumn("by_often", F.col("by_often") & (F.col("spare") + F.col("least") <= 0)).where("by_rare OR by_often")
+        apart = materialise(apart.drop("least"))
+        sides = [f(F.when(F.col(by), F.col("component"))).alias(f"{f.__name__}_{by}") for by in ("by_rare", "by_often") for f in (F.min, F.max)]
+        held = apart.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m"), *sides)
+        torn = held.where("min_by_rare <> max_by_rare OR min_by_often <> max_by_often").select(*bucket, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        apart = spread_join(apart, torn, bucket, "key")
         block = F.pmod(F.col("key"), F.col("blocks")).cast("int")
-        apart = apart.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        apart = apart.select(F.xxhash64("pivot", "pivot_n", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") <= F.col("other")).alias("own"), "id", "n", "component", "sketch")
+        apart = apart.join(place.select("key", "n", "sketch"), ["key", "n"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        apart = apart.select(F.xxhash64("pivot", "pivot_n", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") <= F.col("other")).alias("own"), "id", "n", "component", "sketch", "spare", "by_rare", "by_often")
         pairs = apart.groupBy("g").applyInArrow(lambda x: _block_pairs(x, t), "g long, a_id long, b_id long, bits long")
         before = tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
         again = materialise(pairs.groupBy("a_id", "b_id").agg(F.min("g").alias("g"), F.min("bits").alias("bits")).join(before, ["a_id", "b_id"], "left_anti"))
         more = materialise(self.verified(again))
-        self.stats = {"met": met, "tried": tried, "links": links, "again": again, "more": more, "shared": shared}
+        self.stats = {"met": met, "tried": tried, "links": links, "held": held, "again": again, "more": more}
         found = connected_components(links.unionByName(more))
 
         home = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "n", F.coalesce("component", "id").alias("component"))
-        full = rows.select("id", "n", "key").join(home, ["key", "n"], "left")
+        full = spread_join(rows.select("id", "n", "key"), home, ["key", "n"], "id", how="left")
         return full.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
     def near(self, pairs: DataFrame) -> DataFrame:
