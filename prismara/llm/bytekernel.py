@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 P, Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers
 _U = np.uint64
 

@@ -43,6 +43,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of texts of at most ``rows`` rows, where the session has Spark's default of 10,000 or more: texts are
+    long, and both the JVM and the Python worker of every task hold a batch."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) >= 10_000:
+        spark.conf.set(setting, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table of a ``materialise``d frame that nothing reads any more; other frames are left alone."""
     path = getattr(df, "written_to", None)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytekernel import ALNUM, Words, slices, string_bytes
+from .common import modest_batches
 
 SHINGLE = 3
 
@@ -33,7 +34,7 @@ class Windows:
 
     text: list[bytes]
     length: np.ndarray
-    items: list[list[int]]
+    items: list[list[str]]
     shingle: np.ndarray  # uint64, of all windows in a row
     owner: np.ndarray  # the window of each
     place: np.ndarray  # its place there
@@ -71,12 +72,12 @@ class Windows:
         return (np.concatenate(places), np.concatenate(rows)) if places else (left, left)
 
 
-def windows_of(items: list[tuple[int, str | None]], length: int) -> Windows:
+def windows_of(items: list[tuple[str, str | None]], length: int) -> Windows:
     """The distinct windows of (item id, text) rows."""
     data, offs = string_bytes(pa.array([t for _, t in items], pa.string()))
     words = Words(data, offs, ALNUM)
     known: dict[bytes, int] = {}
-    owners: list[dict[int, None]] = []
+    owners: list[dict[str, None]] = []
     sizes: list[int] = []
     shingle, owner, place, width = [], [], [], []
     by_width = {k: words.shingles(k) for k in range(1, SHINGLE + 1)}
@@ -138,7 +139,7 @@ def _match(batches: Iterator[pa.RecordBatch], ask: Windows, sparse: bool) -> Ite
             words = Words(data, offs, ALNUM)
             n = np.diff(words.offs)
             hits: list[list[int] | None] = [None] * len(n)
-            items: list[list[int] | None] = [None] * len(n)
+            items: list[list[str] | None] = [None] * len(n)
             begin, window = _occurrences(words, ask, widths)
             of = np.searchsorted(words.offs, begin, "right") - 1
             for d in np.unique(of):
@@ -151,12 +152,12 @@ def _match(batches: Iterator[pa.RecordBatch], ask: Windows, sparse: bool) -> Ite
             rest = [part.column(c) for c in range(part.num_columns) if part.schema.names[c] != "__text"]
             names = [c for c in part.schema.names if c != "__text"]
             lists = pa.list_(pa.int64())
-            out = pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array([h or [] for h in hits], lists), pa.array([i or [] for i in items], lists)], [*names, "n_words", "hit_words", "items"])
+            out = pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array([h or [] for h in hits], lists), pa.array([i or [] for i in items], pa.list_(pa.string()))], [*names, "n_words", "hit_words", "items"])
             yield out.filter(pa.array([h is not None for h in hits])) if sparse else out
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_windows: int = 1 << 19, item_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_words`` (ascending word numbers inside a benchmark window) and ``items`` (ids whose windows occur).
+    """``docs`` with ``n_words``, ``hit_words`` (ascending word numbers inside a benchmark window) and ``items`` (ids, as texts in their order, whose windows occur).
 
     Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. Null and
     empty texts have no words, and null, empty or wordless items no window. Repeated items count
@@ -164,9 +165,10 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     once. Columns of the input called like an added one are replaced.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     added = ["n_words", "hit_words", "items"]
     docs = docs.drop(*added)
-    asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    asked = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     total = asked.agg(F.sum(F.greatest(F.lit(1), words)), F.sum(F.length("text"))).first()
     # a block holds at most block_windows windows, and an item of any length is in one block
@@ -174,7 +176,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     thin = docs.select(F.col(text_col).alias("text"))
     rows = docs.withColumn("__text", F.col(text_col))
     plain = docs.schema.fields
-    extra = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType()))]
+    extra = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     if blocks == 1:
         ask = _prepared(spark, thin, asked, length)
         return rows.mapInArrow(lambda b: _match(b, ask.value, sparse=False), T.StructType([*plain, *extra]))
@@ -188,7 +190,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     merged = part.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     empty = F.array().cast("array<long>")
     out = rows.withColumn("n_words", F.coalesce(F.regexp_count("__text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")).join(merged, "__row", "left")
-    return out.select(*docs.columns, "n_words", F.coalesce("hit_words", empty).alias("hit_words"), F.coalesce("items", empty).alias("items"))
+    return out.select(*docs.columns, "n_words", F.coalesce("hit_words", empty).alias("hit_words"), F.coalesce("items", empty.cast("array<string>")).alias("items"))
 
 
 def _prepared(spark, thin: DataFrame, asked: DataFrame, length: int):
@@ -207,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     """``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``; options as ``contaminated_words``."""
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     found = contaminated_words(docs.drop(*added), benchmark, **options)
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select(
         *[c for c in docs.columns if c not in added],
         "n_words",

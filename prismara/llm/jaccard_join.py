@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import SPACED, Words, mix, slices
-from .common import discard, materialise, spread_join
+from .common import discard, materialise, modest_batches, spread_join
 from .components import connected_components
 
 MAP_BITS = 23
@@ -279,6 +279,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, k: int = 5, threshold: str = "0.8", frequent: int = 32, broadcast_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.k, self.t, self.frequent, self.broadcast_ids = docs.sparkSession, k, Fraction(threshold), frequent, broadcast_ids
+        modest_batches(self.spark)
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def frequent_map(self) -> np.ndarray:

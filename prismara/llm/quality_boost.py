@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytekernel import SPACED, Words, byte_table, slices
+from .common import modest_batches
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_spread", "lower", "upper", "digits", "symbols", "pipes", "bangs", "stops", "commas", "other_marks",
@@ -146,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str =
     Rows without a label or id are left out; of an id's several labels the largest holds. Without
     rows of both classes the score is the smoothed share of the class there is.
     """
+    modest_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     share = min(1 << 30, (bound << 30) // max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) < share)
