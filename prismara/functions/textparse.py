@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
 
-#: Line starts may carry quotes, bullets, numbers and bold signs before a label.
-LABEL_START = r"^[\s>*\-\d.]*\**\s*"
-LABEL_END = r"\**\s*:\s*\**\s*"
+SPACES = " \t\n\x0b\f\r"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -39,8 +37,11 @@ def let(value: Column, body) -> Column:
 
 def first_within(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Label of the first word that the text contains, else null."""
-    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(v).alias("label")) for w, v in pairs])
-    return F.get(F.filter(table, lambda p: c.contains(p["word"])), F.lit(0))["label"]
+    out = None
+    for w, v in pairs:
+        hit = c.contains(w)
+        out = F.when(hit, v) if out is None else out.when(hit, v)
+    return F.lit(None).cast("string") if out is None else out
 
 
 def member(c: Column, values: Iterable[str]) -> Column:
@@ -56,49 +57,54 @@ def _with_na(raw: Column, parsed: Column, na: str) -> Column:
     return F.when(raw.isin("na", "n/a"), F.lit(na)).otherwise(parsed)
 
 
-def parse_gender(text: Column) -> Column:
-    return let(line_value(text, "Gender"), lambda raw: _with_na(raw, member(raw, V.GENDERS), "no visible"))
+def gender_of(raw: Column) -> Column:
+    return _with_na(raw, member(raw, V.GENDERS), "no visible")
 
 
-def parse_age(text: Column) -> Column:
-    return let(line_value(text, "Age"), lambda raw: _with_na(raw, member(raw, V.AGE_GROUPS), "no visible"))
+def age_of(raw: Column) -> Column:
+    return _with_na(raw, member(raw, V.AGE_GROUPS), "no visible")
 
 
-def parse_behaviour(text: Column) -> Column:
+def behaviour_of(raw: Column) -> Column:
     """Full label, else a bare second half; one label is renamed on output."""
+    renamed = lambda pairs: [(w, V.BEHAVIOUR_RENAMED.get(v, v)) for w, v in pairs]
+    label = first_within(raw, renamed([*((v, v) for v in V.BEHAVIOURS), *V.BEHAVIOUR_SUFFIXES.items()]))
+    return _with_na(raw, label, "no visible")
 
-    def parsed(raw: Column) -> Column:
-        label = F.coalesce(member(raw, V.BEHAVIOURS), first_within(raw, V.BEHAVIOUR_SUFFIXES.items()))
-        return _with_na(raw, mapped(label, V.BEHAVIOUR_RENAMED), "no visible")
 
-    return let(line_value(text, "Behaviour"), parsed)
+def body_display_of(raw: Column) -> Column:
+    return _with_na(raw, member(raw, V.BODY_DISPLAYS), "no visible")
 
 
-def parse_body_display(text: Column) -> Column:
-    return let(line_value(text, "BodyDisplay"), lambda raw: _with_na(raw, member(raw, V.BODY_DISPLAYS), "no visible"))
+def body_weight_of(raw: Column) -> Column:
+    pairs = [*((v, v) for v in V.BODY_WEIGHTS), *V.BODY_WEIGHT_SYNONYMS.items()]
+    return _with_na(raw, first_within(raw, [(w, V.ADIPOSITY.get(v, v)) for w, v in pairs]), "not visible")
 
 
-def parse_body_weight(text: Column) -> Column:
+def muscle_of(raw: Column) -> Column:
+    """Negative words first: they may hold positive ones, and ``na`` or ``0`` anywhere counts as negative."""
+    return first_within(raw, [(w, "not visible") for w in V.MUSCLE_NEGATIVE] + [(w, "visible") for w in V.MUSCLE_POSITIVE])
 
-    def parsed(raw: Column) -> Column:
-        label = F.coalesce(member(raw, V.BODY_WEIGHTS), first_within(raw, V.BODY_WEIGHT_SYNONYMS.items()))
-        return _with_na(raw, mapped(label, V.ADIPOSITY), "not visible")
 
-    return let(line_value(text, "BodyWeight"), parsed)
+def attire_of(raw: Column) -> Column:
+    pairs = [("informal", "casual"), *((v, v) for v in V.ATTIRES), *V.ATTIRE_SYNONYMS.items()]
+    return _with_na(raw, first_within(raw, pairs), "not visible")
 
 
-def parse_muscle(text: Column) -> Column:
-    """Negative words first: they may hold positive ones, and ``na`` or ``0`` anywhere counts as negative."""
-    return let(line_value(text, "Musculature"), lambda raw: first_within(raw, [(w, "not visible") for w in V.MUSCLE_NEGATIVE] + [(w, "visible") for w in V.MUSCLE_POSITIVE]))
+#: Person attribute -> (its line's label, the parser of the line's value).
+PERSON = {
+    "gender": ("Gender", gender_of), "age": ("Age", age_of), "behaviour": ("Behaviour", behaviour_of), "body_display": ("BodyDisplay", body_display_of),
+    "body_weight": ("BodyWeight", body_weight_of), "muscle": ("Musculature", muscle_of), "attire": ("Attire", attire_of),
+}
 
 
-def parse_attire(text: Column) -> Column:
+def _parser(name: str):
+    label, parse = PERSON[name]
+    return lambda text: let(line_value(text, label), parse)
 
-    def parsed(raw: Column) -> Column:
-        label = F.coalesce(first_within(raw, [("informal", "casual")]), member(raw, V.ATTIRES), first_within(raw, V.ATTIRE_SYNONYMS.items()))
-        return _with_na(raw, label, "not visible")
 
-    return let(line_value(text, "Attire"), parsed)
+parse_gender, parse_age, parse_behaviour, parse_body_display = (_parser(n) for n in ("gender", "age", "behaviour", "body_display"))
+parse_body_weight, parse_muscle, parse_attire = (_parser(n) for n in ("body_weight", "muscle", "attire"))
 
 
 def parse_accessory(text: Column, name: str) -> Column:
@@ -106,6 +112,31 @@ def parse_accessory(text: Column, name: str) -> Column:
     return F.coalesce(found(text, rf"(?imd)^\s*{name}\s*:\s*([01])").cast("int"), F.lit(0))
 
 
+#: A label line; its value is looked ahead for, so a value that is a label line itself is one as well.
+_LINE = r"(?md)^\s*([a-z]+)\s*:(?=\s*([^\n]+))"
+_FLAG = r"(?md)^\s*([a-z]+)\s*:(?=\s*([01]))"
+
+
+def person_attributes(df: DataFrame, text: str, attributes: Iterable[str] = tuple(PERSON), accessories: Iterable[str] = tuple(V.ACCESSORIES)) -> DataFrame:
+    """``df`` with attributes of an answer in ``text``, as the single parsers find them.
+
+    The label lines are found in one pass, and values are looked up by label; every step is a projection of its own,
+    which the optimizer does not fold into its many uses.
+    """
+    attributes, accessories, kept = list(attributes), list(accessories), df.columns
+    low = F.lower(F.col(text))
+    taken = {"__k": F.regexp_extract_all(low, F.lit(_LINE), F.lit(1)), "__v": F.regexp_extract_all(low, F.lit(_LINE), F.lit(2))} if attributes else {}
+    if accessories:
+        taken |= {"__fk": F.regexp_extract_all(low, F.lit(_FLAG), F.lit(1)), "__fv": F.regexp_extract_all(low, F.lit(_FLAG), F.lit(2))}
+    df = df.withColumns(taken)
+    first = lambda keys, values, label: F.get(values, (F.array_position(keys, label) - 1).cast("int"))
+    raws = {f"__raw_{a}": strip(first("__k", "__v", PERSON[a][0].lower())) for a in attributes}
+    flags = {a: F.coalesce(first("__fk", "__fv", a).cast("int"), F.lit(0)) for a in accessories}
+    df = df.withColumns(raws | flags)
+    df = df.withColumns({a: PERSON[a][1](F.col(f"__raw_{a}")) for a in attributes})
+    return df.select(*[c for c in kept if c not in {*attributes, *accessories}], *attributes, *accessories)
+
+
 def clean_value(raw: Column) -> Column:
     raw = F.regexp_replace(F.lower(strip(raw)), r"""^[*\s"']+|[*\s"']+$""", "")
     return F.regexp_replace(raw, r"[.,;:!]+$", "")
@@ -113,7 +144,7 @@ def clean_value(raw: Column) -> Column:
 
 def last_valid(text: Column, label: str, verdict) -> Column:
     """``verdict`` of the last line of a label that has one; lines with placeholders are passed over."""
-    lines = F.regexp_extract_all(text, F.lit(rf"(?imd){LABEL_START}{label}{LABEL_END}([^\n]+)"), F.lit(1))
+    lines = F.regexp_extract_all(text, F.lit(rf"(?imd){V.LABEL_START}{label}{V.LABEL_END}([^\n]+)"), F.lit(1))
     seen = F.transform(F.transform(F.reverse(lines), clean_value), lambda v: F.when(~v.rlike("[<>]"), verdict(v)))
     return F.get(F.filter(seen, lambda x: x.isNotNull()), F.lit(0))
 
@@ -132,17 +163,44 @@ def parse_social_distance(text: Column) -> Column:
     return last_valid(text, r"social\s*distance", lambda v: member(v, V.SOCIAL_DISTANCES))
 
 
-def salvage(text: Column, key: str) -> Column:
-    """Value of a JSON key, nested as ``{"class": v}`` or flat, also from truncated text."""
-    nested = found(text, rf'"{key}"\s*:\s*\{{\s*"class"\s*:\s*"([^"]*)"')
-    return F.coalesce(nested, found(text, rf'"{key}"\s*:\s*"([^"]*)"'))
+def _balanced(depth: int = 8) -> str:
+    """Pattern of ``{...}`` with its inner braces in pairs, nested up to ``depth`` deep."""
+    inside = r"[^{}]*+"
+    for _ in range(depth):
+        inside = rf"[^{{}}]*+(?:\{{{inside}\}}[^{{}}]*+)*+"
+    return rf"(\{{{inside}\}})"
+
+
+def balanced_object(text: Column) -> Column:
+    """The first ``{...}`` whose braces are in pairs (quotes do not matter), null where none is, as in a cut answer."""
+    return found(text, _balanced())
 
 
-def flatten_json(text: Column) -> Column:
-    """JSON answers as ``Label: value`` lines; body-part JSON and texts without a known key pass as they are."""
-    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), salvage(text, key)) for key, label in V.JSON_LABELS.items()])
-    parts = text.contains('"shoulders"')
-    return F.when(parts | (lines == ""), text).otherwise(lines)
+def json_values(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``__json_<key>`` of the known keys of a JSON answer: decoded where an object is whole, else recovered from what is there.
+
+    A value may be nested as ``{"class": v}``. A key of the decoded object that has no value has none here either.
+    """
+    kept, t = df.columns, F.col(text)
+    df = df.withColumn("__o", F.from_json(balanced_object(t), "map<string,string>"))
+    df = df.withColumns({f"__d_{k}": F.try_element_at("__o", F.lit(k)) for k in V.JSON_LABELS})
+    decoded = {k: F.when(F.col(f"__d_{k}").startswith("{"), F.get_json_object(f"__d_{k}", "$.class")).otherwise(F.col(f"__d_{k}")) for k in V.JSON_LABELS}
+    df = df.withColumns({f"__d_{k}": c for k, c in decoded.items()})
+    cut = F.coalesce(*[F.col(f"__d_{k}") for k in V.JSON_LABELS]).isNull() & t.contains("{")
+    found_in = {"__nk": (V.NESTED_VALUE, 1), "__nv": (V.NESTED_VALUE, 2), "__fk": (V.FLAT_VALUE, 1), "__fv": (V.FLAT_VALUE, 2)}
+    df = df.withColumns({c: F.when(cut, F.regexp_extract_all(t, F.lit(p), F.lit(g))) for c, (p, g) in found_in.items()})
+    first = lambda keys, values, key: F.nullif(F.get(values, (F.array_position(keys, key) - 1).cast("int")), F.lit(""))
+    values = {f"__json_{k}": F.coalesce(f"__d_{k}", first("__nk", "__nv", k), first("__fk", "__fv", k)) for k in V.JSON_LABELS}
+    return df.withColumns(values).select(*kept, *values)
+
+
+def flatten_json(df: DataFrame, text: str, into: str) -> DataFrame:
+    """``df`` with ``into``: a JSON answer as ``Label: value`` lines; body-part JSON and texts without a known key as they are."""
+    kept, t = df.columns, F.col(text)
+    parts = any_of(t, V.PARTS_KEYS)
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), F.col(f"__json_{key}")) for key, label in V.JSON_LABELS.items()])
+    df = json_values(df, text).withColumn("__lines", lines)
+    return df.withColumn(into, F.when(parts | (F.col("__lines") == ""), t).otherwise(F.col("__lines"))).select(*[c for c in kept if c != into], into)
 
 
 def first_object(text: Column) -> Column:
@@ -308,3 +366,21 @@ def parse_multimedia(c: Column) -> Column:
 def track_index(c: Column) -> Column:
     """Third part of ``det_a_b`` as a number, null where it is none."""
     return F.get(F.split(c, "_"), F.lit(2)).try_cast("int")
+
+
+def accessory_flag(flags: Column, names: Column, accessory: str) -> Column:
+    """Whether a person has an accessory, from either kind of result: a map of flags, else a list of the names that were seen."""
+    by_flag = F.map_contains_key(flags, "makeup") | F.map_contains_key(flags, "tattoos")
+    flagged = F.coalesce(F.try_element_at(flags, F.lit(accessory)), F.lit(0)) != 0
+    listed = F.arrays_overlap(F.transform(names, F.lower), F.array(*[F.lit(n) for n in V.ACCESSORY_NAMES[accessory]]))
+    return F.when(by_flag, flagged).otherwise(F.coalesce(listed, F.lit(False)))
+
+
+def error_state(message: Column) -> Column:
+    """State text of a failed file: the first 100 characters of the message."""
+    return F.concat(F.lit("error: "), F.substring(F.coalesce(message, F.lit("")), 1, 100))
+
+
+def run_stamp(at: Column) -> Column:
+    """Run id of a time, to the second."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")

@@ -67,3 +67,16 @@ SCORE_NA = [
     r"heavily\s+pixelated", r"fully\s+covered", r"completely\s+(obscured|covered)", r"cannot\s+rate", r"unable\s+to\s+rate",
 ]
 SCORE_PATTERNS = [r"^\s*(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*/\s*{hi}", r"score.*?(\d+(?:\.\d+)?)", r"rating.*?(\d+(?:\.\d+)?)", r"\b(\d{1,2}(?:\.\d+)?)\b"]
+
+#: What may stand around a label at a line's start, and the patterns that recover JSON values from cut answers.
+LABEL_START = r"^[\s>*\-\d.]*\**\s*"
+LABEL_END = r"\**\s*:\s*\**\s*"
+NESTED_VALUE = r'"(\w+)"(?=\s*:\s*\{\s*"class"\s*:\s*"([^"]*)")'
+FLAT_VALUE = r'"(\w+)"(?=\s*:\s*"([^"]*)")'
+PARTS_KEYS = ['"shoulders"', '"frame_filled"']
+
+#: Names under which older results list an accessory.
+ACCESSORY_NAMES = {
+    "makeup": ["makeup", "maquillaje"], "tattoos": ["tattoos", "tatuajes"], "bags": ["bags", "bolsos"], "belts": ["belts", "cinturones"],
+    "jewelry": ["jewelry", "jewellery", "joyas"], "headwear": ["headwear", "hat", "sombrero"], "eyewear": ["eyewear", "glasses", "gafas"],
+}

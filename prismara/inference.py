@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import textparse as T
 from .functions import vocab as V
 
 
@@ -28,6 +29,9 @@ class StubBackend:
         out = []
         for image, prompt in zip(images, prompts, strict=True):
             h = hashlib.md5(f"{image}|{prompt}".encode()).digest()
+            if prompt == SCORE_PROMPT:
+                out.append(f"{1 + h[0] % 9}.{h[1] % 10}")
+                continue
             pick = lambda values, i: values[h[i] % len(values)]  # noqa: B023, E731
             out.append("\n".join([f"Gender: {pick(V.GENDERS, 0)}", f"Age: {pick(V.AGE_GROUPS, 1)}", f"Behaviour: {pick(V.BEHAVIOURS, 2)}", f"Attire: {pick(V.ATTIRES, 3)}", *(f"{a}: {h[4 + i] % 2}" for i, a in enumerate(V.ACCESSORIES))]))
         return out
@@ -44,6 +48,34 @@ PROMPTS = {
 }
 
 
+#: Prompt sets by name; a run chooses one by name, as it chooses a backend.
+PROMPT_SETS: dict[str, dict[str, str]] = {
+    "lines": PROMPTS,
+    "json": PROMPTS | {"person": PROMPTS["person"].replace("one 'Label: value' a line", 'as JSON objects {"key": {"class": value}}')},
+}
+WITH_DISTANCE = " Name the social distance as well."
+PLACE_ONLY = "Name the location, as 'Location: value'."
+SCORE_PROMPT = "Rate the face from 1 to 10. Answer with the number only."
+
+
+def scene_prompt(persons: Column, with_distance: Column, prompts: str = "lines") -> Column:
+    """Prompt of a scene: activity and location, with the distance where asked for, or the location alone without persons."""
+    scene = PROMPT_SETS[prompts]["scene"]
+    return F.when(F.coalesce(persons, F.lit(0)) == 0, PLACE_ONLY).when(with_distance, scene + WITH_DISTANCE).otherwise(scene)
+
+
+def estimate_scores(faces: DataFrame, image: str, backend: str = "stub") -> DataFrame:
+    """``faces`` with ``raw`` and ``score``: the second model, asked about faces only. A shared base is the same backend's name."""
+    asked = faces.withColumn("raw", infer(F.col(image), F.lit(SCORE_PROMPT), backend))
+    return asked.withColumn("score", T.parse_score(F.col("raw")))
+
+
+def deferred_scores(candidates: DataFrame, scored: DataFrame, key: list[str], image: str, backend: str = "stub") -> DataFrame:
+    """The pending faces (those without a score, best picture there) scored after all classification, and the ones that had one."""
+    open_ = candidates.where(F.col(image).isNotNull()).join(scored.select(*key).distinct(), key, "left_anti")
+    return scored.select(*key, "score").unionByName(estimate_scores(open_, image, backend).select(*key, "score"))
+
+
 def infer(image: Column, prompt: Column, backend: str = "stub") -> Column:
     """Text column of a backend's answers. Empty answers are asked for once more."""
 

@@ -61,6 +61,32 @@ def mismatches(pairs: Sequence[tuple[Column, Column, bool]]) -> Column:
     return out
 
 
+def name_counts(df: DataFrame, keys: Sequence[str], names: str, track: str) -> DataFrame:
+    """Of lists of names: how many rows, the JSON counts of the names, and of how many tracks."""
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.countDistinct(track).alias("tracks"))
+    each = df.select(*keys, F.explode(names).alias("__name"))
+    return per.join(distribution(each, keys, "__name"), list(keys), "left")
+
+
+def face_means(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Faces of an image and the mean of their scores that are numbers, to 2 decimals, ``NA`` without any."""
+    mean = F.round(F.avg(F.col(score).try_cast("double")), 2)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_faces"), F.coalesce(mean.cast("string"), F.lit("NA")).alias("mean_score"))
+
+
+def most_common(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """Values that say something with their counts, the most common first, of equals the one seen first."""
+    counts = df.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__f"))
+    return counts.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), "__f"))).drop("__f")
+
+
+def cell_state(machine: Column, manual: Column, binary: bool, row_type: Column) -> Column:
+    """How a cell of the comparison is shown: a side alone, not analysed, not comparable, equal or different."""
+    x, y = T.normal(machine, binary), T.normal(manual, binary)
+    alone = F.when(row_type == "left_only", "manual_only").when(row_type == "right_only", "ai_only")
+    return F.coalesce(alone, F.when(x == "no analizado", "not_analysed").when((x == "NA") | (y == "NA"), "blank").when(x == y, "equal").otherwise("different"))
+
+
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa of two label columns, from the confusion table's margins."""
     table = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))

@@ -49,9 +49,14 @@ def cluster_persons(candidates: DataFrame, scene: str, person: str, score: str,
     return rows.groupBy(scene).applyInPandas(one, f"{scene} {kinds[scene]}, {person} {kinds[person]}, leader {kinds[person]}")
 
 
-def merge_clusters(clustered: DataFrame, scene: str, person: str, frames: str, best: list[str]) -> DataFrame:
-    """Per cluster: the leader's id, the best of each score column and all frames."""
-    return clustered.groupBy(scene, "leader").agg(F.count(F.lit(1)).alias("members"), *[F.max(c).alias(c) for c in best], F.array_sort(F.array_distinct(F.flatten(F.collect_list(frames)))).alias(frames))
+def merge_clusters(clustered: DataFrame, scene: str, person: str, frames: str, score: str, best: list[str]) -> DataFrame:
+    """Per cluster: the leader with its own ``score``, of each ``best`` column (a struct that begins with a score) the member's with the highest, and all frames.
+
+    Of equal scores the one of the member that stands first by ``score`` holds.
+    """
+    mine = F.when(F.col(person) == F.col("leader"), F.col(score))
+    tops = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(c)["score"], F.col(score), (-F.col(person)).alias("__p")))).alias(c) for c in best]
+    return clustered.groupBy(scene, "leader").agg(F.count(F.lit(1)).alias("members"), F.max(mine).alias(score), *tops, F.array_sort(F.array_distinct(F.flatten(F.collect_list(frames)))).alias(frames))
 
 
 def similar_pairs(df: DataFrame, group: str, ident: str, embedding: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -95,6 +95,16 @@ def align_ordinal(left: DataFrame, right: DataFrame, key: str, left_order: Seque
     return a.join(b, [key, "ordinal"], "full_outer").withColumn("row_type", kind).drop("__l", "__r")
 
 
+def attach_scores(packages: DataFrame, scores: DataFrame, scene: str, persons: str, track: str, score: str) -> DataFrame:
+    """Packages (one row a scene, with an array of person structs) with the scores of (scene, track) put into their persons.
+
+    A person without one keeps what it has. Scores of a scene are few, so they travel as one map.
+    """
+    by_scene = scores.groupBy(F.col(scene).alias("__s")).agg(F.map_from_entries(F.collect_list(F.struct(track, score))).alias("__m"))
+    put = lambda p: p.withField(score, F.coalesce(F.try_element_at("__m", p[track]), p[score]))
+    return packages.join(by_scene, F.col(scene) == F.col("__s"), "left").withColumn(persons, F.transform(persons, put)).drop("__s", "__m")
+
+
 def pending(work: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Work without a finished row."""
     return work.join(done.select(*on).distinct(), list(on), "left_anti")

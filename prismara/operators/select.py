@@ -13,6 +13,7 @@ MAX_FRAME_GAP = 5
 FRONTAL, PROFILE = 4, 2
 DISPLACEMENT = 0.20
 MIN_SCENE = 10
+PERSON_CLASS, DETECTOR_CONF = 0, 0.35
 
 
 def best_rows(df: DataFrame, keys: Sequence[str], score: Column, order: str) -> DataFrame:
@@ -25,6 +26,16 @@ def best_rows(df: DataFrame, keys: Sequence[str], score: Column, order: str) ->
     return best.select(*keys, "b.*")
 
 
+def confident_persons(boxes: DataFrame, cls: str, conf: str, least: float = DETECTOR_CONF) -> DataFrame:
+    """Boxes of the person class that a detector is sure enough of."""
+    return boxes.where((F.col(cls) == PERSON_CLASS) & (F.col(conf) >= least))
+
+
+def demanding(persons: DataFrame, behaviour: str, demand_only: bool = False) -> DataFrame:
+    """Persons whose faces are scored: all of them, or those who make a demand."""
+    return persons.where(F.coalesce(F.col(behaviour), F.lit("")).startswith("demand")) if demand_only else persons
+
+
 def face_turns(obs: DataFrame, key: str, frame: str, points: str) -> DataFrame:
     """Frames at which a track turns between frontal and profile within a few frames."""
     w = W.partitionBy(key).orderBy(frame)

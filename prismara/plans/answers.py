@@ -69,14 +69,7 @@ def o_ans(*columns: str) -> str:
 
 def labels(df: DataFrame) -> DataFrame:
     """Answers with every person attribute as a column."""
-    raw = F.col("raw")
-    return df.withColumns(
-        {
-            "gender": T.parse_gender(raw), "age": T.parse_age(raw), "behaviour": T.parse_behaviour(raw), "body_display": T.parse_body_display(raw),
-            "body_weight": T.parse_body_weight(raw), "muscle": T.parse_muscle(raw), "attire": T.parse_attire(raw),
-            **{a: T.parse_accessory(raw, a) for a in V.ACCESSORIES},
-        }
-    )
+    return T.person_attributes(df, "raw")
 
 
 ATTRS = ["gender", "age", "behaviour", "body_display", "body_weight", "muscle", "attire"]
@@ -86,7 +79,7 @@ O_LABELS = f"SELECT *, {', '.join(f'{sql} AS {a}' for a, sql in _O.items())}, {'
 
 
 def parse_person_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return labels(VR.answers(spark, sf)).select(*KEY, *ATTRS, *V.ACCESSORIES)
+    return labels(VR.answers(spark, sf, "raw")).select(*KEY, *ATTRS, *V.ACCESSORIES)
 
 
 def parse_scene_last_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,8 +103,8 @@ O_SCENE = {
 
 
 def json_flatten_truncated(spark: SparkSession, sf: str) -> DataFrame:
-    j = T.flatten_json(F.col("json_raw"))
-    return VR.answers(spark, sf).select(*KEY, j.alias("flat"), T.parse_gender(j).alias("gender"), T.parse_attire(j).alias("attire"))
+    flat = T.flatten_json(VR.answers(spark, sf, "json_raw"), "json_raw", "flat")
+    return T.person_attributes(flat, "flat", ["gender", "attire"], []).select(*KEY, "flat", "gender", "attire")
 
 
 def _o_salvage(key: str) -> str:
@@ -230,8 +223,7 @@ SELECT conv_id, string_agg(t, ' | ' ORDER BY turn, role, t) AS texts FROM (
 
 
 def category_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    lab = VR.answers(spark, sf)
-    lab = lab.select("l_orderkey", T.parse_gender(F.col("raw")).alias("gender"))
+    lab = T.person_attributes(VR.answers(spark, sf, "raw"), "raw", ["gender"], []).select("l_orderkey", "gender")
     return A.distribution(lab, ["l_orderkey"], "gender").select("l_orderkey", F.col("distribution").alias("genders"))
 
 
@@ -243,7 +235,7 @@ SELECT l_orderkey, '{{' || string_agg('"' || v || '":' || n, ',' ORDER BY v) ||
 
 
 def any_flag(spark: SparkSession, sf: str) -> DataFrame:
-    lab = labels(VR.answers(spark, sf))
+    lab = labels(VR.answers(spark, sf, "raw"))
     flags = [A.any_flag(F.when(F.col("l_linenumber") % 3 != 0, F.col(a))).alias(a) for a in ("makeup", "bags", "eyewear")]
     return lab.groupBy("l_orderkey").agg(*flags, F.coalesce(F.bool_or((F.col("makeup") == 1) | (F.col("eyewear") == 1)), F.lit(False)).alias("any_accessory"))
 
@@ -255,7 +247,7 @@ SELECT l_orderkey, max(CASE WHEN l_linenumber % 3 <> 0 THEN makeup END) AS makeu
 
 
 def analysis_status(spark: SparkSession, sf: str) -> DataFrame:
-    lab = labels(VR.answers(spark, sf))
+    lab = labels(VR.answers(spark, sf, "raw"))
     counts = lab.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("persons"), *[F.count_if(~F.coalesce(F.lower(a), F.lit("")).isin("", "na", "no visible")).alias(a) for a in ATTRS])
     rate, status = A.analysis_status(F.col("persons"), [F.col(a) for a in ATTRS])
     return counts.select("l_orderkey", "persons", rate.alias("rate"), status.alias("status"), T.status_word(status).alias("status_word"))
@@ -272,7 +264,7 @@ SELECT l_orderkey, persons, round(missing / (persons * {len(ATTRS)}), 3) AS rate
 
 def display_attrs(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered display texts of a person, blanks left out."""
-    lab = labels(VR.answers(spark, sf))
+    lab = labels(VR.answers(spark, sf, "raw"))
     items = [F.when(~T.is_blank(F.col(a)), T.display_label(F.col(a), a)) for a in ("gender", "age", "behaviour", "body_weight")]
     items.append(F.when(F.col("muscle") == "visible", F.lit("Muscular")))
     items.append(F.when(~T.is_blank(F.col("attire")), T.display_label(F.col("attire"), "attire")))

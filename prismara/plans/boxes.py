@@ -64,11 +64,19 @@ O_ANTI = f"WITH d AS ({DET}) SELECT {DKEYS} FROM d c WHERE l_partkey % 2 = 0 AND
 
 
 def iou_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    """Accepted boxes of a media taken as one frame, in order; no oracle, as each choice depends on the ones before."""
+    """Accepted boxes of a media taken as one frame, in order."""
     d = VR.detections(spark, sf).withColumn("o", F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
     return joins.greedy_unseen(d, ["media"], "o")
 
 
+O_GREEDY = f"""
+WITH RECURSIVE d AS (SELECT media, {{'o': frame * 1000000000 + l_partkey * 10000 + l_suppkey, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b, row_number() OVER (PARTITION BY media ORDER BY frame * 1000000000 + l_partkey * 10000 + l_suppkey, x1, y1, x2, y2) AS n FROM ({DET})),
+s AS (SELECT media, n, [b] AS kept FROM d WHERE n = 1
+  UNION ALL SELECT d.media, d.n, CASE WHEN len(list_filter(s.kept, lambda k: {o_iou('k', 'd.b')} >= {G.IOU_SEEN})) = 0 THEN list_append(s.kept, d.b) ELSE s.kept END FROM s JOIN d ON d.media = s.media AND d.n = s.n + 1)
+SELECT media, k.o AS o, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM (SELECT media, unnest(kept) AS k FROM (SELECT media, arg_max(kept, n) AS kept FROM s GROUP BY media))
+"""
+
+
 def min_ratio_two_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = VR.detections(spark, sf)
     big = (G.side(F.col("x1"), F.col("x2")) >= 4) & (G.side(F.col("y1"), F.col("y2")) >= 4)
@@ -179,12 +187,14 @@ O_GENERAL = f"SELECT media, track, frame, l_partkey, l_suppkey, score FROM (SELE
 
 def best_candidate_body(spark: SparkSession, sf: str) -> DataFrame:
     d = KP(VR.detections(spark, sf)).withColumn("at", F.col("media") * 10_000_000_000 + F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
-    d = d.where(G.waist_visible(F.col("kps"))).drop("kps")
-    best = select.best_rows(d, ["track", "x1"], 1000.0 / G.area(G.box()), "at")
-    return best.select("track", "x1", "media", "frame", "l_partkey", "l_suppkey", F.round("score", 6).alias("score"))
+    d = d.where(G.frontal_with_waist(F.col("kps"))).withColumn("points", G.visible_points(F.col("kps"))).drop("kps")
+    best = select.best_rows(d, ["track", "x1"], F.round(F.col("points") / G.area(G.box()), 12), "at")
+    return best.select("track", "x1", "media", "frame", "l_partkey", "l_suppkey", F.round("score", 9).alias("score"))
 
 
-O_BODY = f"SELECT track, x1, media, frame, l_partkey, l_suppkey, round(s, 6) AS score FROM (SELECT *, 1000.0 / ((x2 - x1) * (y2 - y1)) AS s, row_number() OVER (PARTITION BY track, x1 ORDER BY 1000.0 / ((x2 - x1) * (y2 - y1)) DESC, media * 10000000000 + {_AT}) AS n FROM ({DET}) WHERE {_WAIST}) WHERE n = 1"
+_FRONTAL = f"{_WAIST} AND {_level(5, 6)} AND {_level(11, 12)}"
+_BODY = f"round(({' + '.join(f'CASE WHEN {_o_conf(i)} > 0.5 THEN 1 ELSE 0 END' for i in range(17))}) / CAST((x2 - x1) * (y2 - y1) AS DOUBLE), 12)"
+O_BODY = f"SELECT track, x1, media, frame, l_partkey, l_suppkey, round(s, 9) AS score FROM (SELECT *, {_BODY} AS s, row_number() OVER (PARTITION BY track, x1 ORDER BY {_BODY} DESC, media * 10000000000 + {_AT}) AS n FROM ({DET}) WHERE {_FRONTAL}) WHERE n = 1"
 
 
 def best_candidate_face(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,10 +330,31 @@ O_PAIRS = "SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(li
 
 
 def dedup_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    e = VR.table(spark, sf, "embeddings").withColumn("score", (F.col("vec_id") * 7919 % 1000) / 1000.0).withColumn("frames", F.array(F.col("vec_id") % 97, F.col("vec_id") % 89 + 97))
-    rows = e.withColumn("scene", F.col("label") * 100 + F.col("vec_id") % 100)
-    out = dedup.cluster_persons(rows, "scene", "vec_id", "score", "embedding", "frames", 0.30)
-    return dedup.merge_clusters(out.join(rows.select("vec_id", "score", "frames"), "vec_id"), "scene", "vec_id", "frames", ["score"]).select("scene", "leader", "members", F.array_join("frames", ",").alias("frames"))
+    """Scenes of a few tens of persons, whatever the table's size; body and face candidates are there for some."""
+    e = VR.table(spark, sf, "embeddings")
+    scene = F.floor(F.col("vec_id") / 40)
+    e = e.withColumn("score", (F.col("vec_id") * 7919 % 1000) / 1000.0).withColumn("frames", F.array(F.col("vec_id") % 97, F.col("vec_id") % 89 + 97))
+    slot = lambda by, mod: F.when(F.col("vec_id") % mod != 0, F.struct(((F.col("vec_id") * by % 101) / 100.0).alias("score"), F.col("vec_id").alias("of")))
+    rows = e.withColumn("scene", scene).withColumn("body", slot(31, 3)).withColumn("face", slot(47, 4))
+    out = dedup.cluster_persons(rows, "scene", "vec_id", "score", "embedding", "frames", 0.15)
+    merged = dedup.merge_clusters(out.join(rows.select("vec_id", "score", "frames", "body", "face"), "vec_id"), "scene", "vec_id", "frames", "score", ["body", "face"])
+    return merged.select("scene", "leader", "members", "score", F.col("body.of").alias("body_of"), F.col("face.of").alias("face_of"), F.array_join("frames", ",").alias("frames"))
+
+
+#: Persons in order of score join the first cluster whose leader is alike and whose frames are all others', or open one: a fold over a scene with its clusters as a list.
+O_CLUSTERS = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(floor(vec_id / 40) AS BIGINT) AS scene, (vec_id * 7919 % 1000) / 1000.0 AS score, CAST(embedding AS DOUBLE[]) AS v, [vec_id % 97, vec_id % 89 + 97] AS f,
+    row_number() OVER (PARTITION BY floor(vec_id / 40) ORDER BY vec_id * 7919 % 1000 DESC, vec_id) AS n FROM embeddings),
+a AS (SELECT y.scene, y.n, list(x.n) FILTER (WHERE list_dot_product(x.v, y.v) >= 0.15) AS alike FROM e y LEFT JOIN e x ON x.scene = y.scene AND x.n < y.n GROUP BY 1, 2),
+i AS (SELECT e.scene, e.n, e.f, coalesce(a.alike, []) AS alike FROM e JOIN a USING (scene, n)),
+s AS (SELECT scene, n, [{'lead': n, 'f': f}] AS c, n AS hit FROM i WHERE n = 1
+  UNION ALL SELECT scene, n, CASE WHEN hit IS NULL THEN list_append(c, {'lead': n, 'f': f}) ELSE list_transform(c, lambda k: CASE WHEN k.lead = hit THEN {'lead': k.lead, 'f': list_concat(k.f, f)} ELSE k END) END AS c, coalesce(hit, n) AS hit
+  FROM (SELECT i.scene, i.n, i.f, s.c, list_filter(s.c, lambda k: list_contains(i.alike, k.lead) AND NOT list_has_any(k.f, i.f))[1].lead AS hit FROM s JOIN i ON i.scene = s.scene AND i.n = s.n + 1)),
+m AS (SELECT s.scene, l.vec_id AS leader, l.score AS score, e.vec_id, e.f, e.score AS own, CASE WHEN e.vec_id % 3 <> 0 THEN (e.vec_id * 31 % 101) / 100.0 END AS b, CASE WHEN e.vec_id % 4 <> 0 THEN (e.vec_id * 47 % 101) / 100.0 END AS t
+  FROM s JOIN e ON e.scene = s.scene AND e.n = s.n JOIN e l ON l.scene = s.scene AND l.n = s.hit)
+SELECT scene, leader, count(*) AS members, max(score) AS score, arg_max(vec_id, (b, own, -vec_id)) FILTER (WHERE b IS NOT NULL) AS body_of, arg_max(vec_id, (t, own, -vec_id)) FILTER (WHERE t IS NOT NULL) AS face_of,
+  array_to_string(list_sort(list_distinct(flatten(list(f)))), ',') AS frames FROM m GROUP BY scene, leader
+"""
 
 
 def video_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -405,6 +436,8 @@ def oracle_sql() -> dict[str, str]:
         "gap_splits": O_SPLITS,
         "panel_grid_overlap": O_PANEL,
         "dedup_pairs": O_PAIRS,
+        "dedup_clusters": O_CLUSTERS,
+        "iou_greedy": O_GREEDY,
         "video_statistics": O_VIDEO,
         "collage_rollup": O_COLLAGE,
         "track_order": O_TRACK,

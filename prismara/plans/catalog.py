@@ -1,8 +1,8 @@
 """All catalogue queries and their oracle SQL."""
 
-from . import answers, boxes, flows
+from . import answers, boxes, flows, reports
 
-_MODULES = (answers, boxes, flows)
+_MODULES = (answers, boxes, flows, reports)
 
 
 def queries() -> dict:

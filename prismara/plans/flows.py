@@ -40,7 +40,7 @@ def _sources(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 def metadata_chain(spark: SparkSession, sf: str) -> DataFrame:
     rows = metadata.chain(_sources(spark, sf), "ord")
-    stems = VR.table(spark, sf, "orders").where("o_orderkey < 9000").select(F.col("o_orderkey").cast("string").alias("stem"))
+    stems = VR.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("stem"))
     return metadata.resolve(stems, rows)
 
 
@@ -50,7 +50,7 @@ WITH s AS ({_UNION}), p AS (SELECT id, tag FROM (SELECT *, row_number() OVER (PA
 e AS (SELECT id, priority, ord, 0 AS pos, CAST(k * 10 + 1 AS VARCHAR) AS member, CASE WHEN k % 4 = 0 THEN 'u' || k END AS url FROM s WHERE k % 4 IN (0, 1) UNION ALL SELECT id, priority, ord, 1, CAST(k * 10 + 2 AS VARCHAR), '' FROM s WHERE k % 4 = 0),
 o AS (SELECT member, id AS owner FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY priority, ord, pos) AS n FROM e) WHERE n = 1),
 u AS (SELECT member, url FROM (SELECT *, row_number() OVER (PARTITION BY member ORDER BY priority, ord, pos) AS n FROM e WHERE url IS NOT NULL AND url <> '') WHERE n = 1),
-t AS (SELECT CAST(o_orderkey AS VARCHAR) AS stem FROM orders WHERE o_orderkey < 9000)
+t AS (SELECT CAST(o_orderkey AS VARCHAR) AS stem FROM orders)
 SELECT t.stem, coalesce(p.id, o.owner) AS post_id, u.url, CASE WHEN p.id IS NOT NULL THEN p.tag WHEN q.id IS NOT NULL THEN q.tag || '-album' WHEN o.owner IS NOT NULL THEN 'album-nometa' ELSE 'none' END AS match_source
 FROM t LEFT JOIN p ON t.stem = p.id LEFT JOIN o ON t.stem = o.member LEFT JOIN p q ON o.owner = q.id LEFT JOIN u ON t.stem = u.member
 """
@@ -236,7 +236,7 @@ def skipped_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def person_rows_image(spark: SparkSession, sf: str) -> DataFrame:
     """One row a person, padded to the announced number, or one row for an image without any."""
-    li = VR.answers(spark, sf).where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", T.parse_gender(F.col("raw")).alias("gender"))
+    li = T.person_attributes(VR.answers(spark, sf, "raw"), "raw", ["gender"], []).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "gender")
     got = li.withColumn("idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     img = VR.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("int").alias("n"))
     slots = img.withColumn("idx", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n")))))
@@ -249,7 +249,7 @@ def _o_person_rows() -> str:
     from .answers import _O, o_ans
 
     return f"""
-WITH g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS idx, {_O['gender']} AS gender FROM ({o_ans('raw')}) WHERE l_linenumber <= 3),
+WITH g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS idx, {_O['gender']} AS gender FROM ({o_ans('raw')})),
 s AS (SELECT o_orderkey, o_orderkey % 4 AS n, unnest(CASE WHEN o_orderkey % 4 > 0 THEN range(1, o_orderkey % 4 + 1) ELSE [NULL] END) AS idx FROM orders)
 SELECT o_orderkey || '__' || coalesce(CAST(s.idx AS VARCHAR), 'none') AS join_id, CASE WHEN n > 0 THEN coalesce('t' || l_suppkey, 'det_0_' || (s.idx - 1)) END AS track_id, CASE WHEN n > 0 THEN gender END AS gender FROM s LEFT JOIN g ON s.o_orderkey = g.l_orderkey AND s.idx = g.idx
 """

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def cases(expr: str, values: list[str]) -> str:
@@ -59,11 +60,13 @@ THINK = cases("l_suppkey + l_linenumber", ["<think>a b</think>female", "<think>u
 LEGACY = cases("l_partkey + l_linenumber", ["Age: youth", "she looks like a toddler", "around 45 years", "age 7", "Age: NA", "an elderly man", "nothing", "Age: unsure, maybe adulthood", "in the year 300", "young adult"])
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_ans: media (order), the key columns and the raw answers of each task."""
+TEXTS = {"raw": PLAIN, "scene_raw": SCENE, "json_raw": JSON, "score_raw": SCORE, "think_raw": THINK, "legacy_raw": LEGACY}
+
+
+def answers(spark: SparkSession, sf_dir: str, *texts: str) -> DataFrame:
+    """v_ans: media (order), the key columns and the raw answers of the tasks asked for, all by default."""
     li = table(spark, sf_dir, "lineitem").select(*KEY, "l_quantity", "l_discount")
-    texts = {"raw": PLAIN, "scene_raw": SCENE, "json_raw": JSON, "score_raw": SCORE, "think_raw": THINK, "legacy_raw": LEGACY}
-    return li.withColumns({k: F.expr(v) for k, v in texts.items()})
+    return li.withColumns({k: F.expr(TEXTS[k]) for k in texts or TEXTS})
 
 
 #: v_det in SQL, for both engines.

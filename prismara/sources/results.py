@@ -37,14 +37,15 @@ def latest_run(results: DataFrame, file: str = "img_id") -> DataFrame:
 
 def upsert(master: DataFrame, new: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """New values where there are any, else the present ones; rows of the master only."""
-    fresh = new.select(*on, *[F.col(c).alias(f"__{c}") for c in columns])
+    # of a key's several new rows each column's largest value holds, so that no master row is multiplied
+    fresh = new.groupBy(*on).agg(*[F.max(c).alias(f"__{c}") for c in columns])
     joined = master.join(fresh, list(on), "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in master.columns])
 
 
 def backfill(master: DataFrame, new: DataFrame, on: str, column: str, target) -> DataFrame:
     """Fills a column of the ``target`` rows only."""
-    fresh = new.select(F.col(on).alias("__k"), F.col(column).alias("__v"))
+    fresh = new.groupBy(F.col(on).alias("__k")).agg(F.max(column).alias("__v"))
     joined = master.join(fresh, F.col(on) == F.col("__k"), "left")
     return joined.select(*[F.when(target & F.col("__v").isNotNull(), F.col("__v")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in master.columns])
 
@@ -66,14 +67,45 @@ def stale_packages(references: DataFrame, listing: DataFrame, package: str, file
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames: readers see the old table or the new one."""
+    """Writes beside the target and renames. The old table is deleted only when the new one is in place."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
     df.write.mode("overwrite").parquet(new)
     hadoop = jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(conf)
-    fs.delete(hadoop(old), True)
     if fs.exists(hadoop(path)):
+        fs.delete(hadoop(old), True)
         fs.rename(hadoop(path), hadoop(old))
     fs.rename(hadoop(new), hadoop(path))
+    fs.delete(hadoop(old), True)
+
+
+def write_results(results: DataFrame, folder: str, degraded: str = "degraded") -> None:
+    """Appends results as JSON by run. A row is its file's completion mark, so degraded ones are left out and done again later."""
+    good = results.where(~F.coalesce(F.col(degraded), F.lit(False))).drop(degraded) if degraded in results.columns else results
+    good.write.mode("append").partitionBy("run_id").json(folder)
+
+
+def write_sheet(df: DataFrame, path: str, columns: Sequence[str], fallback: str | None = None) -> str:
+    """Writes the columns in their order as CSV; where that fails, to the fallback path. Returns where it went."""
+    rows = in_columns(df, columns)
+    try:
+        rows.write.mode("overwrite").option("header", True).csv(path)
+    except Exception:  # whatever the store says: the rows must not be lost
+        if fallback is None:
+            raise
+        rows.write.mode("overwrite").option("header", True).csv(fallback)
+        return fallback
+    return path
+
+
+def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """One CSV folder a sheet."""
+    for name, df in sheets.items():
+        write_sheet(df, f"{folder.rstrip('/')}/{name}", df.columns)
+
+
+def console_table(df: DataFrame, rows: int = 20) -> str:
+    """The first rows as a text table."""
+    return df._jdf.showString(rows, 40, False)

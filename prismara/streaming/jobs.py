@@ -22,7 +22,9 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str]):
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(list(key))
+        # of a key's rows the last one by its values, so that a repeated batch gives the same table
+        rest = [c for c in batch.columns if c not in key]
+        batch = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__r")).select(*[F.col(c) if c in key else F.col(f"__r.{c}") for c in batch.columns])
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         swap_in(append_replace(spark.read.parquet(target), batch, key) if there else batch, target)
