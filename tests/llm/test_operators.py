@@ -85,20 +85,71 @@ def test_url_rules(spark, tiny):
         assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
 
 
-def test_url_models_learn_rejected_hosts(spark):
-    good = [(i, f"https://www.library-of-{w}.example/books/{i}") for i, w in enumerate(["history", "science", "music", "garden", "travel"] * 60)]
-    bad = [(1000 + i, f"http://cheap-{w}-casino.example/win/{i}") for i, w in enumerate(["slots", "poker", "bonus"] * 100)]
-    rows = filter_urls(spark.createDataFrame(good + bad, "page_id long, url string"), []).collect()
-    right = sum((r["verdict"] == "block") == (r["page_id"] >= 1000) for r in rows)
-    assert right >= 0.98 * len(rows)
-
-
-def test_url_models_learn_hot_forms_from_a_small_sample(spark):
-    """Many URLs of few forms: the bounded sample holds each form by its share, so both classes are learned."""
-    good = [(i, f"https://{w}-library.example/books/{i:05d}") for i, w in enumerate(["history", "science", "music"] * 1000)]
-    bad = [(10_000 + i, f"http://{w}-casino.example/win/{i:05d}") for i, w in enumerate(["slots", "poker", "bonus"] * 1000)]
-    rows = filter_urls(spark.createDataFrame(good + bad, "page_id long, url string"), [], bound=100).collect()
-    assert all((r["verdict"] == "block") == (r["page_id"] >= 10_000) for r in rows)
+SITES = [f"{a}-{b}" for a in ("history", "science", "music", "garden", "travel", "city") for b in ("library", "museum", "archive", "society")]
+
+
+def test_url_models_generalise_to_hosts_kept_back(spark):
+    """Labels of some hosts; every verdict on the other hosts, of which none of the models saw a URL, is right."""
+    spam = [f"{a}-{b}" for a in ("cheap", "best", "free", "win", "real") for b in ("casino", "poker", "pills", "slots", "loans")]
+    made = [(f"http{'s' * (i % 2)}://www.{host}.example/{p}/{i}", bad) for bad, hosts in ((False, SITES), (True, spam)) for host in hosts for i, p in enumerate(["a", "news", "item"] * 6)]
+    shown = spark.createDataFrame([x for x in made if crc32(x[0].split("/")[2].encode()) % 3], "url string, rejected boolean")
+    asked = [x for x in made if crc32(x[0].split("/")[2].encode()) % 3 == 0]
+    rows = filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(asked)], "page_id int, url string"), [], labels=shown).collect()
+    wrong = [r["url"] for r in rows if (r["verdict"] == "block") != asked[r["page_id"]][1]]
+    assert len(wrong) <= 0.1 * len(rows)
+
+
+def test_url_models_reject_spam_hosts_of_a_table(spark):
+    """Without labels: hosts of spam words are rejected, listed words or not, also where they are as common as others; the rest stays."""
+    good = [(i, f"https://www.{SITES[i % len(SITES)]}.example.org/{i % 7}/{i:05d}") for i in range(3000)]
+    bad = [(10_000 + i, f"http://{h}.example.org/{i % 7}/{i:05d}") for i, h in enumerate(["free-bets", "ads-track", "casino-win", "poker-bonus"] * 50)]
+    rows = filter_urls(spark.createDataFrame(good + bad, "page_id long, url string"), [], bound=500).collect()
+    assert sum(r["verdict"] == "allow" for r in rows if r["page_id"] < 10_000) >= 0.99 * len(good)
+    assert sum(r["verdict"] == "block" for r in rows if r["page_id"] >= 10_000) >= 0.75 * len(bad)
+
+
+def test_url_repeats_and_long_urls(spark):
+    long = "https://a.example.com/de/" + "x/" * 50_000
+    rows = filter_urls(spark.createDataFrame([(i, long if i % 2 else "https://a.example.com/de/1") for i in range(6)], "page_id long, url string"), queries.URL_RULES).collect()
+    assert len(rows) == 6 and len({r["verdict"] for r in rows if r["page_id"] % 2}) == 1 and len(rows[1]["path"] or rows[0]["path"]) > 0
+
+
+def brute_margin(counts, url):
+    """Plain Witten-Bell: (log P(url | rejected) - log P(url | accepted)) a byte, from the n-gram counts of both classes."""
+    import math
+
+    def p(side, gram):
+        if not gram:
+            return 1 / 256
+        context = gram[:-1]
+        follow = {g: n for g, n in side.items() if len(g) == len(gram) and g[:-1] == context}
+        total, kinds = sum(follow.values()), len(follow)
+        below = p(side, gram[1:])
+        return below if total < 2 else (follow.get(gram, 0) + kinds * below) / (total + kinds)
+
+    total = 0.0
+    for i in range(1, len(url)):
+        gram = url[max(0, i - 5) : i + 1]
+        total += math.log(p(counts[True], gram)) - math.log(p(counts[False], gram))
+    return total / (len(url) - 1)
+
+
+def test_url_margins_match_brute_force(spark):
+    from prismara.llm import url_filter as U
+
+    known = [("\x02ab.c/0\x03", False, 0), ("\x02abba.c/0\x03", False, 1), ("\x02acab.c/00\x03", False, 2), ("\x02xxy.c/0\x03", True, 0), ("\x02xyx.c/0\x03", True, 1), ("\x02yxxy.c/0\x03", True, 2)] * 2
+    ratio = U.train(spark.createDataFrame(known, "url string, rejected boolean, fold int"))
+    for f in range(U.FOLDS):
+        counts = {False: Counter(), True: Counter()}
+        for url, bad, fold in known:
+            if fold != f:
+                for k in range(1, U.ORDER + 1):
+                    counts[bad].update(url[i - k + 1 : i + 1] for i in range(1, len(url)) if i >= k - 1)
+        for url in ("\x02abxy.c/0\x03", "\x02q\x03"):
+            data, offs = U.string_bytes(__import__("pyarrow").array([url]))
+            import numpy as np
+
+            assert ratio.margins(data, offs, np.array([f]))[0] == pytest.approx(brute_margin(counts, url), abs=1e-9)
 
 
 def test_url_filter_of_nothing(spark):
