@@ -16,14 +16,15 @@ documents; any choice gives the same links, and a good one gives few candidates.
 
 Equal sets are one class. Each index token has a pivot, the class that shares most of its tokens with
 others (the original among near copies), and the classes of a token are candidates in their pivot's
-bucket. Inside a bucket, which is dealt in blocks of bounded size, pairs are told apart by parity
-sketches: two to four bits a token, each flipped by every token that falls on its place; the larger of
-two is folded to the other's length. Two sets differ by at least as many tokens as their sketches by
-bits, so the bound is exact and nothing else is emitted. First
-each class meets only its nearest pivot, and the links found are contracted to components; then only
-pairs of different components are still compared. What is left is verified on the texts, which
-each block gets once; pairs that the block's links join already are skipped. So a large group of near
-copies costs about one comparison of texts a member, and emits none of its other pairs.
+bucket. First each class meets only its nearest pivot, and the links found are contracted to
+components. Then what is still apart in a bucket is compared, and only that: members whose rare tokens
+alone leave no room for a link with anyone there are dropped, and of the rest each is held against those
+outside the bucket's largest component, in blocks of bounded size. Two parity sketches decide before any text is
+read: two to four bits a token, each flipped by every token that falls on its place; the larger of two
+is folded to the other's length. Two sets differ by at least as many tokens as their sketches by bits, so
+the bound is exact and nothing else is emitted. What is left is verified on the texts, which each block
+gets once; pairs that the block's links join already are skipped. So a large group of near copies costs
+about one comparison of texts a member, and emits none of its other pairs.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import SPACED, Words, mix, slices
-from .common import discard, materialise, modest_batches, spread_join
+from .common import SPACE_CLASS, discard, materialise, modest_batches, spread_join
 from .components import connected_components
 
 MAP_BITS = 23
-BLOCK = 512
+BLOCK = 256
 CHUNK_TOKENS = 1 << 20
 _U = np.uint64
 
@@ -214,34 +215,46 @@ def _near(n: np.ndarray, m: np.ndarray, bits: np.ndarray, t: Fraction) -> np.nda
 
 
 def _block_pairs(table: pa.Table, t: Fraction) -> pa.Table:
-    """Rows of one block pair of a bucket -> (g, a_id, b_id, bits) of pairs of different components that may match.
+    """One block of a bucket's members (left) and one of those outside its largest component (right) -> (g, a_id, b_id, bits) of pairs that may match.
 
     Besides sizes and sketches, ``spare`` decides: two sets that share no rare token have all of them apart.
     """
-    ids, n, component, own, spare, by_rare, by_often = (table.column(c).to_numpy() for c in ("id", "n", "component", "own", "spare", "by_rare", "by_often"))
-    order = np.argsort(n, kind="stable")
-    ids, n, component, own, spare, by_rare, by_often = (x[order] for x in (ids, n, component, own, spare, by_rare, by_often))
+    names = ("id", "n", "component", "spare", "by_rare", "by_often", "main")
+    is_left = table.column("left").to_numpy(zero_copy_only=False)
+    rows = {c: table.column(c).to_numpy(zero_copy_only=False) for c in names}
     raw = table.column("sketch").to_pylist()
-    sketches = [np.frombuffer(raw[i], np.uint64) for i in order]
+    left = np.flatnonzero(is_left)
+    left = left[np.argsort(rows["n"][left], kind="stable")]
+    ids, n, component, spare, by_rare, by_often, main = (rows[c][left] for c in names)
+    sketches = [np.frombuffer(raw[i], np.uint64) for i in left]
     widths = np.array([len(s) for s in sketches])
-    folds = {w: np.stack([folded(s, w) for s in sketches if len(s) >= w]) for w in np.unique(widths).tolist()}
-    start = {w: int(np.searchsorted(widths, w)) for w in folds}  # sizes ascend, and sketches with them
-    whole = bool(own.all())
-    left, right, dist = [], [], []
-    for i in range(len(ids)):
-        end = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, "right"))
-        w = int(widths[i])
-        rest = np.arange(i + 1, end)
-        meet = (by_rare[rest] & by_rare[i]) | (by_often[rest] & by_often[i] & (spare[rest] + spare[i] <= 0))
-        rest = rest[meet & (component[rest] != component[i]) & (whole | (own[rest] != own[i]))]
-        if len(rest):
-            bits = np.bitwise_count(folds[w][rest - start[w]] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            keep = bits * (t.denominator + t.numerator) <= (n[rest] + n[i]) * (t.denominator - t.numerator)
-            left += [ids[i]] * int(keep.sum())
-            right.append(ids[rest[keep]])
-            dist.append(bits[keep])
-    a, b = np.array(left, dtype=np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
-    bits = np.concatenate(dist) if dist else np.zeros(0, np.int64)
+    place = np.zeros(len(left), dtype=np.int64)  # of a left row among those of its width
+    for w in np.unique(widths).tolist():
+        place[widths == w] = np.arange((widths == w).sum())
+    stacks: dict[tuple[int, int], np.ndarray] = {}
+
+    def stack(w: int, v: int) -> np.ndarray:
+        if (w, v) not in stacks:
+            stacks[w, v] = np.stack([folded(s, v) for s in sketches if len(s) == w])
+        return stacks[w, v]
+
+    out: list[tuple[np.ndarray, int, np.ndarray]] = []
+    for i in np.flatnonzero(~is_left).tolist():
+        own = np.frombuffer(raw[i], np.uint64)
+        low, high = -(-int(rows["n"][i]) * t.numerator // t.denominator), int(rows["n"][i]) * t.denominator // t.numerator
+        rest = np.arange(np.searchsorted(n, low), np.searchsorted(n, high, "right"))
+        meet = (by_rare[rest] & rows["by_rare"][i]) | (by_often[rest] & rows["by_often"][i] & (spare[rest] + rows["spare"][i] <= 0))
+        # two of the right side meet twice, once each way
+        rest = rest[meet & (component[rest] != rows["component"][i]) & (main[rest] | (ids[rest] < rows["id"][i]))]
+        for w in np.unique(widths[rest]).tolist():
+            some = rest[widths[rest] == w]
+            v = min(w, len(own))
+            bits = np.bitwise_count(stack(w, v)[place[some]] ^ folded(own, v)).sum(axis=1, dtype=np.int64)
+            keep = bits * (t.denominator + t.numerator) <= (n[some] + rows["n"][i]) * (t.denominator - t.numerator)
+            out.append((ids[some[keep]], int(rows["id"][i]), bits[keep]))
+    a = np.concatenate([x for x, _, _ in out]) if out else np.zeros(0, np.int64)
+    b = np.concatenate([np.full(len(x), y) for x, y, _ in out]) if out else np.zeros(0, np.int64)
+    bits = np.concatenate([z for _, _, z in out]) if out else np.zeros(0, np.int64)
     g = np.full(len(a), table.column("g")[0].as_py())
     return pa.table({"g": g, "a_id": np.minimum(a, b), "b_id": np.maximum(a, b), "bits": bits})
 
@@ -341,13 +354,20 @@ class JaccardJoin:
         apart = spread_join(inside, least, bucket, "key", how="left").withColumn("by_often", F.col("by_often") & (F.col("spare") + F.col("least") <= 0)).where("by_rare OR by_often")
         apart = materialise(apart.drop("least"))
         sides = [f(F.when(F.col(by), F.col("component"))).alias(f"{f.__name__}_{by}") for by in ("by_rare", "by_often") for f in (F.min, F.max)]
-        held = apart.groupBy(*bucket).agg(F.count(F.lit(1)).alias("m"), *sides)
-        torn = held.where("min_by_rare <> max_by_rare OR min_by_often <> max_by_often").select(*bucket, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        apart = spread_join(apart, torn, bucket, "key")
-        block = F.pmod(F.col("key"), F.col("blocks")).cast("int")
-        apart = apart.join(place.select("key", "n", "sketch"), ["key", "n"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        apart = apart.select(F.xxhash64("pivot", "pivot_n", F.least("block", "other"), F.greatest("block", "other")).alias("g"), (F.col("block") <= F.col("other")).alias("own"), "id", "n", "component", "sketch", "spare", "by_rare", "by_often")
-        pairs = apart.groupBy("g").applyInArrow(lambda x: _block_pairs(x, t), "g long, a_id long, b_id long, bits long")
+        parts_of = apart.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("c"))
+        largest = parts_of.groupBy(*bucket).agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"))
+        held = apart.groupBy(*bucket).agg(*sides).join(largest, bucket)
+        torn = held.where("min_by_rare <> max_by_rare OR min_by_often <> max_by_often")
+        torn = torn.select(*bucket, F.col("top.component").alias("largest"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("others"))
+        # every member is compared with those outside the bucket's largest component, in blocks of both
+        apart = spread_join(apart, torn, bucket, "key").withColumn("main", F.col("component") == F.col("largest"))
+        apart = apart.join(place.select("key", "n", "sketch"), ["key", "n"]).withColumns({"i": F.pmod("key", "blocks"), "j": F.pmod("key", F.greatest("others", F.lit(1)))})
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(c), F.lit(1)).cast("long") - 1))
+        sent = ["id", "n", "component", "sketch", "spare", "by_rare", "by_often", "main"]
+        left = apart.withColumn("j", every("others")).select(*bucket, "i", "j", F.lit(True).alias("left"), *sent)
+        right = apart.where("NOT main").withColumn("i", every("blocks")).select(*bucket, "i", "j", F.lit(False).alias("left"), *sent)
+        both = left.unionByName(right).select(F.xxhash64(*bucket, "i", "j").alias("g"), "left", *sent)
+        pairs = both.groupBy("g").applyInArrow(lambda x: _block_pairs(x, t), "g long, a_id long, b_id long, bits long")
         before = tried.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
         again = materialise(pairs.groupBy("a_id", "b_id").agg(F.min("g").alias("g"), F.min("bits").alias("bits")).join(before, ["a_id", "b_id"], "left_anti"))
         more = materialise(self.verified(again))
@@ -375,21 +395,33 @@ class JaccardJoin:
         return pairs.select("a_id", "b_id", "n", "pivot_n", "a_sketch", "b_sketch").mapInArrow(far, "a_id long, b_id long, bits long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_shingles, component_id): the rows of ``docs`` grouped by chains of links.
 
     Words are parted by ASCII white space, A-Z lower-cased. A text's set is its distinct k-word
     shingles; with fewer words, all of them are one; null, empty and blank texts have an empty set,
     link with nothing and are their own component. ``component_id`` is the smallest id reachable.
-    Repeated rows are one class; rows that share an id are one document. Ids must not be null.
+    Repeated rows are one class; rows that share an id are one document, and those without an id another.
     An empty table gives an empty table. Other columns are not looked at.
     """
-    out = JaccardJoin(docs, id_col=id_col, **options).components()
+    out = JaccardJoin(docs, id_col=id_col, text_col=text_col, **options).components()
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 2_000_000, **options) -> DataFrame:
-    """``docs`` without those that are not the first of their component, and without repeated ids."""
-    groups = jaccard_components(docs, id_col=id_col, **options)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, null ids last, of equal ids and texts any one.
+
+    Rows are told apart by id and text, so different texts may share an id. Texts without words are linked with nothing:
+    all their rows stay.
+    """
+    columns = docs.columns
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), text))
+    words = text.rlike(rf"[^{SPACE_CLASS}]")
+    full = rows.where(words)
+    groups = jaccard_components(full.select("__row", text_col), id_col="__row", text_col=text_col, **options).select("__row", "component_id").distinct()
+    thin = full.select("__row", F.col(id_col).alias("__id")).distinct()
+    first = F.min_by("__row", F.struct(F.col("__id").isNull(), "__id", "__row"))
+    keep = thin.join(groups, "__row").groupBy("component_id").agg(first.alias("__row")).select("__row")
+    kept = full.join(keep, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.select(*columns).unionByName(rows.where(~words).select(*columns))

@@ -187,6 +187,49 @@ def test_every_notice_of_a_file_is_found(spark):
     assert set(notices) <= set(got[0]) and "cc-by-sa" in got[1]
 
 
+def test_license_labels_match_brute_force(spark):
+    """Texts of many notices, whole, cut, changed and with strange words between: labels, places and scores of all of them."""
+    import random
+
+    from prismara.llm import license_scan as L
+
+    rng = random.Random(4)
+    filler = ["word", "eclipse", "domain", "Mozilla", "x1", "of", "free", "charge", "license", "affero", "under", "the"]
+    texts = [None, "", "  "]
+    for _ in range(120):
+        words = []
+        for t in rng.sample(L.TEMPLATES, rng.randint(0, 6)):
+            notice = t.words.split()
+            a, b = (0, len(notice)) if rng.random() < 0.5 else (rng.randint(0, t.at), len(notice) - rng.randint(0, 2))
+            part = notice[a:b]
+            if rng.random() < 0.3 and part:
+                part[rng.randrange(len(part))] = rng.choice(filler)
+            words += part + rng.choices(filler, k=rng.randint(0, 5))
+        texts.append(" ".join(w.upper() if rng.random() < 0.1 else w for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = sorted({w for t in L.TEMPLATES for w in t.words.split()} | {w for p, _ in L.BASE for w in p.split()})
+    weight = L.idf(df, vocabulary, "text")
+    for r in scan_licenses(df).collect():
+        w = ALNUM.findall(low(texts[r["doc_id"]]))
+        want = set()
+        for t in L.TEMPLATES:
+            words, phrase = t.words.split(), t.phrase.split()
+            for i in range(len(w) - len(phrase) + 1):
+                if w[i : i + len(phrase)] == phrase:
+                    begin = i - t.at
+                    share = sum(weight[x] for j, x in enumerate(words) if 0 <= begin + j < len(w) and w[begin + j] == x) / sum(weight[x] for x in words)
+                    if share >= 0.3:
+                        want.add((t.label, begin, round(share, 6)))
+        assert {(m["label"], m["begin"], round(m["score"], 6)) for m in r["matches"]} == want
+        base = {label for phrase, label in PHRASES if any(w[i : i + len(phrase.split())] == phrase.split() for i in range(len(w)))}
+        assert r["labels"] == ",".join(sorted(base | {x for x, _, _ in want}))
+        assert r["score"] == pytest.approx(max([x for _, _, x in want], default=0.0), abs=1e-5)
+
+
+def test_licenses_of_nothing(nothing):
+    assert scan_licenses(nothing).count() == 0
+
+
 # --- 3: mixing ----------------------------------------------------------------------------------
 
 
@@ -519,6 +562,34 @@ def test_keep_one_and_nothing(edges, nothing):
     assert jaccard_components(nothing).count() == 0
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    a, b, c = "one two three four five six seven", "another text that is quite different here", "eight nine ten eleven twelve thirteen"
+    rows = [(None, a), (None, a), (5, a), (None, b), (7, c), (7, b + " x y z u v w q r s"), (None, None), (None, None), (8, " ")]
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, a), (None, b), (7, c), (7, b + " x y z u v w q r s"), (None, None), (None, None), (8, " ")], key=str)
+
+
+def test_jaccard_in_torn_buckets(spark, monkeypatch):
+    """Small blocks: groups that share most of a passage but are not linked, beside near copies of it, agree with brute force."""
+    import random
+
+    from prismara.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(8)
+    passage, rows = [f"p{i}" for i in range(60)], {}
+    for i in range(150):
+        tail = [f"t{rng.randrange(400)}" for _ in range(rng.choice((0, 2, 4, 6, 9, 14, 20)))]
+        words = passage + tail
+        if i % 3 == 0:
+            words[rng.randrange(60)] = "changed"
+        rows[i] = " ".join(words)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    for frequent in (4, 64):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, frequent=frequent).collect()}
+        assert got == groups_truth(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 1), (3, 3), (7, 5), (5, 9)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -559,6 +630,13 @@ def test_decontamination(spark, tiny, docs, texts, block):
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()} == want
 
 
+def test_decontamination_by_text_ids(spark, edges):
+    """Item ids of any kind; one without a number, and none at all, do not stop it."""
+    items = spark.createDataFrame([("b-1", "a b c d"), ("a-1", "A b; c d"), (None, "word"), ("z", None)], "item_id string, text string")
+    r = {r["doc_id"]: r for r in contamination(edges, items).collect()}
+    assert r[8]["n_items"] == 2 and r[8]["items_sha256"] == hashlib.sha256(b"a-1,b-1").hexdigest() and not r[4]["contaminated"]
+
+
 def test_decontamination_of_nothing(spark, nothing, edges):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(edges, none).where("contaminated").count() == 0
