@@ -51,6 +51,16 @@ TEMPLATES = [
     Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     Template("cc-by", "licensed under cc by 4 0", "cc by 4"),
     Template("cc", "licensed under a creative commons attribution license", "creative commons attribution"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0", "waived all copyright and related or neighboring rights"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "names of its contributors may be used to endorse or promote products"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
+    Template("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    Template("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    Template("eupl", "licensed under the european union public licence", "european union public licence"),
+    Template("artistic", "this package is free software you can redistribute it under the artistic license 2 0", "artistic license 2 0"),
 ]
 
 #: The base phrases and their labels.
