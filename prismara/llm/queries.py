@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_boost
+from . import language_id, oracles, quality_boost
 from .common import id_fold, materialise, table, word_count
 from .decontaminate import contamination
 from .jaccard_join import jaccard_components
@@ -30,11 +30,13 @@ URL_RULES = [
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; off the rules the models' verdict."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "margin")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base phrases and the method's labels. Null texts have no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text", "matches")
 
@@ -47,6 +49,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base spans as a digest, and all spans. Null texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_secrets(docs).drop("text")
 
@@ -61,20 +64,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by trees that learned from two folds of three."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"))
     trees = quality_boost.train(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
     return quality_boost.score_quality(docs, trees).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, base verdict and verdict by divergence. Null texts fail."""
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the smallest id that links reach."""
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of benchmark items. Null texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
@@ -87,6 +94,7 @@ def language_model(docs: DataFrame) -> language_id.Model:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by models that learned from three folds of four."""
     docs = table(spark, sf_dir, "documents")
     model = language_model(docs)
     rows = docs.select("doc_id", (id_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
@@ -94,6 +102,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law of equal bytes; copies of a text share a shard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     placed = ring_shards(docs, n_shards=40)
@@ -112,35 +121,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_ring_shards": op10_ring_shards,
+        **fields(),
     }
 
 
-#: Words are split by the contract's class after lower-casing A-Z only; a document word is hit where
-#: the ten (or the item's fewer) words from some place equal a window's.
-OP8_SQL = r"""
-WITH doc AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), item AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
-), win AS (
-  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)
-), lens AS (SELECT DISTINCT n FROM win
-), place AS (
-  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lens WHERE len(w) >= n)
-), hit AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM place p JOIN win ON p.n = win.n AND p.s = win.s
-), words AS (
-  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id
-), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
-)
-SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
-"""
+def fields() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Of queries whose method SQL cannot state, the fields that it can, read from the same operators."""
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")
+    return {
+        "url_rule_fields": lambda spark, sf: op1_url_filter(spark, sf).select("page_id", "host", "path", "rule", ruled),
+        "license_base_fields": lambda spark, sf: op2_license_scan(spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+        "mix_target_fields": lambda spark, sf: op3_mix_sources(spark, sf).select("doc_id", "size", "source_size", F.round("target", 3).alias("target")),
+        "quality_count_fields": lambda spark, sf: op6_quality_rules(spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {
+        "op7_jaccard_join": oracles.JACCARD,
+        "op8_decontaminate": oracles.OP8_SQL,
+        "url_rule_fields": oracles.URL_RULES,
+        "license_base_fields": oracles.LICENSE_BASE,
+        "mix_target_fields": oracles.MIX_TARGETS,
+        "quality_count_fields": oracles.QUALITY_COUNTS,
+    }
