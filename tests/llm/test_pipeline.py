@@ -9,6 +9,7 @@ from prismara.llm.common import materialise, table
 from prismara.llm.decontaminate import contamination
 from prismara.llm.jaccard_join import jaccard_components
 from prismara.llm.mixing import mix_sources
+from test_operators import groups_truth, leaks_truth
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,106 @@ def test_run_places_every_row(spark, tiny, steps):
     for r in rows:
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+# --- every stage, on a table of its own, against plain Python -------------------------------------
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, size string, target string, shard string, score int, hit_words int, accepted string"
+
+
+def made_rows(base):
+    """Documents of two languages with copies, near copies, leaks, nulls, repeated rows, odd scripts and columns called like the operators' own."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in base if r["lang"] in ("en", "de")][:150]
+    some = [r for r in rows if r[1] and len(r[1].split()) > 60][:20]
+    rows += [(5000 + i, r[1], r[2], r[3]) for i, r in enumerate(some[:8])]  # copies
+    rows += [(5100 + i, r[1] + " und", r[2], None) for i, r in enumerate(some[8:14])]  # near copies
+    rows += [rows[0], rows[0], (None, some[15][1] + " with some more words at its very end now", "en", "s1"), (None, None, "en", "s1"), (6001, "", None, "s2"), (6002, "1234 5678", "en", None)]
+    rows += [(6010 + i, "Быстрая коричневая лиса прыгает через ленивую собаку номер " + "да " * i, None, "s1") for i in range(3)]
+    return [(d, t, lang, src, len(t or ""), "big", "aim", "old", 7, 9, "yes") for d, t, lang, src in rows]
+
+
+@pytest.fixture(scope="module")
+def own(spark, tiny, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("own"))
+    base = spark.read.parquet(f"{tiny}/documents.parquet").orderBy("doc_id").collect()
+    bench = spark.read.parquet(f"{tiny}/benchmark.parquet").select("item_id", "text").orderBy("item_id")
+    rows = made_rows(base)
+    item = next(r["text"] for r in bench.collect() if len((r["text"] or "").split()) >= 12)
+    rows.append((7000, "some words first " + item + " and some after", "en", "s3", 0, "big", "aim", "old", 7, 9, "yes"))
+    spark.createDataFrame(rows, EXTRA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    out = [table(spark, folder, "documents")]
+    for _, stage in P.STAGES:
+        out.append(materialise(stage(spark, out[-1], folder)))
+    return folder, [[tuple(r) for r in df.collect()] for df in out], [df.columns for df in out]
+
+
+def test_own_columns_are_kept(own):
+    _, rows, columns = own
+    assert all(c == columns[0] for c in columns[1:-1])
+    assert all(r[5:] == ("big", "aim", "old", 7, 9, "yes") for step in rows[1:-1] for r in step)
+
+
+def test_own_language_stage(own):
+    _, rows, _ = own
+    gone = Counter(rows[0]) - Counter(rows[1])
+    assert not Counter(rows[1]) - Counter(rows[0])
+    wordless = [r for r in rows[0] if not any(c.isalpha() for c in r[1] or "")]
+    strange = [r for r in rows[0] if r[0] is not None and 6010 <= r[0] < 6020]
+    assert set(wordless + strange) <= set(gone)
+    assert sum(gone.values()) <= len(wordless) + len(strange) + 2
+
+
+def test_own_near_copies(own):
+    _, rows, _ = own
+    texts = {i: r[1] for i, r in enumerate(sorted(set(rows[1]), key=str))}
+    group = {i: c for i, (_, c) in groups_truth(texts).items()}
+    order = sorted(set(rows[1]), key=str)
+    first = {}
+    for i, r in enumerate(order):
+        first.setdefault(group[i], []).append(r)
+    want = {min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in first.values()}
+    assert Counter(rows[2]) == Counter(want)
+
+
+def test_own_leaks(spark, own):
+    folder, rows, _ = own
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    found = leaks_truth({i: r[1] for i, r in enumerate(rows[2])}, items)
+    assert Counter(rows[3]) == Counter(r for i, r in enumerate(rows[2]) if not found[i][4])
+    assert not any(r[0] == 7000 for r in rows[3])
+
+
+def test_own_mix(own):
+    """Each source's words come near its target, by whole documents; nothing more than twice."""
+    _, rows, _ = own
+    size = Counter()
+    for r in rows[3]:
+        size[r[3]] += len((r[1] or "").split())
+    taken, times = Counter(), Counter(rows[4])
+    for r in rows[4]:
+        taken[r[3]] += len(r[1].split())
+    names = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the level at which the stopped and the open targets add up
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * size[s], level * weight[s]) for s in names) < 1.5 * sum(size.values()) else (low, level)
+    longest = max(len(r[1].split()) for r in rows[3] if r[1])
+    assert all(abs(taken[s] - min(2 * size[s], level * weight[s])) <= longest for s in names)
+    assert all(n <= 2 for r, n in times.items()) and set(rows[4]) <= set(rows[3])
+
+
+def test_own_shards(own):
+    _, rows, _ = own
+    assert sorted((r[0] is None, r[0] or 0, r[1]) for r in rows[5]) == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 16) for r in rows[4])
+    slots = {}
+    for r in rows[5]:
+        slots.setdefault(r[2], []).append(r[3])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+
+
+def test_empty_tables_run_through(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert P.run(spark, str(tmp_path)).count() == 0
