@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import read_table
 
@@ -66,12 +67,16 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: s
 
     A key is hot with more than a ``share``-th of the rows, so fewer than ``share`` keys are, and are broadcast.
     """
+    spark = big.sparkSession
     rows = big.count()
-    hot = F.broadcast(big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows / share).select(*on, F.lit(True).alias("__hot")))
+    hot = big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows / share).select(*on).collect()  # fewer than ``share``
+    if not hot:
+        return big.join(small, on, how)
+    known = F.broadcast(spark.createDataFrame([(*r, True) for r in hot], T.StructType([*(big.schema[c] for c in on), T.StructField("__hot", T.BooleanType())])))
     part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(F.lit(0).cast("long"))
     every = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    left = big.join(hot, on, "left").withColumn("__part", part).drop("__hot")
-    right = small.join(hot, on, "left").withColumn("__part", F.explode(every)).drop("__hot")
+    left = big.join(known, on, "left").withColumn("__part", part).drop("__hot")
+    right = small.join(known, on, "left").withColumn("__part", F.explode(every)).drop("__hot")
     return left.join(right, [*on, "__part"], how).drop("__part")
 
 
