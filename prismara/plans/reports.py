@@ -14,6 +14,8 @@ from ..inference import PLACE_ONLY, PROMPT_SETS, WITH_DISTANCE, scene_prompt
 from ..operators import aggregates as A
 from ..operators import joins, panels, select
 from ..sources import media, results
+from ..sources.tables import shared_path
+from ..streaming import jobs
 from . import virtual as VR
 
 WIDTH, HEIGHT = 640, 480
@@ -273,10 +275,51 @@ def _o_all() -> str:
     return f"SELECT {', '.join(VR.KEY)}, CAST({' + '.join(terms)} AS INTEGER) AS mismatches FROM ({O_LABELS})"
 
 
+# --- streams and sinks ---------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, counts: DataFrame, name: str) -> DataFrame:
+    """The whole result of a stream's aggregate, after all there is was read, from a table that each batch replaces."""
+    path = shared_path(spark, name)
+    query = counts.writeStream.foreachBatch(lambda batch, _: results.swap_in(batch, path)).outputMode("complete")
+    query.option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(path)
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # a stream reads a folder or a pattern
+    return jobs.event_stream(spark, f"{sf}/events*.parquet", schema).withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tumbling counts of the event stream."""
+    out = _streamed(spark, jobs.windows(_events(spark, sf), "at", "1 hour", "10 minutes", "event_type"), "counts")
+    return out.groupBy(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type").agg(F.sum("n").alias("n"))
+
+
+def streamed_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The running best value of each user's events, of equal ones the first."""
+    best = jobs.best_so_far(_events(spark, sf), ["user_id"], F.col("value"), "event_id")
+    return _streamed(spark, best, "best").select("user_id", F.round("score", 6).alias("score"), F.col("at").alias("event_id"))
+
+
+def results_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Work that is still to do after results were written, degraded ones left out, and read again."""
+    o = VR.table(spark, sf, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey") % 3).alias("run_id"), F.col("o_orderkey").cast("string").alias("img_id"), (F.col("o_orderkey") % 7 == 0).alias("degraded"))
+    path = shared_path(spark, "results")
+    results.write_results(o.where("o_orderkey % 4 <> 0"), path)
+    done = spark.read.schema("img_id string, run_id string").json(path)
+    return joins.pending(o.select("img_id", "run_id"), done, ["img_id"])
+
+
+O_WRITTEN = "SELECT CAST(o_orderkey AS VARCHAR) AS img_id, 'r' || (o_orderkey % 3) AS run_id FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 7 = 0"
+
+
 def queries() -> dict:
     made = (
         json_decoded, accessories_of, accessory_counts, face_scores, common_first, error_states, path_fallback, annotated_lookup, scene_scores, person_boxes, demand_faces, feature_columns, prompt_choice, panel_grid, panel_method, cell_states,
-        mismatches_all,
+        mismatches_all, streamed_counts, streamed_best, results_written,
     )
     return {f.__name__: f for f in made}
 
@@ -300,4 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "panel_method": O_METHOD,
         "cell_states": _o_cells(),
         "mismatches_all": _o_all(),
+        "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "streamed_best": "SELECT user_id, round(value, 6) AS score, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1",
+        "results_written": O_WRITTEN,
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_BYTES = (1 << 20, 1 << 26)
@@ -13,3 +16,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if SMALL_BYTES[0] < size < SMALL_BYTES[1] else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset (local runs)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
+        return configured
+    known = spark.sparkContext.getCheckpointDir()
+    if known is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
