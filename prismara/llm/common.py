@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, shared_dir
 
 #: Fixed value: the white space that separates words in the contracts (space, \t \n \v \f \r).
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -19,22 +18,6 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 table = read_table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset (local runs)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
