@@ -125,15 +125,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def url_rule_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", ruled)
+
+
+def license_base_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mix_target_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_count_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def fields() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Of queries whose method SQL cannot state, the fields that it can, read from the same operators."""
-    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled")
-    return {
-        "url_rule_fields": lambda spark, sf: op1_url_filter(spark, sf).select("page_id", "host", "path", "rule", ruled),
-        "license_base_fields": lambda spark, sf: op2_license_scan(spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
-        "mix_target_fields": lambda spark, sf: op3_mix_sources(spark, sf).select("doc_id", "size", "source_size", F.round("target", 3).alias("target")),
-        "quality_count_fields": lambda spark, sf: op6_quality_rules(spark, sf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
-    }
+    return {f.__name__: f for f in (url_rule_fields, license_base_fields, mix_target_fields, quality_count_fields)}
 
 
 def oracle_sql() -> dict[str, str]:
