@@ -659,7 +659,7 @@ def test_language_held_out(spark):
 def test_language_edges_and_rejection(spark, tiny, edges, nothing):
     learn = spark.read.parquet(f"{tiny}/documents.parquet")
     model = queries.language_model(learn)
-    rows = {r["doc_id"]: r for r in language_id.predict(edges, model).collect()}
+    rows = {r["doc_id"]: r for r in language_id.predict(edges.withColumn("score", F.lit("old")), model).collect()}
     assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 and not rows[i]["accepted"] for i in (1, 2, 3, 13))
     strange = spark.createDataFrame([(1, "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше в лес " * 5)], "doc_id long, text string")
     assert not language_id.predict(strange, model).first()["accepted"]
