@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..functions import textparse as T
 from ..functions import vocab as V
 from ..inference import PLACE_ONLY, PROMPT_SETS, WITH_DISTANCE, scene_prompt
