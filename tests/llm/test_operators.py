@@ -135,6 +135,9 @@ def brute_margin(counts, url):
 
 
 def test_url_margins_match_brute_force(spark):
+    import numpy as np
+    import pyarrow as pa
+
     from prismara.llm import url_filter as U
 
     known = [("\x02ab.c/0\x03", False, 0), ("\x02abba.c/0\x03", False, 1), ("\x02acab.c/00\x03", False, 2), ("\x02xxy.c/0\x03", True, 0), ("\x02xyx.c/0\x03", True, 1), ("\x02yxxy.c/0\x03", True, 2)] * 2
@@ -146,9 +149,7 @@ def test_url_margins_match_brute_force(spark):
                 for k in range(1, U.ORDER + 1):
                     counts[bad].update(url[i - k + 1 : i + 1] for i in range(1, len(url)) if i >= k - 1)
         for url in ("\x02abxy.c/0\x03", "\x02q\x03"):
-            data, offs = U.string_bytes(__import__("pyarrow").array([url]))
-            import numpy as np
-
+            data, offs = U.string_bytes(pa.array([url]))
             assert ratio.margins(data, offs, np.array([f]))[0] == pytest.approx(brute_margin(counts, url), abs=1e-9)
 
 
