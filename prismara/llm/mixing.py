@@ -21,7 +21,7 @@ from .common import checkpointed, word_count
 GOLDEN = 0.6180339887498949  # fixed value: the golden ratio's fractional part
 CELLS = 4096
 ROWS_PER_BUCKET = 4096
-SLOTS_PER_CHUNK = 4096
+SLOTS_PER_CHUNK = 1024
 LEAST_BLOCKS = 1024
 MOST_BROADCAST = 1_000_000  # rows of the blocks' table that may be broadcast; more are joined by block, of which none is hot
 
@@ -149,8 +149,13 @@ def taken_blocks(targets: DataFrame, schedule: DataFrame) -> DataFrame:
     each = targets.select("source", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks"), F.lit(1)).cast("long") - 1)).alias("block"))
     slots_of = schedule.groupBy(F.col("source").alias("__s"), F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("times"))
     each = each.join(slots_of, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    before = F.sum(F.col("times") * F.col("length")).over(W.partitionBy("source").orderBy("block")) - F.col("times") * F.col("length")
-    return each.select("source", "block", "times", before.alias("before"))
+    # running sums inside chunks of blocks, plus those of earlier chunks: a source's blocks are never in one task
+    each = each.withColumn("words", F.col("times") * F.col("length")).withColumn("chunk", F.floor(F.col("block") / SLOTS_PER_CHUNK))
+    per = each.groupBy("source", "chunk").agg(F.sum("words").alias("__w"))
+    base = per.select(F.col("source").alias("__cs"), F.col("chunk").alias("__ck"), (F.sum("__w").over(W.partitionBy("source").orderBy("chunk")) - F.col("__w")).alias("__base"))
+    inside = F.sum("words").over(W.partitionBy("source", "chunk").orderBy("block")) - F.col("words")
+    out = each.withColumn("__in", inside).join(base, F.col("source").eqNullSafe(F.col("__cs")) & (F.col("chunk") == F.col("__ck")))
+    return out.select("source", "block", "times", (F.col("__base") + F.col("__in")).alias("before"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None) -> DataFrame:
