@@ -79,3 +79,65 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h4 FROM d),
+c AS (SELECT *, least(h4[1] % (n + 1), h4[2] % (n + 1)) AS a, greatest(h4[1] % (n + 1), h4[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h4[3] % 100 >= 90 THEN 'plain' WHEN h4[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+
+def _turn_repair() -> str:
+    """States 0 to 3 are start, after system, user and assistant; each holds the best (cost, audit, repaired text) so far."""
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295), 4294967295)"
+    user_line, assistant_line = "'user:'", "'assistant:'"
+    none = "{'c': 1000000000, 'a': '', 't': ''}"
+
+    def more(state: str, cost: str, edit: str, line: str = "") -> str:
+        text = f"{state}.t" + (f" || CASE WHEN {state}.t = '' THEN '' ELSE chr(10) END || {line}" if line else "")
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {text}}}"
+
+    def inserted(f: list[str]) -> list[str]:
+        """One insert at most into each state; a second one ('II' to the assistant's) from what the first gave."""
+        user = f"least({f[2]}, {', '.join(more(f[k], '5', 'I', user_line) for k in (0, 1, 3))})"
+        twice = ", ".join(more(f"({more(f[k], '5', 'I', user_line)})", "5", "I", assistant_line) for k in (0, 1))
+        assistant = f"least({f[3]}, {more(f[2], '5', 'I', assistant_line)}, {twice})"
+        return [f[0], f[1], user, assistant]
+
+    old = [f"s[{i}]" for i in (1, 2, 3, 4)]
+    opened = "[" + ", ".join(inserted(old)) + "]"
+    line = "(x.role || ':' || x.text)"
+    gone = [more(f"s[{i}]", "2", "D") for i in (1, 2, 3, 4)]
+
+    def arrive(i: int, initial: str | None, name: str | None, before: tuple[int, ...]) -> str:
+        found = [gone[i]]
+        for b in before:
+            f = f"s[{b + 1}]"
+            kept = f"CASE WHEN x.gone OR x.role[1] <> '{initial}' THEN {none} ELSE {more(f, 'x.extra', 'K', line)} END"
+            found.append(kept)
+            if name:
+                found.append(f"CASE WHEN x.gone THEN {none} ELSE {more(f, 'x.extra + 1', 'R', f"('{name}:' || x.text)")} END")
+        return f"least({', '.join(found)})"
+
+    step = "[" + ", ".join([gone[0], arrive(1, "s", None, (0,)), arrive(2, "u", "user", (0, 1, 3)), arrive(3, "a", "assistant", (2,))]) + "]"
+    return f"""
+WITH k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, CAST({crc} % 20 AS INTEGER) AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS r FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY r) AS before FROM n),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'role': role, 'text': text, 'gone': fault IN ('blank', 'duplicate'), 'extra': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} ORDER BY r) AS rows FROM f GROUP BY conv_id),
+e AS (SELECT *, list_reduce(rows, lambda q, x: list_transform([{opened.replace('s[', 'q[')}], lambda s: {step})[1], [{{'c': 0, 'a': '', 't': ''}}, {none}, {none}, {none}]) AS s FROM g),
+b AS (SELECT *, least(s[1], {inserted(old)[3]}) AS best FROM e)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+TURN_REPAIR = _turn_repair()

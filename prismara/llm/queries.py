@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from . import language_id, oracles, quality_boost
 from .common import id_fold, materialise, table, word_count
 from .decontaminate import contamination
+from .fill_middle import fill_middle, restored
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .quality_rules import judge_quality
 from .secret_scan import scan_secrets
 from .sharding import ring_shards
+from .turn_repair import damaged, repair_turns, turn_digests
 from .url_filter import Rule, filter_urls
 
 
@@ -109,6 +111,26 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the contract's damage, the cheapest audit and a digest of what it repairs to. Conversations that lost all turns have zeros."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = repair_turns(damaged(rows))
+    every = rows.select("conv_id").distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("__conv"))
+    found = every.join(repair.summary.withColumnRenamed("conv_id", "__conv"), same, "left").drop("__conv")
+    found = found.join(turn_digests(repair.turns).withColumnRenamed("conv_id", "__conv"), same, "left").drop("__conv")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-the-middle form, with digests of the output and of what is rebuilt from it alone. Null texts are empty."""
+    docs = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = restored(F.col("output"), F.col("form"))
+    digest = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -121,6 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_ring_shards": op10_ring_shards,
+        "op12_turn_repair": op12_turn_repair,
+        "op13_fill_middle": op13_fill_middle,
         **fields(),
     }
 
@@ -151,6 +175,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_jaccard_join": oracles.JACCARD,
         "op8_decontaminate": oracles.OP8_SQL,
+        "op12_turn_repair": oracles.TURN_REPAIR,
+        "op13_fill_middle": oracles.FILL_MIDDLE,
         "url_rule_fields": oracles.URL_RULES,
         "license_base_fields": oracles.LICENSE_BASE,
         "mix_target_fields": oracles.MIX_TARGETS,
