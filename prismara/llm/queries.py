@@ -14,6 +14,7 @@ from .fill_middle import fill_middle, restored
 from .jaccard_join import jaccard_components
 from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .page_text import extract_text
 from .quality_rules import judge_quality
 from .secret_scan import scan_secrets
 from .sharding import ring_shards
@@ -111,6 +112,12 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, by wrappers of all its host's pages. Null pages have none."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after the contract's damage, the cheapest audit and a digest of what it repairs to. Conversations that lost all turns have zeros."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -143,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_language_id": op9_language_id,
         "op10_ring_shards": op10_ring_shards,
+        "op11_page_text": op11_page_text,
         "op12_turn_repair": op12_turn_repair,
         "op13_fill_middle": op13_fill_middle,
         **fields(),
@@ -175,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_jaccard_join": oracles.JACCARD,
         "op8_decontaminate": oracles.OP8_SQL,
+        "op11_page_text": oracles.PAGE_TEXT,
         "op12_turn_repair": oracles.TURN_REPAIR,
         "op13_fill_middle": oracles.FILL_MIDDLE,
         "url_rule_fields": oracles.URL_RULES,
