@@ -38,13 +38,13 @@ FAN = 8
 
 PACKED = T.StructType([
     T.StructField("conv", T.StringType()), T.StructField("pid", T.IntegerType()), T.StructField("no", T.IntegerType()),
-    T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("copies", T.ArrayType(T.LongType())),
+    T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("digests", T.ArrayType(T.BinaryType())), T.StructField("copies", T.ArrayType(T.LongType())),
     T.StructField("costs", T.ArrayType(T.LongType())), T.StructField("audits", T.ArrayType(T.StringType())),
     T.StructField("first_turn", T.LongType()), T.StructField("last_turn", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("start", T.StringType()), T.StructField("end", T.StringType()),
     T.StructField("blank", T.LongType()), T.StructField("duplicate", T.LongType()), T.StructField("truncated", T.LongType()), T.StructField("illegal", T.LongType()),
 ])
 PRODUCT = "conv string, at long, costs array<long>, audits array<string>"
-DECIDED = "conv string, position long, edit string, new_role string, role string, digest string"
+DECIDED = "conv string, position long, edit string, new_role string, role string, digest binary"
 SUMMARY = "conv string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
@@ -138,7 +138,7 @@ def _pack(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBa
     names = [f.name for f in PACKED.fields]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int32(), pa.int32(), *(pa.list_(x) for x in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())), *[pa.int64()] * 3, *[pa.string()] * 2, *[pa.int64()] * 4]
+        kinds = [pa.string(), pa.int32(), pa.int32(), *(pa.list_(x) for x in (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string())), *[pa.int64()] * 3, *[pa.string()] * 2, *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     for rows in batches:
@@ -226,7 +226,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     copy += 1
                     if copy == r["copies"][i]:
                         i, copy = i + 1, 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i == 1 else pa.string()) for i in range(6)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int64(), *[pa.string()] * 3, pa.binary()))], names)
 
 
 @dataclass
@@ -253,7 +253,7 @@ def repair_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """
     conv = F.coalesce(F.concat(F.lit("v"), F.col(conv_col).cast("string")), F.lit("n"))
     role, text = F.coalesce(F.col(role_col), F.lit(" ")), F.coalesce(F.col(text_col), F.lit(" "))
-    named = rows.select(conv.alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"), F.col(conv_col).alias("__id"))
+    named = rows.select(conv.alias("conv"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"), F.col(conv_col).alias("__id"))
     bare = F.rtrim("text", F.lit(SPACES))
     fault = F.when(bare == "", "blank").when(~F.right(bare, F.lit(1)).isin(*ENDS), "truncated").alias("fault")
     counted = materialise(named.select("conv", "turn", "role", "digest", fault).groupBy("conv", "turn", "role", "digest", "fault").agg(F.count(F.lit(1)).alias("copies")))
