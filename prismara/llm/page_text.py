@@ -10,7 +10,7 @@ then judged by the slots that they fall into.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from zlib import crc32
 
 import pyarrow as pa
@@ -383,15 +383,17 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         left = materialise(sized.where("n > 1").groupBy("host", deal.alias("deal")).applyInArrow(_wrap, SHAPES))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], sent: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``sent`` and the text of pages that carry their host's wrapper."""
     wrappers: dict[str, tuple[Node, dict[str, set[int]]]] = {}
     for rows in batches:
         names = rows.schema.names
         html, host, shape, stats = (rows.column(names.index(c)) for c in ("__html", "__host", "__shape", "__stats"))
         out = []
         for i in range(rows.num_rows):
-            if shape[i].as_py() is None:
-                out.append(main_text(html[i].as_py()))
+            source = html[i].as_py() or ""
+            if not shape[i].is_valid:
+                out.append(main_text(source))
                 continue
             key = host[i].as_py()
             if key not in wrappers:
@@ -401,8 +403,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wrapper, known = wrappers[key]
             if len(known) >= 500:
                 known.clear()
-            out.append(main_text(html[i].as_py(), wrapper, known))
-        yield pa.RecordBatch.from_arrays([rows.column(names.index("__page")), pa.array(out, pa.string())], ["__page", "text"])
+            out.append(main_text(source, wrapper, known))
+        yield pa.RecordBatch.from_arrays([*(rows.column(names.index(n)) for n in sent), pa.array(out, pa.string())], [*sent, "text"])
 
 
 def host_of(url: Column) -> Column:
@@ -411,8 +413,8 @@ def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, "^.*?://([^/?#]*)", 1), F.lit("")), upper, upper.lower())
 
 
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with ``text``: the blocks of the page's article, in their order, one a line; empty where there is none.
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: Sequence[str] | None = None, broadcast_bytes: int = 1 << 24) -> DataFrame:
+    """``pages`` (of their columns ``keep``, if given) with ``text``: the blocks of the page's article, in their order, one a line; empty where there is none.
 
     White space inside a block, line breaks too, is one space. Null and empty pages give the empty text, pages without tags are one block.
     Wrappers are inferred from all pages of a host; pages without a host, and a host's only page, are judged by themselves. Repeated pages
@@ -421,15 +423,17 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
     Where an ``article`` or ``main`` element is there, all of it stays but for menus, headers, notices and the like inside; an article's own
     header keeps its headings. Elsewhere the wrapper's slots decide: text that differs between the host's pages and is not linked.
-    The wrappers' table has a row a host and is joined to the pages; hosts with more than a 200th of the pages are spread over 32 tasks.
+    The wrappers' table has a row a host. Up to ``broadcast_bytes`` it is sent to the pages; beyond that the pages go to it, hosts with
+    more than a 200th of them spread over 32 tasks.
     """
-    kept = [c for c in pages.columns if c != "text"]
-    plain = F.coalesce(F.col(html_col), F.lit("")).alias("__html")
-    rows = pages.select(F.struct(*kept).alias("__page"), plain, host_of(F.col(url_col)).alias("__host"), F.monotonically_increasing_id().alias("__row"))
+    kept = [c for c in (pages.columns if keep is None else keep) if c != "text"]
+    others = F.struct(F.lit(0).alias("__none"), *[c for c in kept if c != html_col]).alias("__page")
+    rows = pages.select(others, F.col(html_col).alias("__html"), host_of(F.col(url_col)).alias("__host"), F.monotonically_increasing_id().alias("__row"))
     wrappers = infer_wrappers(rows.where("__host <> ''").select(F.col("__host").alias("host"), F.col("__html").alias("html")))
-    wrappers = wrappers.select(F.col("host").alias("__host"), F.col("shape").alias("__shape"), F.col("stats").alias("__stats"))
-    met = spread_join(rows, materialise(wrappers), ["__host"], "__row", "left", share=200)
-    sent = met.select("__page", "__html", "__host", "__shape", "__stats")
-    # the page's own columns travel once, without its text where that is one of them
-    schema = T.StructType([sent.schema["__page"], T.StructField("text", T.StringType())])
-    return sent.mapInArrow(_texts, schema).select("__page.*", "text")
+    wrappers = materialise(wrappers.select(F.col("host").alias("__host"), F.col("shape").alias("__shape"), F.col("stats").alias("__stats")))
+    size = wrappers.agg(F.sum(F.length("__host") + F.length("__shape") + F.length("__stats"))).first()[0] or 0
+    met = rows.join(F.broadcast(wrappers), "__host", "left") if size <= broadcast_bytes else spread_join(rows, wrappers, ["__host"], "__row", "left", share=200)
+    sent = ["__page", "__html"] if html_col in kept else ["__page"]
+    schema = T.StructType([*(rows.schema[c] for c in sent), T.StructField("text", T.StringType())])
+    found = met.select("__page", "__html", "__host", "__shape", "__stats").mapInArrow(lambda b: _texts(b, sent), schema)
+    return found.select(*[F.col("__html").alias(c) if c == html_col else F.col("__page")[c].alias(c) for c in kept], "text")

@@ -115,7 +115,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's main text, by wrappers of all its host's pages. Null pages have none."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract_text(pages, keep=["page_id", "url"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,9 +69,11 @@ def test_named_parts_alone(layout):
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
-def test_layouts_by_wrapper(spark, layout):
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_layouts_by_wrapper(spark, layout, limit):
+    """The wrappers sent to the pages, and the pages to the wrappers."""
     rows, want = pages_of(layout, 40)
-    got = extract_text(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    got = extract_text(spark.createDataFrame(rows, SCHEMA).repartition(5), broadcast_bytes=limit)
     assert got.columns == ["page_id", "url", "html", "text"]
     assert {r["page_id"]: r["text"] for r in got.collect()} == want
 
@@ -163,6 +165,8 @@ def test_edge_rows(spark):
     assert got.count() == len(rows)
     assert texts == {1: "", 2: "Same page", 3: "Same page", 4: "", 5: "Same page", None: "Same page", 8: "\n".join(["long text"] * 60_000)}
     assert extract_text(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert extract_text(df, keep=["page_id", "text"]).columns == ["page_id", "text"]
+    assert [r["html"] for r in got.where("page_id = 1").collect()] == [None]
 
 
 def test_copies_of_a_page_are_no_template(spark):
