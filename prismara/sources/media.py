@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textparse as T
 from ..functions import vocab as V
+from .containers import probe_contents
 from .sheets import read_sheet
 
 
@@ -123,10 +124,24 @@ def probe_durations(rows: DataFrame, header) -> DataFrame:
     return rows.select("media_id", "path").mapInPandas(probe, "media_id string, duration_s double")
 
 
-def refresh_durations(cache: DataFrame, media: DataFrame, header) -> DataFrame:
-    """The cache with the missing media probed, by id."""
+def refresh_durations(cache: DataFrame, media: DataFrame, header=None) -> DataFrame:
+    """The cache with the missing media probed, by id: by ``header(path)``, or else by the containers' own headers.
+
+    Only missing files are opened. Their paths are listed on the driver, as Spark lists the files of any source.
+    """
     missing = media.join(cache.select("media_id"), "media_id", "left_anti")
-    return cache.select("media_id", "duration_s").unionByName(probe_durations(missing, header).where("duration_s IS NOT NULL")).orderBy("media_id")
+    if header is not None:
+        fresh = probe_durations(missing, header)
+    else:
+        paths = [r[0] for r in missing.select("path").distinct().toLocalIterator()]
+        if not paths:
+            return cache.select("media_id", "duration_s").orderBy("media_id")
+        files = cache.sparkSession.read.format("binaryFile").load(paths).select(F.col("path").alias("__at"), "content")
+        plain = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "/+", "/")
+        named = missing.select("media_id", plain.alias("__name"))
+        files = files.withColumn("__name", F.regexp_replace(F.regexp_replace("__at", "^file:/*", "/"), "/+", "/"))
+        fresh = probe_contents(files.join(named, "__name"))
+    return cache.select("media_id", "duration_s").unionByName(fresh.where("duration_s IS NOT NULL")).orderBy("media_id")
 
 
 def long_last(df: DataFrame, duration: str, order: str, limit: float = 60.0) -> list[Column]:
