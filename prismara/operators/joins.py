@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import spatial
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -18,11 +19,20 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return ranked.select(*keys, *[F.col("__first")[c].alias(c) for c in rest])
 
 
-def iou_best(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: Sequence[str], right_order: str, keep, right_prefix: str = "r_") -> DataFrame:
+def iou_best(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: Sequence[str], right_order: str, keep, right_prefix: str = "r_", least: float = 0.0) -> DataFrame:
     """Each left box with the right box of its group that overlaps it most (the earliest of equals), where ``keep(iou)``.
 
-    Candidates meet on the group's key (a frame), so boxes of different frames never meet.
+    Candidates meet on the group's key (a frame), so boxes of different frames never meet. Where a group has many boxes they meet
+    by tiles; ``keep`` then sees only overlaps, and may need no more than ``least``.
     """
+    if spatial.crowded(right, on):
+        place = [*on, *spatial.SIDES]
+        best = spatial.best_overlaps(left, right, on, right_order, least, right_prefix)
+        met = left.join(best, place, "left")
+        good = keep(F.col("b.__iou"))
+        taken = [F.when(good, F.col("b")[right_prefix + c]).alias(right_prefix + c) for c in right.columns if c not in on]
+        rest = [c for c in left.columns if c not in left_id]
+        return met.select(*left_id, *rest, F.when(good, F.col("b.__iou")).alias("iou"), *taken)
     r = right.select(*on, *[F.col(c).alias(right_prefix + c) for c in right.columns if c not in on])
     both = left.join(r, list(on), "left").withColumn("__iou", G.iou(G.box(), G.box(right_prefix)))
     rest = [c for c in both.columns if c not in left_id and c != "__iou"]
@@ -36,7 +46,9 @@ def iou_best(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: Sequ
 
 
 def iou_unseen(candidates: DataFrame, seen: DataFrame, on: Sequence[str], limit: float = G.IOU_SEEN) -> DataFrame:
-    """Candidates that overlap no seen box of their group by ``limit`` or more."""
+    """Candidates that overlap no seen box of their group by ``limit`` or more; by tiles where a group has many seen boxes."""
+    if spatial.crowded(seen, on):
+        return candidates.join(spatial.overlapped(candidates, seen, on, limit), [*on, *spatial.SIDES], "left_anti").select(*candidates.columns)
     s = seen.select(*on, *[F.col(c).alias("s_" + c) for c in ("x1", "y1", "x2", "y2")]).alias("s")
     c = candidates.alias("c")
     equal = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in on]
@@ -50,8 +62,10 @@ def iou_unseen(candidates: DataFrame, seen: DataFrame, on: Sequence[str], limit:
 def greedy_unseen(candidates: DataFrame, on: Sequence[str], order: str, limit: float = G.IOU_SEEN) -> DataFrame:
     """Second stage: a candidate is dropped when it overlaps an accepted earlier one; a fold over the group's boxes in order.
 
-    A group is one frame of one file, which bounds it.
+    A group is one frame of one file; where one has many boxes, pairs by tiles and rounds over them take the fold's place.
     """
+    if spatial.crowded(candidates, on):
+        return spatial.first_apart(candidates, on, order, limit)
     box = F.struct(F.col(order).alias("o"), "x1", "y1", "x2", "y2")
     kind = "array<struct<o:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint>>"
     boxes = candidates.groupBy(*on).agg(F.array_sort(F.collect_list(box)).cast(kind).alias("b"))

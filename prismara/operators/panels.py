@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .spatial import overlapping_pairs
+
 #: Cuts count between these shares of a side; a panel has this share of both sides at least; coverage bounds of the methods.
 INNER, LEAST_SIDE, LEAST_PANELS = (0.1, 0.9), 0.15, 2
 COVERAGE = {"yolo": (0.5, 1.5), "contours": (0.5, 1.5), "hough_lines": (0.85, 1.15)}
@@ -85,11 +87,9 @@ def with_person(panels: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
 def method(panels: DataFrame, key: str, kind: str, order: str, area: int) -> DataFrame:
     """(key, method): the first method, in the order of COVERAGE, whose panels are enough, cover the picture and overlap little; else none.
 
-    Panels of a picture are few and meet inside their method only.
+    Panels meet inside their picture and method only.
     """
-    other = panels.select(F.col(key).alias("__k"), F.col(kind).alias("__m"), F.col(order).alias("__o"), *[F.col(c).alias(f"__{c}") for c in ("x1", "y1", "x2", "y2")])
-    crosses = (F.col("x2") > F.col("__x1")) & (F.col("__x2") > F.col("x1")) & (F.col("y2") > F.col("__y1")) & (F.col("__y2") > F.col("y1"))
-    over = panels.join(other, (F.col(key) == F.col("__k")) & (F.col(kind) == F.col("__m")) & (F.col(order) < F.col("__o")) & crosses)
+    over = overlapping_pairs(panels.select(key, kind, order, "x1", "y1", "x2", "y2"), [key, kind], order)
     over = over.groupBy(key, kind).agg(F.count(F.lit(1)).alias("__over"))
     cover = F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))) / F.lit(area)
     per = panels.groupBy(key, kind).agg(F.count(F.lit(1)).alias("__n"), cover.alias("__cover")).join(over, [key, kind], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import textparse as T
 from ..operators import aggregates as A
-from ..operators import dedup, joins, select
+from ..operators import dedup, joins, select, spatial
 from . import virtual as VR
 
 DET = VR.DET
@@ -43,7 +43,7 @@ def iou_best_match(spark: SparkSession, sf: str) -> DataFrame:
     order = F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
     left = d.where("l_partkey % 2 = 1")
     right = d.where("l_partkey % 2 = 0").withColumn("o", order).select("media", "o", "x1", "y1", "x2", "y2")
-    best = joins.iou_best(left, right, ["media"], [*DKEY, "x2"], "o", lambda v: v > G.IOU_KEYPOINTS)
+    best = joins.iou_best(left, right, ["media"], [*DKEY, "x2"], "o", lambda v: v > G.IOU_KEYPOINTS, least=G.IOU_KEYPOINTS)
     return best.select(*DKEY, F.col("r_o").alias("match"), F.round("iou", 6).alias("iou"))
 
 
@@ -307,8 +307,7 @@ O_SPLITS = f"SELECT media, (px + n) / 2.0 AS split FROM (SELECT *, lead(px) OVER
 def panel_grid_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping pairs and covered area of each media's boxes, and whether they may be panels."""
     d = VR.detections(spark, sf).withColumn("at", F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
-    b = d.select("media", *[F.col(c).alias("r_" + c) for c in ("at", "x1", "y1", "x2", "y2")])
-    over = d.join(b, "media").where((F.col("at") < F.col("r_at")) & (G.iou(G.box(), G.box("r_")) > 0)).groupBy("media").agg(F.count(F.lit(1)).alias("overlaps"))
+    over = spatial.overlapping_pairs(d.select("media", "at", "x1", "y1", "x2", "y2"), ["media"], "at").groupBy("media").agg(F.count(F.lit(1)).alias("overlaps"))
     per = d.groupBy("media").agg(F.count(F.lit(1)).alias("n"), F.sum(G.area(G.box())).alias("covered"))
     cover = F.col("covered") / (WIDTH * HEIGHT)
     out = per.join(over, "media", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)).cast("long"))

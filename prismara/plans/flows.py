@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textparse as T
 from ..operators import aggregates as A
-from ..operators import joins, select
+from ..operators import joins, ranks, select
 from ..sources import media, metadata, results
 from . import virtual as VR
 
@@ -99,7 +99,9 @@ def batch_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 def long_last_order(spark: SparkSession, sf: str) -> DataFrame:
     """Processing place and chunk of the media: short ones in order, long ones by duration at the end."""
     m = VR.table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 5000, 3).alias("duration"), (F.col("o_orderkey") % 10).alias("lane"))
-    place = F.row_number().over(W.partitionBy("lane").orderBy(*media.long_last(m, "duration", "o_orderkey"), F.col("o_orderkey")))
+    order = {f"by{i}": c for i, c in enumerate(media.long_last(m, "duration", "o_orderkey"))}
+    m = ranks.before(m.withColumns(order), ["lane"], [*order, "o_orderkey"], "before")
+    place = (F.col("before") + 1).cast("int")
     return m.select("lane", "o_orderkey", place.alias("place"), F.floor((place - 1) / 100).cast("long").alias("chunk"))
 
 
@@ -174,9 +176,8 @@ SELECT t.n, round(po, 6) AS agreement, round((po - (a * c + (1 - a) * (1 - c)))
 def spearman(spark: SparkSession, sf: str) -> DataFrame:
     """Rank correlation of balance and key inside each segment, ties by average rank."""
     c = VR.table(spark, sf, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 100))
-    w = lambda x: W.partitionBy("c_mktsegment").orderBy(x)
-    avg_rank = lambda x: F.rank().over(w(x)) + (F.count(F.lit(1)).over(W.partitionBy("c_mktsegment", x)) - 1) / 2.0
-    r = c.select("c_mktsegment", avg_rank("b").alias("x"), avg_rank("c_nationkey").alias("y"))
+    r = ranks.average_rank(c.select("c_mktsegment", "b", "c_nationkey"), ["c_mktsegment"], "b", "x")
+    r = ranks.average_rank(r, ["c_mktsegment"], "c_nationkey", "y")
     return r.groupBy("c_mktsegment").agg(F.round(F.corr("x", "y"), 6).alias("rho"))
 
 
@@ -288,14 +289,17 @@ def score_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def percentile_rescale(spark: SparkSession, sf: str) -> DataFrame:
     c = VR.table(spark, sf, "customer")
-    return c.select("c_custkey", F.round(1 + 9 * F.percent_rank().over(W.partitionBy("c_mktsegment").orderBy("c_acctbal")), 6).alias("scaled"))
+    ranked = ranks.percent_rank(c.select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal", "share")
+    return ranked.select("c_custkey", F.round(1 + 9 * F.col("share"), 6).alias("scaled"))
 
 
 def decile_split(spark: SparkSession, sf: str) -> DataFrame:
     """Train, validation and test parts of 80, 10 and 10 percent inside deciles."""
-    c = VR.table(spark, sf, "customer").withColumn("decile", F.ntile(10).over(W.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")))
-    w = W.partitionBy("c_mktsegment", "decile")
-    share = (F.row_number().over(w.orderBy(F.md5(F.col("c_custkey").cast("string")))) - 1) / F.count(F.lit(1)).over(w)
+    c = VR.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.md5(F.col("c_custkey").cast("string")).alias("draw"))
+    c = ranks.ntile(c, ["c_mktsegment"], ["c_acctbal", "c_custkey"], 10, "decile")
+    part = ["c_mktsegment", "decile"]
+    c = ranks.sized(ranks.before(c, part, ["draw", "c_custkey"], "at"), part, "n")
+    share = F.col("at") / F.col("n")
     return c.select("c_custkey", "decile", F.when(share < 0.8, "train").when(share < 0.9, "val").otherwise("test").alias("part"))
 
 
