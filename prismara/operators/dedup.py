@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
-
 THRESHOLD = 0.93  # fixed value: similar from this cosine on
 
 
@@ -57,10 +55,3 @@ def merge_clusters(clustered: DataFrame, scene: str, person: str, frames: str, s
     mine = F.when(F.col(person) == F.col("leader"), F.col(score))
     tops = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(c)["score"], F.col(score), (-F.col(person)).alias("__p")))).alias(c) for c in best]
     return clustered.groupBy(scene, "leader").agg(F.count(F.lit(1)).alias("members"), F.max(mine).alias(score), *tops, F.array_sort(F.array_distinct(F.flatten(F.collect_list(frames)))).alias(frames))
-
-
-def similar_pairs(df: DataFrame, group: str, ident: str, embedding: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of one group with a cosine from the threshold on."""
-    a, b = df.select(group, F.col(ident).alias("a"), F.col(embedding).alias("ea")), df.select(group, F.col(ident).alias("b"), F.col(embedding).alias("eb"))
-    both = a.join(b, group).where("a < b").withColumn("similarity", G.dot(F.col("ea"), F.col("eb")))
-    return both.where(F.col("similarity") >= threshold).select(group, "a", "b", "similarity")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import textparse as T
 from ..operators import aggregates as A
-from ..operators import dedup, joins, select, spatial
+from ..operators import dedup, joins, select, spatial, vectors
 from . import virtual as VR
 
 DET = VR.DET
@@ -322,10 +322,27 @@ SELECT p.media, n, coalesce(k, 0) AS "overlaps", covered, coalesce(k, 0) < floor
 
 
 def dedup_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.similar_pairs(VR.table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.30).select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
+    return vectors.exact_pairs(VR.table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.30).select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-O_PAIRS = "SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.30"
+_PRODUCT = "list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))"
+O_PAIRS = f"SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round({_PRODUCT}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.30"
+
+
+def dedup_pairs_projected(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector beside one that is nearly the same and, for every fourth, an exact copy; pairs from 0.93 on by random projections."""
+    e = VR.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    near = e.select((F.col("vec_id") + 10_000_000).alias("vec_id"), "label", F.expr("transform(embedding, (x, i) -> CAST(x + ((vec_id + i * 7) % 11 - 5) * 0.004 AS FLOAT))").alias("embedding"))
+    copies = e.where("vec_id % 4 = 0").withColumn("vec_id", F.col("vec_id") + 20_000_000)
+    found = vectors.projected_pairs(e.unionByName(near).unionByName(copies), "label", "vec_id", "embedding", dedup.THRESHOLD)
+    return found.select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+O_PROJECTED = f"""
+WITH e AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_transform(embedding, lambda v, i: CAST(v + ((vec_id + (i - 1) * 7) % 11 - 5) * 0.004 AS FLOAT)) FROM embeddings
+  UNION ALL SELECT vec_id + 20000000, label, embedding FROM embeddings WHERE vec_id % 4 = 0)
+SELECT * FROM (SELECT x.label, x.vec_id AS a, y.vec_id AS b, round({_PRODUCT}, 6) AS similarity FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE similarity >= 0.93
+"""
 
 
 def dedup_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,7 +421,7 @@ O_READING = f"SELECT {DKEYS}, CAST(row_number() OVER (PARTITION BY media ORDER B
 def queries() -> dict:
     made = (
         bbox_occupancy, media_occupancy, iou_best_match, iou_anti, iou_greedy, min_ratio_two_counts, proxemic_keypoints, frontal_waist, head_box, crop_boxes, best_candidate_general, best_candidate_body, best_candidate_face,
-        partial_final_merge, face_turn_cuts, displacement_cuts, cut_thinning, scene_intervals, scene_asof, scene_interval_join, gap_clusters, gap_splits, panel_grid_overlap, dedup_pairs, dedup_clusters, video_statistics, collage_rollup, track_order, panel_reading_order,
+        partial_final_merge, face_turn_cuts, displacement_cuts, cut_thinning, scene_intervals, scene_asof, scene_interval_join, gap_clusters, gap_splits, panel_grid_overlap, dedup_pairs, dedup_pairs_projected, dedup_clusters, video_statistics, collage_rollup, track_order, panel_reading_order,
     )
     return {f.__name__: f for f in made}
 
@@ -435,6 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "gap_splits": O_SPLITS,
         "panel_grid_overlap": O_PANEL,
         "dedup_pairs": O_PAIRS,
+        "dedup_pairs_projected": O_PROJECTED,
         "dedup_clusters": O_CLUSTERS,
         "iou_greedy": O_GREEDY,
         "video_statistics": O_VIDEO,
