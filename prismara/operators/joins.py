@@ -74,10 +74,27 @@ def greedy_unseen(candidates: DataFrame, on: Sequence[str], order: str, limit: f
     return boxes.select(*on, F.explode(kept).alias("k")).select(*on, F.col("k.o").alias(order), "k.x1", "k.y1", "k.x2", "k.y2")
 
 
+def interval_candidates(points: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
+    """Points with the intervals (__k, __s, __e, ...) of their key that hold them; a point that none holds stands once, with nulls.
+
+    An interval lies on the level of bins about as wide as itself and in three of them at most; a point asks one bin of each level that there
+    is. So points meet only intervals that begin or end near them, whatever a key has of both, and a key is spread over its bins.
+    """
+    length = (F.col("__e").cast("double") - F.col("__s").cast("double")).alias("__length")
+    real = intervals.where(F.col("__s") < F.col("__e")).withColumn("__level", F.greatest(F.ceil(F.log2(length)), F.lit(-64)).cast("int"))
+    levels = sorted(r[0] for r in real.select("__level").distinct().collect() if r[0] is not None)  # as many as doubles have exponents, at most
+    bin_of = lambda c: F.floor(c.cast("double") / F.pow(F.lit(2.0), F.col("__level").cast("double")))
+    real = real.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__s")), bin_of(F.col("__e")))))
+    asking = points.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels or [0]]))).withColumn("__asked", bin_of(F.col(at)))
+    asking = asking.withColumnRenamed("__level", "__at_level")
+    same = (F.col(key) == F.col("__k")) & (F.col("__at_level") == F.col("__level")) & (F.col("__asked") == F.col("__bin"))
+    return asking.join(real, same & (F.col(at) >= F.col("__s")) & (F.col(at) < F.col("__e")), "left")
+
+
 def interval_first(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, value: str, order: str, point_id: Sequence[str]) -> DataFrame:
-    """Each point with the first interval [start, end) of its key that holds it, null without one."""
+    """Each point with the first interval [start, end) of its key that holds it, null without one. Empty and unbounded intervals hold nothing."""
     i = intervals.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(value).alias("__v"), F.col(order).alias("__o"))
-    hit = points.join(i, (F.col(key) == F.col("__k")) & (F.col(at) >= F.col("__s")) & (F.col(at) < F.col("__e")), "left")
+    hit = interval_candidates(points.select(*point_id, *[c for c in (key, at) if c not in point_id]), i, key, at)
     return hit.groupBy(*point_id).agg(F.min_by("__v", "__o").alias(value))
 
 
