@@ -3,32 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.results import append_replace
+from .ledger import merge_batch
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str]):
-    """Micro-batches replace the keys they hold in a Parquet master; restarting goes on after the last batch.
+def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], buckets: int = 64):
+    """Micro-batches replace the keys they hold in a bucketed master; restarting goes on after the last batch.
 
-    A batch is written beside the master and swapped in, so a batch that is run again gives the same table.
+    The ledger lies beside the stream's checkpoint, as batch numbers are the checkpoint's. ``ledger.read_master`` reads the table.
     """
-    from ..sources.results import swap_in
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        # of a key's rows the last one by its values, so that a repeated batch gives the same table
-        rest = [c for c in batch.columns if c not in key]
-        batch = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__r")).select(*[F.col(c) if c in key else F.col(f"__r.{c}") for c in batch.columns])
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        swap_in(append_replace(spark.read.parquet(target), batch, key) if there else batch, target)
-
+    book = f"{checkpoint.rstrip('/')}-ledger"
+    write = lambda batch, number: merge_batch(batch, number, target, book, key, buckets)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -51,20 +43,79 @@ def best_so_far(frames: DataFrame, keys: Sequence[str], score: Column, order: st
     return frames.groupBy(*keys).agg(F.max(score).alias("score"), F.max_by(order, F.struct(score, -F.col(order))).alias("at"))
 
 
-def _candidates(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    best = list(state.get) if state.exists else [None, None, None, None]
-    for pdf in batches:
-        for general, body, frame in zip(pdf.general, pdf.body, pdf.frame, strict=True):
-            if best[0] is None or general > best[0] or (general == best[0] and frame < best[1]):
-                best[0:2] = [float(general), int(frame)]
-            if not pd.isna(body) and (best[2] is None or body > best[2] or (body == best[2] and frame < best[3])):
-                best[2:4] = [float(body), int(frame)]
-    state.update(tuple(best))
-    yield pd.DataFrame({"track": [key[0]], "general": [best[0]], "general_frame": [best[1]], "body": [best[2]], "body_frame": [best[3]]})
-
-
-def candidate_slots(frames: DataFrame) -> DataFrame:
-    """Live slots of each track (general, body), kept as state; frames: track, frame, general, body."""
-    out = "track string, general double, general_frame long, body double, body_frame long"
-    kept = "general double, general_frame long, body double, body_frame long"
-    return frames.groupBy("track").applyInPandasWithState(_candidates, out, kept, "update", GroupStateTimeout.NoTimeout)
+SLOTS = ("general", "body", "face")
+SLOT_SCHEMA = ", ".join(["track string", *[f"{s} double, {s}_frame long" for s in SLOTS], "closed boolean"])
+
+
+class CandidateSlots(StatefulProcessor):
+    """Three slots of a track, each the best score so far and the first frame that has it. A track without frames for ``idle`` seconds is
+    closed: its slots are given out once more and its state is dropped."""
+
+    def __init__(self, idle: float | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = {s: handle.getValueState(s, "score double, frame long") for s in SLOTS}
+
+    def _row(self, key: tuple[Any, ...], closed: bool) -> pd.DataFrame:
+        row: dict[str, list] = {"track": [key[0]]}
+        for name, state in self.slots.items():
+            held = state.get() if state.exists() else (None, None)
+            row |= {name: pd.Series([held[0]], dtype="float64"), f"{name}_frame": pd.Series([held[1]], dtype="Int64")}
+        return pd.DataFrame(row | {"closed": [closed]})
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        best = {s: state.get() if state.exists() else None for s, state in self.slots.items()}
+        for pdf in rows:
+            for name in SLOTS:
+                known = pdf[pdf[name].notna()]
+                if known.empty:
+                    continue
+                top = known[known[name] == known[name].max()]
+                score, frame = float(top[name].iloc[0]), int(top["frame"].min())
+                held = best[name]
+                if held is None or score > held[0] or (score == held[0] and frame < held[1]):
+                    best[name] = (score, frame)
+        for name, value in best.items():
+            if value is not None:
+                self.slots[name].update((value[0], value[1]))
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
+        yield self._row(key, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        row = self._row(key, True)
+        for state in self.slots.values():
+            state.clear()
+        yield row
+
+    def close(self) -> None:
+        pass
+
+
+def candidate_slots(frames: DataFrame, idle: float | None = None) -> DataFrame:
+    """Live slots of each track (general, body, face), each a score and its first frame; frames: track, frame, and the slots' scores, null where a frame is no candidate.
+
+    A batch's rows are reduced to their maxima before the state is touched, so a track's state is written once a batch. The state store must be
+    RocksDB's (``rocks_state``) when the stream is started.
+    """
+    mode = "None" if idle is None else "ProcessingTime"
+    return frames.groupBy("track").transformWithStateInPandas(CandidateSlots(idle), SLOT_SCHEMA, "update", mode)
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -9,7 +9,7 @@ from prismara.functions import textparse as T
 from prismara.operators import dedup, joins, select
 from prismara.plans import virtual
 from prismara.sources import media, results
-from prismara.streaming import jobs
+from prismara.streaming import jobs, ledger
 
 
 def values(spark, texts, parse):
@@ -98,15 +98,4 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string").write.mode("append").parquet(src)
     jobs.ingest(stream, target, str(tmp_path / "ck"), ["k"]).awaitTermination()
     jobs.ingest(stream, target, str(tmp_path / "ck"), ["k"]).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_streamed_slots_match_batch(spark, tmp_path):
-    src = str(tmp_path / "frames")
-    rows = pd.DataFrame({"track": ["a", "a", "b"], "frame": [1, 2, 1], "general": [1.0, 1.0, 3.0], "body": [None, 2.0, None]})
-    spark.createDataFrame(rows, "track string, frame long, general double, body double").write.parquet(src)
-    q = jobs.candidate_slots(jobs.event_stream(spark, src, "track string, frame long, general double, body double"))
-    run = q.writeStream.format("memory").queryName("slots").outputMode("update").trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = {r["track"]: (r["general_frame"], r["body_frame"]) for r in spark.table("slots").collect()}
-    assert got["a"] == (1, 2) and got["b"][0] == 1
+    assert sorted(map(tuple, ledger.read_master(spark, target).collect())) == [(1, "a"), (2, "c"), (3, "d")]
