@@ -55,6 +55,23 @@ SELECT l.media, l.frame, l.l_partkey, l.l_suppkey, CASE WHEN v > 0.3 THEN o END
 """
 
 
+def face_person_link(spark: SparkSession, sf: str) -> DataFrame:
+    """The track of the person that a face overlaps most, from an overlap of a half on; faces are boxes of odd parts, persons of even ones that make a demand or not."""
+    d = VR.detections(spark, sf)
+    order = F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    persons = d.where("l_partkey % 2 = 0").withColumn("o", order).select("media", "o", "track", "x1", "y1", "x2", "y2")
+    faces = d.where("l_partkey % 2 = 1").select("media", "frame", "l_partkey", "l_suppkey", "x1", "y1", "x2", "y2")
+    linked = joins.iou_best(faces, persons, ["media"], [*DKEY, "x2"], "o", lambda v: v >= G.IOU_FACE, least=G.IOU_FACE)
+    return linked.select(*DKEY, F.col("r_track").alias("track"), F.round("iou", 6).alias("iou"))
+
+
+O_LINK = f"""
+WITH d AS ({DET}), p AS (SELECT *, frame * 1000000000 + l_partkey * 10000 + l_suppkey AS o FROM d WHERE l_partkey % 2 = 0), f AS (SELECT * FROM d WHERE l_partkey % 2 = 1),
+b AS (SELECT f.media, f.frame, f.l_partkey, f.l_suppkey, f.x2, p.track, {o_iou('f', 'p')} AS v, row_number() OVER (PARTITION BY f.media, f.frame, f.l_partkey, f.l_suppkey, f.x2 ORDER BY {o_iou('f', 'p')} DESC, p.o) AS n FROM f JOIN p USING (media))
+SELECT f.media, f.frame, f.l_partkey, f.l_suppkey, CASE WHEN v >= 0.5 THEN b.track END AS track, CASE WHEN v >= 0.5 THEN round(v, 6) END AS iou FROM f LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (media, frame, l_partkey, l_suppkey, x2)
+"""
+
+
 def iou_anti(spark: SparkSession, sf: str) -> DataFrame:
     d = VR.detections(spark, sf)
     return joins.iou_unseen(d.where("l_partkey % 2 = 0"), d.where("l_partkey % 2 = 1"), ["media"]).select(*DKEY)
@@ -95,7 +112,7 @@ def _o_x(i: int) -> str:
 
 
 def _o_y(i: int) -> str:
-    return f"((l_suppkey + {i} * 53) % 97)"
+    return f"((l_suppkey + {i} * 5) % 97)"
 
 
 def proxemic_keypoints(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,7 +437,7 @@ O_READING = f"SELECT {DKEYS}, CAST(row_number() OVER (PARTITION BY media ORDER B
 
 def queries() -> dict:
     made = (
-        bbox_occupancy, media_occupancy, iou_best_match, iou_anti, iou_greedy, min_ratio_two_counts, proxemic_keypoints, frontal_waist, head_box, crop_boxes, best_candidate_general, best_candidate_body, best_candidate_face,
+        bbox_occupancy, media_occupancy, iou_best_match, face_person_link, iou_anti, iou_greedy, min_ratio_two_counts, proxemic_keypoints, frontal_waist, head_box, crop_boxes, best_candidate_general, best_candidate_body, best_candidate_face,
         partial_final_merge, face_turn_cuts, displacement_cuts, cut_thinning, scene_intervals, scene_asof, scene_interval_join, gap_clusters, gap_splits, panel_grid_overlap, dedup_pairs, dedup_pairs_projected, dedup_clusters, video_statistics, collage_rollup, track_order, panel_reading_order,
     )
     return {f.__name__: f for f in made}
@@ -432,6 +449,7 @@ def oracle_sql() -> dict[str, str]:
         "bbox_occupancy": f"SELECT {DKEYS}, (x2 - x1) * (y2 - y1) AS area, {occ} AS occupancy FROM ({DET})",
         "media_occupancy": f"SELECT media, round(avg({occ}), 6) AS mean_occupancy, max({occ}) AS max_occupancy FROM ({DET}) GROUP BY media",
         "iou_best_match": O_BEST,
+        "face_person_link": O_LINK,
         "iou_anti": O_ANTI,
         "min_ratio_two_counts": f"SELECT media, frame, count(*) FILTER (WHERE x2 - x1 >= 4 AND y2 - y1 >= 4) AS raw_persons, count(*) FILTER (WHERE x2 - x1 >= 4 AND y2 - y1 >= 4 AND (x2 - x1) * (y2 - y1) / {WIDTH * HEIGHT} >= 0.01) AS persons FROM ({DET}) GROUP BY 1, 2",
         "proxemic_keypoints": O_PROX,

@@ -287,6 +287,16 @@ def score_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.stddev_pop(x), 6).alias("spread"))
 
 
+def castable_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean of the answers' scores that are numbers, to one decimal, a media; null where none is."""
+    a = VR.answers(spark, sf, "score_raw")
+    x = F.col("score_raw").try_cast("double")
+    return a.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("answers"), F.count(x).alias("scores"), F.round(F.avg(x), 1).alias("mean_score"))
+
+
+O_CASTABLE = f"SELECT l_orderkey, count(*) AS answers, count(s) AS scores, round(avg(s), 1) AS mean_score FROM (SELECT l_orderkey, TRY_CAST({VR.SCORE} AS DOUBLE) AS s FROM lineitem) GROUP BY l_orderkey"
+
+
 def percentile_rescale(spark: SparkSession, sf: str) -> DataFrame:
     c = VR.table(spark, sf, "customer")
     ranked = ranks.percent_rank(c.select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal", "share")
@@ -371,7 +381,7 @@ O_COOC = f"WITH d AS (SELECT DISTINCT media, frame, track FROM ({VR.DET})) SELEC
 def queries() -> dict:
     made = (
         metadata_chain, path_resolution, stem_extension, first_wins_dedup, seeded_sample, batch_enrichment, long_last_order, ordinal_alignment, row_type_counts, mismatch_count, mode_first_seen, agreement_metrics, spearman, score_upsert,
-        location_backfill, backfill_cells, append_replace, resume_pending, stale_packages, skipped_files, person_rows_image, person_rows_video, output_columns, score_statistics, percentile_rescale, decile_split, throughput_moving,
+        location_backfill, backfill_cells, append_replace, resume_pending, stale_packages, skipped_files, person_rows_image, person_rows_video, output_columns, score_statistics, castable_means, percentile_rescale, decile_split, throughput_moving,
         forward_fill_cache, session_windows, tumbling_counts, scene_sort, cooccurrence,
     )
     return {f.__name__: f for f in made}
@@ -404,6 +414,7 @@ def oracle_sql() -> dict[str, str]:
         "person_rows_video": O_VIDEO_ROWS,
         "output_columns": "SELECT CASE WHEN s_suppkey % 3 <> 0 THEN CASE WHEN s_suppkey % 2 = 1 THEN 'sí' ELSE 'no' END END AS video_word, s_suppkey, CAST(NULL AS VARCHAR) AS review, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 2 = 1 THEN 'sí' ELSE 'no' END AS image_word FROM supplier",
         "score_statistics": f"SELECT event_type, count({score}) AS n, round(avg({score}), 6) AS mean, round(median({score}), 6) AS median, min({score}) AS low, max({score}) AS high, round(stddev_pop({score}), 6) AS spread FROM events GROUP BY 1",
+        "castable_means": O_CASTABLE,
         "percentile_rescale": "SELECT c_custkey, round(1 + 9 * percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal), 6) AS scaled FROM customer",
         "decile_split": O_DECILE,
         "throughput_moving": O_MOVING,

@@ -14,7 +14,7 @@ from ..operators import aggregates as A
 from ..operators import joins, panels, select
 from ..sources import media, results
 from ..sources.tables import shared_path
-from ..streaming import jobs
+from ..streaming import jobs, ledger
 from . import virtual as VR
 
 WIDTH, HEIGHT = 640, 480
@@ -303,6 +303,26 @@ def streamed_best(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, best, "best").select("user_id", F.round("score", 6).alias("score"), F.col("at").alias("event_id"))
 
 
+def streamed_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The three candidate slots of each user, taken as a track, after the whole stream: values of all events, of purchases and of every third one."""
+    frames = _events(spark, sf).select(
+        F.col("user_id").cast("string").alias("track"), F.col("event_id").alias("frame"), F.col("value").alias("general"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("body"), F.when(F.col("event_id") % 3 == 0, F.floor("value")).cast("double").alias("face")
+    )
+    target = shared_path(spark, "slots")
+    with jobs.rocks_state(spark):
+        jobs.ingest(jobs.candidate_slots(frames), target, shared_path(spark, "slots-state"), ["track"], output="update").awaitTermination()
+    slots = ledger.read_master(spark, target)
+    return slots.select("track", *[c for s in jobs.SLOTS for c in (F.round(s, 6).alias(s), f"{s}_frame")])
+
+
+def _o_slot(name: str, value: str) -> str:
+    return f"round(max({value}), 6) AS {name}, arg_max(CASE WHEN {value} IS NOT NULL THEN event_id END, ({value}, -event_id)) FILTER ({value} IS NOT NULL) AS {name}_frame"
+
+
+_PURCHASE, _THIRD = "(CASE WHEN event_type = 'purchase' THEN value END)", "(CASE WHEN event_id % 3 = 0 THEN floor(value) END)"
+O_SLOTS = f"SELECT CAST(user_id AS VARCHAR) AS track, {_o_slot('general', 'value')}, {_o_slot('body', _PURCHASE)}, {_o_slot('face', _THIRD)} FROM events GROUP BY user_id"
+
+
 def results_written(spark: SparkSession, sf: str) -> DataFrame:
     """Work that is still to do after results were written, degraded ones left out, and read again."""
     o = VR.table(spark, sf, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey") % 3).alias("run_id"), F.col("o_orderkey").cast("string").alias("img_id"), (F.col("o_orderkey") % 7 == 0).alias("degraded"))
@@ -318,7 +338,7 @@ O_WRITTEN = "SELECT CAST(o_orderkey AS VARCHAR) AS img_id, 'r' || (o_orderkey %
 def queries() -> dict:
     made = (
         json_decoded, accessories_of, accessory_counts, face_scores, common_first, error_states, path_fallback, annotated_lookup, scene_scores, person_boxes, demand_faces, feature_columns, prompt_choice, panel_grid, panel_method, cell_states,
-        mismatches_all, streamed_counts, streamed_best, results_written,
+        mismatches_all, streamed_counts, streamed_best, streamed_slots, results_written,
     )
     return {f.__name__: f for f in made}
 
@@ -343,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "cell_states": _o_cells(),
         "mismatches_all": _o_all(),
         "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "streamed_slots": O_SLOTS,
         "streamed_best": "SELECT user_id, round(value, 6) AS score, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1",
         "results_written": O_WRITTEN,
     }

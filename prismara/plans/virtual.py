@@ -85,7 +85,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Keypoint confidences and places by arithmetic; i is the point's number.
 KP_X = "((l_partkey + i * 37) % 101) * 1.0"
-KP_Y = "((l_suppkey + i * 53) % 97) * 1.0"
+KP_Y = "((l_suppkey + i * 5) % 97) * 1.0"
 KP_CONF = "((l_partkey + l_suppkey + i * 7) % 41) / 40.0"
 
 

@@ -14,14 +14,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from .ledger import merge_batch
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], buckets: int = 64):
+def ingest(stream: DataFrame, target: str, checkpoint: str, key: Sequence[str], buckets: int = 64, output: str = "append"):
     """Micro-batches replace the keys they hold in a bucketed master; restarting goes on after the last batch.
 
     The ledger lies beside the stream's checkpoint, as batch numbers are the checkpoint's. ``ledger.read_master`` reads the table.
     """
     book = f"{checkpoint.rstrip('/')}-ledger"
     write = lambda batch, number: merge_batch(batch, number, target, book, key, buckets)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
