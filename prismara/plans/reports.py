@@ -12,7 +12,8 @@ from ..functions import vocab as V
 from ..inference import PLACE_ONLY, PROMPT_SETS, WITH_DISTANCE, scene_prompt
 from ..operators import aggregates as A
 from ..operators import joins, panels, select
-from ..sources import media, results
+from ..sources import media, results, workbook
+from ..sources.sheets import read_sheet
 from ..sources.tables import shared_path
 from ..streaming import jobs, ledger
 from . import virtual as VR
@@ -303,6 +304,17 @@ def streamed_best(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, best, "best").select("user_id", F.round("score", 6).alias("score"), F.col("at").alias("event_id"))
 
 
+def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet of customers and one of nations, written as one workbook; the customers' cells as they are read back."""
+    c = VR.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("<"), "c_name", F.lit(f"> & {chr(10)} _x0041_"))).alias("remark"), (F.col("c_acctbal") > 0).alias("credit"))
+    path = shared_path(spark, "book") + ".xlsx"
+    workbook.write_workbook({"nations": VR.table(spark, sf, "nation"), "customers": c}, path)
+    return read_sheet(spark, path, "customers")
+
+
+O_WORKBOOK = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 7 <> 0 THEN '<' || c_name || '> & ' || chr(10) || ' _x0041_' END AS remark, CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END AS credit FROM customer"
+
+
 def streamed_slots(spark: SparkSession, sf: str) -> DataFrame:
     """The three candidate slots of each user, taken as a track, after the whole stream: values of all events, of purchases and of every third one."""
     frames = _events(spark, sf).select(
@@ -338,7 +350,7 @@ O_WRITTEN = "SELECT CAST(o_orderkey AS VARCHAR) AS img_id, 'r' || (o_orderkey %
 def queries() -> dict:
     made = (
         json_decoded, accessories_of, accessory_counts, face_scores, common_first, error_states, path_fallback, annotated_lookup, scene_scores, person_boxes, demand_faces, feature_columns, prompt_choice, panel_grid, panel_method, cell_states,
-        mismatches_all, streamed_counts, streamed_best, streamed_slots, results_written,
+        mismatches_all, streamed_counts, streamed_best, streamed_slots, workbook_rows, results_written,
     )
     return {f.__name__: f for f in made}
 
@@ -364,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "mismatches_all": _o_all(),
         "streamed_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "streamed_slots": O_SLOTS,
+        "workbook_rows": O_WORKBOOK,
         "streamed_best": "SELECT user_id, round(value, 6) AS score, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1",
         "results_written": O_WRITTEN,
     }

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import written
+
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -37,8 +41,8 @@ def latest_run(results: DataFrame, file: str = "img_id") -> DataFrame:
 
 def upsert(master: DataFrame, new: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """New values where there are any, else the present ones; rows of the master only."""
-    # of a key's several new rows each column's largest value holds, so that no master row is multiplied
-    fresh = new.groupBy(*on).agg(*[F.max(c).alias(f"__{c}") for c in columns])
+    # of a key's several new rows the greatest by its values holds, so that no master row is multiplied or mixes two of them
+    fresh = new.groupBy(*on).agg(F.max(F.struct(*columns)).alias("__n")).select(*on, *[F.col("__n")[c].alias(f"__{c}") for c in columns])
     joined = master.join(fresh, list(on), "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in master.columns])
 
@@ -88,14 +92,19 @@ def write_results(results: DataFrame, folder: str, degraded: str = "degraded") -
 
 
 def write_sheet(df: DataFrame, path: str, columns: Sequence[str], fallback: str | None = None) -> str:
-    """Writes the columns in their order as CSV; where that fails, to the fallback path. Returns where it went."""
+    """Writes the columns in their order as CSV; where the store refuses, to the fallback path. Returns where it went.
+
+    The rows are made before the target is touched, so an error in them is raised and not taken for a blocked file.
+    """
     rows = in_columns(df, columns)
-    try:
+    if fallback is None:
         rows.write.mode("overwrite").option("header", True).csv(path)
-    except Exception:  # whatever the store says: the rows must not be lost
-        if fallback is None:
-            raise
-        rows.write.mode("overwrite").option("header", True).csv(fallback)
+        return path
+    made = written(rows, "sheet")
+    try:
+        made.write.mode("overwrite").option("header", True).csv(path)
+    except (Py4JJavaError, PySparkException):
+        made.write.mode("overwrite").option("header", True).csv(fallback)
         return fallback
     return path
 

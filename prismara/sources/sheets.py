@@ -25,7 +25,8 @@ def _column(ref: str) -> int:
 
 
 def _texts(node: ElementTree.Element) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
+    raw = "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), raw)
 
 
 def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[str | None]]:
