@@ -7,6 +7,7 @@ from a hash, so that every pipeline runs and repeats without weights.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -23,7 +24,7 @@ class Backend(Protocol):
 
 
 class StubBackend:
-    """Deterministic answers in the format of a person prompt."""
+    """Deterministic answers in the format that the prompt asks for."""
 
     def generate_batch(self, images: list[str], prompts: list[str]) -> list[str]:
         out = []
@@ -33,7 +34,13 @@ class StubBackend:
                 out.append(f"{1 + h[0] % 9}.{h[1] % 10}")
                 continue
             pick = lambda values, i: values[h[i] % len(values)]  # noqa: B023, E731
-            out.append("\n".join([f"Gender: {pick(V.GENDERS, 0)}", f"Age: {pick(V.AGE_GROUPS, 1)}", f"Behaviour: {pick(V.BEHAVIOURS, 2)}", f"Attire: {pick(V.ATTIRES, 3)}", *(f"{a}: {h[4 + i] % 2}" for i, a in enumerate(V.ACCESSORIES))]))
+            if prompt == PLACE_ONLY or prompt.startswith(PROMPTS["scene"]):
+                said = {"Location": pick(V.LOCATIONS, 1)} if prompt == PLACE_ONLY else {"Activity": pick(V.ACTIVITIES, 0), "Location": pick(V.LOCATIONS, 1)}
+                said |= {"Social distance": pick(V.SOCIAL_DISTANCES, 2)} if prompt.endswith(WITH_DISTANCE) else {}
+            else:
+                said = {"Gender": pick(V.GENDERS, 0), "Age": pick(V.AGE_GROUPS, 1), "Behaviour": pick(V.BEHAVIOURS, 2), "Attire": pick(V.ATTIRES, 3), **{a: h[4 + i] % 2 for i, a in enumerate(V.ACCESSORIES)}}
+            as_json = "JSON objects" in prompt
+            out.append(json.dumps({k.lower(): {"class": str(v)} for k, v in said.items()}) if as_json else "\n".join(f"{k}: {v}" for k, v in said.items()))
         return out
 
 
@@ -55,6 +62,11 @@ PROMPT_SETS: dict[str, dict[str, str]] = {
 }
 WITH_DISTANCE = " Name the social distance as well."
 PLACE_ONLY = "Name the location, as 'Location: value'."
+#: One question an attribute, as the merged ones replace them.
+SINGLE_PROMPTS = {
+    a: f"Name the {label} of the marked person, as '{label}: value'."
+    for a, label in (("gender", "Gender"), ("age", "Age"), ("behaviour", "Behaviour"), ("body_display", "BodyDisplay"), ("body_weight", "BodyWeight"), ("muscle", "Musculature"), ("attire", "Attire"))
+}
 SCORE_PROMPT = "Rate the face from 1 to 10. Answer with the number only."
 
 
@@ -76,12 +88,12 @@ def deferred_scores(candidates: DataFrame, scored: DataFrame, key: list[str], im
     return scored.select(*key, "score").unionByName(estimate_scores(open_, image, backend).select(*key, "score"))
 
 
-def infer(image: Column, prompt: Column, backend: str = "stub") -> Column:
-    """Text column of a backend's answers. Empty answers are asked for once more."""
+def infer(image: Column, prompt: Column, backend: str | Callable[[], Backend] = "stub") -> Column:
+    """Text column of a backend's answers, the backend by name or what makes one. Empty answers are asked for once more."""
 
     @F.pandas_udf("string")
     def asked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = BACKENDS[backend]()
+        model = (BACKENDS[backend] if isinstance(backend, str) else backend)()
         for images, prompts in batches:
             answers = model.generate_batch(images.tolist(), prompts.tolist())
             again = [i for i, a in enumerate(answers) if not (a or "").strip()]

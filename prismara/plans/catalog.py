@@ -1,8 +1,8 @@
 """All catalogue queries and their oracle SQL."""
 
-from . import answers, boxes, flows, pixels, reports
+from . import answers, boxes, flows, pixels, reports, runs
 
-_MODULES = (answers, boxes, flows, pixels, reports)
+_MODULES = (answers, boxes, flows, pixels, reports, runs)
 
 
 def queries() -> dict:
