@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +64,34 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: s
     return left.join(right, [*on, "__part"], how).drop("__part")
 
 
+def numbered_copies(rows: DataFrame, same: str, name: str, most: int = 1 << 20) -> DataFrame:
+    """``rows`` with ``name``: 0 for each row whose hash ``same`` stands once, else the numbers from 0 on, one for each copy.
+
+    Copies are numbered where they lie, a few thousand here and there, after what earlier tasks hold of them; no task gathers a row's copies.
+    Which copy gets which number is open, as they are alike. ``most`` repeated hashes are broadcast; with more, rows are joined to them.
+    """
+    twice = materialise(rows.groupBy(same).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(same))
+    n = twice.count()
+    if not n:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    if n <= most:
+        marked = rows.join(F.broadcast(twice.withColumn("__twice", F.lit(True))), same, "left")
+    else:
+        marked = rows.join(twice.withColumn("__twice", F.lit(True)), same, "left")
+    single = marked.where("__twice IS NULL").drop("__twice").withColumn(name, F.lit(0).cast("long"))
+    repeated = materialise(marked.where("__twice").drop("__twice").withColumn("__task", F.spark_partition_id()))
+    here = repeated.groupBy(same, "__task").agg(F.count(F.lit(1)).alias("__n"))
+    here = here.withColumn("__before", F.sum("__n").over(W.partitionBy(same).orderBy("__task")) - F.col("__n")).drop("__n")
+    place = F.row_number().over(W.partitionBy(same, "__task").orderBy(F.lit(0))) - 1
+    repeated = repeated.withColumn("__place", place).join(here, [same, "__task"]).withColumn(name, F.col("__place") + F.col("__before")).drop("__task", "__place", "__before")
+    return single.unionByName(repeated)
+
+
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Hash of all columns that can be hashed: rows without a difference share it."""
+    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if (columns is None or c in columns) and "map<" not in kind and kind != "variant"])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for small tables of an iteration."""
     shared_dir(df.sparkSession)

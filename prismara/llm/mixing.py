@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, word_count
+from .common import checkpointed, numbered_copies, row_hash, word_count
 
 GOLDEN = 0.6180339887498949  # fixed value: the golden ratio's fractional part
 CELLS = 4096
@@ -101,20 +101,22 @@ def lay_out(rows: DataFrame, targets: DataFrame, n_rows: int, seed: int) -> Data
     """Adds ``__from``, the words before the document in its source's shuffled order, and the source's ``__length``, ``__size`` and ``__target``.
 
     Running sums inside buckets of a few thousand rows, plus the sums of earlier buckets: a source
-    that holds a third of all rows is spread like the rest, and is joined by bucket, never as a whole.
+    that holds a third of all rows is spread like the rest, and is joined by bucket, never as a whole. The order is by a hash of the
+    whole row and of its number among its copies, so it is the same whatever the partitions, and rows of one id are spread as well.
     """
     buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
-    rows = rows.withColumn("__draw", F.xxhash64(F.col("__id").cast("string"), F.lit(seed)))
+    rows = numbered_copies(rows.withColumn("__same", row_hash(rows)), "__same", "__copy")
+    rows = rows.withColumn("__draw", F.xxhash64(F.col("__id").cast("string"), F.lit(seed), "__same", "__copy"))
     rows = rows.withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
     per = rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("__words"))
     base = per.withColumn("__base", F.sum("__words").over(W.partitionBy("__source").orderBy("__bucket")) - F.col("__words"))
     about = targets.select(F.col("source").alias("__t"), F.col("length").alias("__length"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
     base = base.join(about, F.col("__source").eqNullSafe(F.col("__t")))
     base = base.select(F.col("__source").alias("__bs"), F.col("__bucket").alias("__bb"), "__base", "__length", "__size", "__target")
-    inside = W.partitionBy("__source", "__bucket").orderBy("__draw", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("__source", "__bucket").orderBy("__draw", "__same", "__copy").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__in", F.sum("size").over(inside) - F.col("size"))
     rows = rows.join(base, F.col("__source").eqNullSafe(F.col("__bs")) & (F.col("__bucket") == F.col("__bb")))
-    return rows.withColumn("__from", F.col("__base") + F.col("__in")).drop("__bs", "__bb", "__base", "__in", "__bucket", "__draw")
+    return rows.withColumn("__from", F.col("__base") + F.col("__in")).drop("__bs", "__bb", "__base", "__in", "__bucket", "__draw", "__same", "__copy")
 
 
 def _prepared(docs: DataFrame, weights: Sequence[float], share: float, most: float, slots: int, seed: int, columns: tuple[str, str, str], size: Column | None):
