@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, numbered_copies, row_hash
 
 RING_BITS = 16
 ROWS_PER_BUCKET = 4096
@@ -107,7 +107,9 @@ def ring_shards(docs: DataFrame, n_shards: int = 40, vnodes: int = 128, slack: f
     docs = docs.drop(*added)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"size": (F.octet_length(text) + F.lit(overhead)).cast("long"), "__key": F.xxhash64(text)})
-    rows = rows.withColumn("__draw", F.xxhash64(F.col(id_col).cast("string"), "__key"))
+    # rows that are alike in everything are told apart by their number among their copies, so none of them crowd a task
+    rows = numbered_copies(rows.withColumn("__same", row_hash(rows)), "__same", "__copy")
+    rows = rows.withColumn("__draw", F.xxhash64(F.col(id_col).cast("string"), "__key", "__same", "__copy")).drop("__same", "__copy")
     groups = materialise(rows.groupBy("__key").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__n")))
     total, n_rows = (int(x or 0) for x in groups.agg(F.sum("__bytes"), F.sum("__n")).first())
     bound = math.ceil(total / n_shards * (1 + slack))
