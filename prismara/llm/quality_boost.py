@@ -144,15 +144,16 @@ def _scored(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.Reco
 def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> Trees:
     """Trees from at most about ``bound`` labelled rows of ``docs``, drawn by their ids' hashes.
 
-    Rows without a label or id are left out; of an id's several labels the largest holds. Without
+    Rows without a label or id are left out; of an id's several labels the largest holds, of its several texts the first. Without
     rows of both classes the score is the smoothed share of the class there is.
     """
     modest_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     share = min(1 << 30, (bound << 30) // max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) < share)
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(drawn), id_col)  # bounded: about ``bound`` ids
-    table = rows.select(F.coalesce("text", F.lit("")).alias("text"), "label").mapInArrow(_featured, "label int, x array<double>").toPandas()
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), id_col)  # bounded: about ``bound`` ids
+    rows = rows.groupBy(id_col).agg(F.min("text").alias("text"), F.max("label").alias("label"))  # one row an id, so that the bound holds for rows
+    table = rows.select("text", "label").mapInArrow(_featured, "label int, x array<double>").toPandas()
     x = np.stack(table.x.to_list()) if len(table) else np.zeros((0, len(FEATURES)))
     return boost(x, table.label.to_numpy(dtype=float), **options)
 
