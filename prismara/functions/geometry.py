@@ -165,7 +165,9 @@ def drawing_scale(height: Column) -> Column:
 
 
 def colour_index(track: Column, colours: int = 18) -> Column:
-    return F.pmod(F.xxhash64(track.cast("string")), F.lit(colours)).cast("int")
+    """Place of a track's colour: its number by the number of colours, for names by their hash."""
+    name = track.cast("string")
+    return F.pmod(F.coalesce(name.try_cast("bigint"), F.xxhash64(name)), F.lit(colours)).cast("int")
 
 
 def duration(frames: Column, fps: Column) -> Column:

@@ -84,3 +84,21 @@ def ntile(df: DataFrame, segment: Sequence[str], order: Sequence[str], parts: in
     edge = large * (small + 1)
     tile = F.when(at < edge, F.floor(at / (small + 1))).otherwise(large + F.floor((at - edge) / F.greatest(small, F.lit(1))))
     return ranked.select(*df.columns, (tile + 1).cast("int").alias(name))
+
+
+def medians(df: DataFrame, segment: Sequence[str], value: str, name: str) -> DataFrame:
+    """(segment, ``name``): the exact median of each segment's values that are not null; of an even number the mean of the two in the middle.
+
+    Values are counted and placed by range, so no task holds all different values of a segment.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*segment, F.col(value).alias("__v"))
+    counted = known.groupBy(*segment, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    placed = before(counted, segment, ["__v"], "__low", "__n")
+    total = counted.groupBy(*segment).agg(F.sum("__n").alias("__all")).select(*[F.col(c).alias("__c" + str(i)) for i, c in enumerate(segment)], "__all")
+    same = F.lit(True)
+    for i, c in enumerate(segment):
+        same = same & F.col(c).eqNullSafe(F.col("__c" + str(i)))
+    inside = lambda at: (F.col("__low") <= at) & (at < F.col("__low") + F.col("__n"))
+    lower, upper = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    share = (F.when(inside(lower), F.col("__v")).otherwise(0) + F.when(inside(upper), F.col("__v")).otherwise(0)) / 2
+    return placed.join(total, same).where(inside(lower) | inside(upper)).groupBy(*segment).agg(F.sum(share).alias(name))

@@ -191,6 +191,11 @@ SELECT {DKEYS}, CAST(greatest(0, x1 - {_MX}) AS BIGINT) AS cx1, CAST(greatest(0,
 """
 
 
+def track_colours(spark: SparkSession, sf: str) -> DataFrame:
+    d = VR.detections(spark, sf).select("media", (F.col("l_suppkey") * 31 + F.col("track")).alias("track_id")).distinct()
+    return d.select("media", "track_id", G.colour_index(F.col("track_id")).alias("colour"))
+
+
 def best_candidate_general(spark: SparkSession, sf: str) -> DataFrame:
     d = VR.detections(spark, sf).withColumn("at", F.col("frame") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey"))
     best = select.best_rows(d, ["media", "track"], F.round(F.col("conf") * G.area(G.box()), 6), "at")
@@ -437,7 +442,7 @@ O_READING = f"SELECT {DKEYS}, CAST(row_number() OVER (PARTITION BY media ORDER B
 
 def queries() -> dict:
     made = (
-        bbox_occupancy, media_occupancy, iou_best_match, face_person_link, iou_anti, iou_greedy, min_ratio_two_counts, proxemic_keypoints, frontal_waist, head_box, crop_boxes, best_candidate_general, best_candidate_body, best_candidate_face,
+        bbox_occupancy, media_occupancy, iou_best_match, face_person_link, iou_anti, iou_greedy, min_ratio_two_counts, proxemic_keypoints, frontal_waist, head_box, crop_boxes, track_colours, best_candidate_general, best_candidate_body, best_candidate_face,
         partial_final_merge, face_turn_cuts, displacement_cuts, cut_thinning, scene_intervals, scene_asof, scene_interval_join, gap_clusters, gap_splits, panel_grid_overlap, dedup_pairs, dedup_pairs_projected, dedup_clusters, video_statistics, collage_rollup, track_order, panel_reading_order,
     )
     return {f.__name__: f for f in made}
@@ -456,6 +461,7 @@ def oracle_sql() -> dict[str, str]:
         "frontal_waist": O_FRONT,
         "head_box": O_HEAD,
         "crop_boxes": O_CROP,
+        "track_colours": f"SELECT DISTINCT media, l_suppkey * 31 + track AS track_id, CAST((l_suppkey * 31 + track) % 18 AS INTEGER) AS colour FROM ({DET})",
         "best_candidate_general": O_GENERAL,
         "best_candidate_body": O_BODY,
         "best_candidate_face": O_FACE,

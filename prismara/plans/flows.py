@@ -44,6 +44,11 @@ def metadata_chain(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.resolve(stems, rows)
 
 
+def matched_media(spark: SparkSession, sf: str) -> DataFrame:
+    """Media that some source knows, by themselves or as a member of an album."""
+    return metadata.matched(metadata_chain(spark, sf)).select("stem", "match_source")
+
+
 _UNION = " UNION ALL ".join(f"SELECT CASE WHEN {key} % 7 = 0 THEN '' ELSE CAST({key} AS VARCHAR) END AS id, {key} AS k, {key} AS ord, {i} AS priority, '{tag}' AS tag FROM {name} WHERE {where}" for i, (name, key, tag, where) in enumerate(_POSTS))
 O_CHAIN = f"""
 WITH s AS ({_UNION}), p AS (SELECT id, tag FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority, ord) AS n FROM s WHERE id <> '') WHERE n = 1),
@@ -283,8 +288,7 @@ def output_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_statistics(spark: SparkSession, sf: str) -> DataFrame:
     e = VR.table(spark, sf, "events").withColumn("score", F.when(F.col("event_id") % 6 != 0, F.col("value")))
-    x = F.col("score")
-    return e.groupBy("event_type").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.min(x).alias("low"), F.max(x).alias("high"), F.round(F.stddev_pop(x), 6).alias("spread"))
+    return A.score_statistics(e, ["event_type"], "score", 6)
 
 
 def castable_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,7 +384,7 @@ O_COOC = f"WITH d AS (SELECT DISTINCT media, frame, track FROM ({VR.DET})) SELEC
 
 def queries() -> dict:
     made = (
-        metadata_chain, path_resolution, stem_extension, first_wins_dedup, seeded_sample, batch_enrichment, long_last_order, ordinal_alignment, row_type_counts, mismatch_count, mode_first_seen, agreement_metrics, spearman, score_upsert,
+        metadata_chain, matched_media, path_resolution, stem_extension, first_wins_dedup, seeded_sample, batch_enrichment, long_last_order, ordinal_alignment, row_type_counts, mismatch_count, mode_first_seen, agreement_metrics, spearman, score_upsert,
         location_backfill, backfill_cells, append_replace, resume_pending, stale_packages, skipped_files, person_rows_image, person_rows_video, output_columns, score_statistics, castable_means, percentile_rescale, decile_split, throughput_moving,
         forward_fill_cache, session_windows, tumbling_counts, scene_sort, cooccurrence,
     )
@@ -391,6 +395,7 @@ def oracle_sql() -> dict[str, str]:
     score = "CASE WHEN event_id % 6 <> 0 THEN value END"
     return {
         "metadata_chain": O_CHAIN,
+        "matched_media": f"SELECT stem, match_source FROM ({O_CHAIN}) WHERE match_source <> 'none'",
         "path_resolution": O_PATH,
         "stem_extension": O_STEM,
         "first_wins_dedup": "SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)",

@@ -56,6 +56,11 @@ def resolve(stems: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("stem", F.coalesce("p", "owner").alias("post_id"), "url", source.alias("match_source"))
 
 
+def matched(resolved: DataFrame) -> DataFrame:
+    """Rows of ``resolve`` that some source has a match for."""
+    return resolved.where(F.col("match_source") != "none")
+
+
 def attach(df: DataFrame, meta: DataFrame, key: str, prefix: str = "Meta ") -> DataFrame:
     """Left join with prefixed columns."""
     renamed = meta.select(F.col(key).alias("__k"), *[F.col(f"`{c}`").alias(prefix + c) for c in meta.columns if c != key])

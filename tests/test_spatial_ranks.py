@@ -168,3 +168,11 @@ def test_a_segment_lies_in_many_tasks(spark):
     weighed = ranks.before(df.withColumn("w", F.lit(2)), ["seg"], ["v"], "sum", "w")
     assert weighed.where("sum <> 2 * v").count() == 0
     assert ranks.before(df.limit(0), ["seg"], ["v"], "at").count() == 0
+
+
+def test_medians(scores):
+    from statistics import median
+
+    rows, df = scores
+    got = {r["seg"]: r["m"] for r in ranks.medians(df, ["seg"], "v", "m").collect()}
+    assert got == {s: median(v for _, v in members if v is not None) for s, members in by_segment(rows).items() if any(v is not None for _, v in members)}
