@@ -112,26 +112,30 @@ def parse_accessory(text: Column, name: str) -> Column:
     return F.coalesce(found(text, rf"(?imd)^\s*{name}\s*:\s*([01])").cast("int"), F.lit(0))
 
 
-#: A label line; its value is looked ahead for, so a value that is a label line itself is one as well.
-_LINE = r"(?md)^\s*([a-z]+)\s*:(?=\s*([^\n]+))"
-_FLAG = r"(?md)^\s*([a-z]+)\s*:(?=\s*([01]))"
+#: A label line with its value, looked ahead for from every line's start, so a value that is a label line itself is one as well.
+_LINE = r"(?md)^(?=(\s*[a-z]+\s*:\s*[^\n]+))"
+_WHITE = " \t\n\x0b\f\r"
 
 
 def person_attributes(df: DataFrame, text: str, attributes: Iterable[str] = tuple(PERSON), accessories: Iterable[str] = tuple(V.ACCESSORIES)) -> DataFrame:
     """``df`` with attributes of an answer in ``text``, as the single parsers find them.
 
-    The label lines are found in one pass, and values are looked up by label; every step is a projection of its own,
-    which the optimizer does not fold into its many uses.
+    The label lines are found in one pass with their values, and values are looked up by label; every step is a projection of its
+    own, which the optimizer does not fold into its many uses.
     """
     attributes, accessories, kept = list(attributes), list(accessories), df.columns
-    low = F.lower(F.col(text))
-    taken = {"__k": F.regexp_extract_all(low, F.lit(_LINE), F.lit(1)), "__v": F.regexp_extract_all(low, F.lit(_LINE), F.lit(2))} if attributes else {}
-    if accessories:
-        taken |= {"__fk": F.regexp_extract_all(low, F.lit(_FLAG), F.lit(1)), "__fv": F.regexp_extract_all(low, F.lit(_FLAG), F.lit(2))}
-    df = df.withColumns(taken)
-    first = lambda keys, values, label: F.get(values, (F.array_position(keys, label) - 1).cast("int"))
+    df = df.withColumn("__lines", F.regexp_extract_all(F.lower(F.col(text)), F.lit(_LINE), F.lit(1)))
+    white = F.lit(_WHITE)
+    label = F.transform("__lines", lambda x: F.btrim(F.substring_index(x, ":", 1), white))
+    said = F.transform("__lines", lambda x: F.ltrim(F.substring(x, F.locate(":", x) + 1, F.length(x)), white))
+    df = df.withColumns({"__k": label, "__v": said})
+    first = lambda keys, values, key: F.get(values, (F.array_position(keys, key) - 1).cast("int"))
     raws = {f"__raw_{a}": strip(first("__k", "__v", PERSON[a][0].lower())) for a in attributes}
-    flags = {a: F.coalesce(first("__fk", "__fv", a).cast("int"), F.lit(0)) for a in accessories}
+    if accessories:  # of a flag's lines the first that says 0 or 1
+        df = df.withColumn("__f", F.filter(F.zip_with("__k", "__v", lambda k, v: F.concat(k, F.lit(":"), F.left(v, F.lit(1)))), lambda f: f.endswith(":0") | f.endswith(":1")))
+    worn = lambda a: F.array_position("__f", f"{a}:1")
+    bare = lambda a: F.array_position("__f", f"{a}:0")
+    flags = {a: F.when((worn(a) > 0) & ((bare(a) == 0) | (worn(a) < bare(a))), 1).otherwise(0) for a in accessories}
     df = df.withColumns(raws | flags)
     df = df.withColumns({a: PERSON[a][1](F.col(f"__raw_{a}")) for a in attributes})
     return df.select(*[c for c in kept if c not in {*attributes, *accessories}], *attributes, *accessories)
