@@ -100,3 +100,52 @@ def test_ties_between_languages_go_to_the_first(spark):
     model = language_id.train(df)
     row = language_id.predict(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), model).first()
     assert row["lang_pred"] == "a" and row["score"] == pytest.approx(0.5)
+
+
+ROWS = [(1, "the mit license applies here and permission is hereby granted", "en"), (2, None, "en"), (None, "password = abcdefghijklmnop", "en"), (4, "", None), (5, "one two three four five six seven eight nine ten eleven", "fr")]
+
+
+@pytest.fixture(scope="module")
+def doubled(spark):
+    return spark.createDataFrame(ROWS * 2, "doc_id long, text string, lang string").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def operators(spark, tiny):
+    """Operators that judge each row by itself, by name."""
+    from prismara.llm import queries, secret_scan
+    from prismara.llm.decontaminate import contamination
+    from prismara.llm.fill_middle import fill_middle
+    from prismara.llm.license_scan import scan_licenses
+    from prismara.llm.quality_rules import judge_quality
+
+    benchmark = spark.createDataFrame([("i", "one two three four five six seven eight nine ten"), ("i", "one two three four five six seven eight nine ten"), (None, "x"), ("j", None)], "item_id string, text string")
+    return {
+        "licenses": scan_licenses,
+        "secrets": secret_scan.scan_secrets,
+        "boost": lambda df: quality_boost.score_quality(df, quality_boost.train(df, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int"))),
+        "rules": lambda df: judge_quality(df, keep=("doc_id", "text")),
+        "contamination": lambda df: contamination(df, benchmark),
+        "language": lambda df: language_id.predict(df, language_id.train(df)),
+        "middle": fill_middle,
+        "mix": lambda df: mix_sources(df.withColumn("source", F.lit("s"))).drop("taken"),
+        "shards": lambda df: ring_shards(df, n_shards=2).drop("shard", "slot"),
+    }
+
+
+@pytest.mark.parametrize("name", ["licenses", "secrets", "boost", "rules", "contamination", "language", "middle", "mix", "shards"])
+def test_repeated_rows_and_null_ids_fare_alike(doubled, operators, name):
+    """Both copies of a row are there with equal results, and so is the row without an id."""
+    found = Counter(repr(r.asDict(recursive=True)) for r in operators[name](doubled).collect())
+    assert len(found) == len(ROWS) and set(found.values()) == {2}
+
+
+def test_long_urls_are_judged_and_not_learned_from(spark, monkeypatch):
+    from prismara.llm import url_filter
+
+    rows = [(f"http://h{k}.example.com/{'x' * 5}", False, k % 2) for k in range(40)] + [(f"http://casino{k}.example.com/win", True, k % 2) for k in range(40)] + [("http://long.example.com/" + "y" * 100_000, False, 0)]
+    seen = []
+    real = url_filter._best_cut
+    monkeypatch.setattr(url_filter, "_best_cut", lambda margin, rejected, times: (seen.append(len(margin)), real(margin, rejected, times))[1])
+    url_filter.train(spark.createDataFrame(rows, "url string, rejected boolean, fold int"))
+    assert seen == [80]
