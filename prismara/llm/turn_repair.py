@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, spread_join
+from .common import discard, materialise
 
 Element = tuple[int, str] | None
 Matrix = tuple[tuple[Element, ...], ...]
@@ -45,6 +45,7 @@ PACKED = T.StructType([
 ])
 PRODUCT = "conv string, at long, costs array<long>, audits array<string>"
 DECIDED = "conv string, position long, edit string, new_role string, role string, digest binary"
+ROWS = "roles array<string>, digests array<binary>, copies array<bigint>"
 SUMMARY = "conv string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
@@ -186,14 +187,14 @@ def _summed(parts: list[dict]) -> tuple[int, ...]:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SUMMARY of conversations, each with its chunks' counts and the product of their matrices."""
-    names = [x.split()[0] for x in SUMMARY.split(", ")]
+    """SUMMARY of conversations, each with its chunks' counts and the product of their matrices; of those in one chunk the rows go on with it."""
+    names, rest = [x.split()[0] for x in SUMMARY.split(", ")], [x.split()[0] for x in ROWS.split(", ")]
     for rows in batches:
         out = []
-        for r in rows.to_pylist():
+        for r in rows.select(["conv", "parts", "costs", "audits"]).to_pylist():
             cost, audit = best(_square(r["costs"], r["audits"]))
             out.append((r["conv"], *_summed(r["parts"]), cost, audit))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i in (0, 7) else pa.int64()) for i in range(8)], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], pa.string() if i in (0, 7) else pa.int64()) for i in range(8)), *(rows.column(rows.schema.get_field_index(c)) for c in rest)], [*names, *rest])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +261,14 @@ def repair_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     order = [F.col("turn").isNotNull(), F.col("turn")]
     place = F.struct(order[0].alias("known"), order[1].alias("turn"))
     seen = counted.groupBy("conv", "role", "digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    judged = spread_join(counted, seen, ["conv", "role", "digest"], "turn", "left")
+    judged = counted.join(seen, ["conv", "role", "digest"], "left")  # one row of ``seen`` a key; a hot key's turns are what AQE splits
     again = (F.col("fault").isNull() | (F.col("fault") != "blank")) & (place > F.col("first"))
     judged = judged.select("conv", "turn", "role", "digest", "copies", F.when(again, "duplicate").otherwise(F.col("fault")).alias("fault"))
+    judged = materialise(judged)  # the ranges' bounds are drawn from it first
     keys = [F.col("conv"), *order, F.col("role"), F.col("digest")]
     packed = materialise(judged.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: _pack(b, chunk), PACKED))
     discard(counted)
+    discard(judged)
     return _assembled(packed, named)
 
 
@@ -277,25 +280,23 @@ def _assembled(packed: DataFrame, named: DataFrame) -> Repair:
     before = F.aggregate(F.filter("tasks", lambda t: t["pid"] < F.col("pid")), F.lit(0).cast("long"), lambda s, t: s + t["n"])
     first = F.filter("tasks", lambda t: t["pid"] == F.col("pid"))[0]["low"]
     counts = F.struct("first_turn", "last_turn", "turns", "start", "end", "blank", "duplicate", "truncated", "illegal")
-    if longest == 1:
-        whole = packed.select("conv", F.array(counts).alias("parts"), "costs", "audits")
-    else:
+    rows = ["roles", "digests", "copies"]
+    opened = (F.pmod(F.length(F.translate("audit", "D", "")), F.lit(2)) == 1).alias("opened")
+    alone = packed if longest == 1 else packed.join(by_task.select("conv"), "conv", "left_anti")
+    whole = alone.select("conv", F.array(counts).alias("parts"), "costs", "audits", *rows)
+    if longest > 1:
         numbered = packed.join(by_task, "conv").select("conv", (before + F.col("no") - first).alias("at"), "pid", "no", "costs", "audits", "copies", counts.alias("part"))
         products = _reduced(numbered.select("conv", "at", "costs", "audits"), longest)
         listed = numbered.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p")).select("conv", F.transform("p", lambda x: x["part"]).alias("parts"))
-        alone = packed.join(by_task.select("conv"), "conv", "left_anti").select("conv", F.array(counts).alias("parts"), "costs", "audits")
-        whole = alone.unionByName(listed.join(products, "conv").select("conv", "parts", "costs", "audits"))
-    summary = materialise(whole.mapInArrow(_whole, SUMMARY))
-    n = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c)
-    opened = F.pmod(F.length(F.translate("audit", "D", "")), F.lit(2)) == 1
-    audits = summary.select("conv", "audit")
-    if longest == 1:
-        cut = packed.join(audits, "conv").select("conv", "roles", "digests", "copies", F.col("audit").alias("edits"), F.lit(0).cast("long").alias("kept"), opened.alias("opened"))
-    else:
+        none = [F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in rows]
+        whole = whole.unionByName(listed.join(products, "conv").select("conv", "parts", "costs", "audits", *none))
+    summary = materialise(whole.mapInArrow(_whole, f"{SUMMARY}, {ROWS}"))
+    cut = summary.where("roles IS NOT NULL").select("conv", *rows, F.col("audit").alias("edits"), F.lit(0).cast("long").alias("kept"), opened)
+    if longest > 1:
+        n = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c)
         places = numbered.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "pid", "no", n.alias("n")))).alias("places"))
-        parts = places.join(audits, "conv").select("places", "audit").mapInArrow(_cut, "pid int, no int, edits string, kept long, opened boolean")
-        single = packed.join(by_task.select("conv"), "conv", "left_anti").join(audits, "conv").select("pid", "no", F.col("audit").alias("edits"), F.lit(0).cast("long").alias("kept"), opened.alias("opened"))
-        cut = packed.join(parts.unionByName(single), ["pid", "no"]).select("conv", "roles", "digests", "copies", "edits", "kept", "opened")
+        parts = places.join(summary.select("conv", "audit"), "conv").select("places", "audit").mapInArrow(_cut, "pid int, no int, edits string, kept long, opened boolean")
+        cut = cut.unionByName(packed.join(parts, ["pid", "no"]).select("conv", *rows, "edits", "kept", "opened"))
     decided = materialise(cut.mapInArrow(_decide, DECIDED))
     texts = named.groupBy("conv", "role", "digest").agg(F.first("text").alias("text"))
     kept = decided.where("edit <> 'I'").join(texts, ["conv", "role", "digest"])
