@@ -1,7 +1,6 @@
 """Operators on small fixtures, those without an oracle against a plain Python version."""
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from prismara.functions import geometry as G
