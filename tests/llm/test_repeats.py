@@ -113,7 +113,7 @@ def doubled(spark):
 @pytest.fixture(scope="module")
 def operators(spark, tiny):
     """Operators that judge each row by itself, by name."""
-    from prismara.llm import queries, secret_scan
+    from prismara.llm import secret_scan
     from prismara.llm.decontaminate import contamination
     from prismara.llm.fill_middle import fill_middle
     from prismara.llm.license_scan import scan_licenses
