@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered_copies, row_hash, word_count
+from .common import checkpointed, numbered_copies, word_count
 
 GOLDEN = 0.6180339887498949  # fixed value: the golden ratio's fractional part
 CELLS = 4096
@@ -97,16 +97,16 @@ def source_schedule(targets: DataFrame, slots: int, most: float = 2.0) -> DataFr
     return ranked.select("slot", "source", "rank", F.pmod(F.col("rank"), F.col("blocks")).alias("block"))
 
 
-def lay_out(rows: DataFrame, targets: DataFrame, n_rows: int, seed: int) -> DataFrame:
+def lay_out(rows: DataFrame, targets: DataFrame, n_rows: int, seed: int, content: str = "size") -> DataFrame:
     """Adds ``__from``, the words before the document in its source's shuffled order, and the source's ``__length``, ``__size`` and ``__target``.
 
     Running sums inside buckets of a few thousand rows, plus the sums of earlier buckets: a source
-    that holds a third of all rows is spread like the rest, and is joined by bucket, never as a whole. The order is by a hash of the
-    whole row and of its number among its copies, so it is the same whatever the partitions, and rows of one id are spread as well.
+    that holds a third of all rows is spread like the rest, and is joined by bucket, never as a whole. The order is by a hash of
+    id, source and ``content`` and of the row's number among its copies, so it is the same whatever the partitions, and rows of one id are spread as well.
     """
     buckets = max(1, math.ceil(n_rows / ROWS_PER_BUCKET))
-    rows = numbered_copies(rows.withColumn("__same", row_hash(rows)), "__same", "__copy")
-    rows = rows.withColumn("__draw", F.xxhash64(F.col("__id").cast("string"), F.lit(seed), "__same", "__copy"))
+    rows = numbered_copies(rows.withColumn("__same", F.xxhash64(F.col("__id").cast("string"), F.col("__source").cast("string"), content)), "__same", "__copy")
+    rows = rows.withColumn("__draw", F.xxhash64("__same", "__copy", F.lit(seed)))
     rows = rows.withColumn("__bucket", F.pmod("__draw", F.lit(buckets)))
     per = rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("__words"))
     base = per.withColumn("__base", F.sum("__words").over(W.partitionBy("__source").orderBy("__bucket")) - F.col("__words"))
@@ -128,7 +128,7 @@ def _prepared(docs: DataFrame, weights: Sequence[float], share: float, most: flo
     block = max(1, math.ceil(share * (total or 0) / slots))
     targets = checkpointed(cut_blocks(targets, block))
     asked = targets.agg(F.sum("slots")).first()[0] or 0
-    return lay_out(rows, targets, n or 0, seed), targets, source_schedule(targets, max(1, math.ceil(asked)), most)
+    return lay_out(rows, targets, n or 0, seed, text_col), targets, source_schedule(targets, max(1, math.ceil(asked)), most)
 
 
 def mixed_pieces(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, slots: int = 1 << 17, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
