@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rounding as R
 from ..functions import textparse as T
 from . import ranks
 
@@ -38,7 +39,7 @@ def score_statistics(df: DataFrame, keys: Sequence[str], score: str, digits: int
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     out = rest.join(middle, same, "left")
-    return out.select(*keys, "n", *[F.round(c, digits).alias(c) for c in ("mean", "median", "low", "high", "spread")])
+    return out.select(*keys, "n", *[R.scaled_round(c, digits).alias(c) for c in ("mean", "median", "low", "high", "spread")])
 
 
 def first_mode(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
@@ -55,7 +56,7 @@ def analysis_status(persons: Column, valid: Sequence[Column]) -> tuple[Column, C
     for n in valid:
         missing = missing + F.greatest(F.lit(0), persons - n)
     expected = persons * len(valid)
-    rate = F.when(expected > 0, F.round(missing / expected, 3)).otherwise(0.0)
+    rate = F.when(expected > 0, R.scaled_round(missing / expected, 3)).otherwise(0.0)
     status = F.when(expected == 0, "ok").when(missing / F.greatest(expected, F.lit(1)) >= FAILED_RATE, "failed").when(missing > 0, "partial").otherwise("ok")
     return rate, status
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rounding as R
 from ..functions import textparse as T
 from ..operators import aggregates as A
 from ..operators import joins, ranks, select
@@ -97,13 +98,13 @@ def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 def batch_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with results of the analysed ones, the rest null."""
     o = VR.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    res = VR.table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("persons"), F.round(F.avg("l_quantity"), 1).alias("mean_score"))
+    res = VR.table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("persons"), R.scaled_round(F.avg("l_quantity"), 1).alias("mean_score"))
     return o.join(res, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
 
 def long_last_order(spark: SparkSession, sf: str) -> DataFrame:
     """Processing place and chunk of the media: short ones in order, long ones by duration at the end."""
-    m = VR.table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 5000, 3).alias("duration"), (F.col("o_orderkey") % 10).alias("lane"))
+    m = VR.table(spark, sf, "orders").select("o_orderkey", R.scaled_round(F.col("o_totalprice") / 5000, 3).alias("duration"), (F.col("o_orderkey") % 10).alias("lane"))
     order = {f"by{i}": c for i, c in enumerate(media.long_last(m, "duration", "o_orderkey"))}
     m = ranks.before(m.withColumns(order), ["lane"], [*order, "o_orderkey"], "before")
     place = (F.col("before") + 1).cast("int")
@@ -168,8 +169,8 @@ SELECT user_id, coalesce(max(v) FILTER (WHERE n = 1), 'NA') AS mode FROM (SELECT
 def agreement_metrics(spark: SparkSession, sf: str) -> DataFrame:
     both = VR.table(spark, sf, "labels").join(VR.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("guess", (F.col("n_chars") > 400).cast("int"))
     k = A.kappa(both, "quality", "guess")
-    stats = both.agg(F.round(F.corr("quality", "guess"), 6).alias("pearson"), F.round(F.avg(F.abs(F.col("quality") - F.col("guess"))), 6).alias("mae"))
-    return k.crossJoin(stats).select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"), "pearson", "mae")  # one row each
+    stats = both.agg(R.scaled_round(F.corr("quality", "guess"), 6).alias("pearson"), R.scaled_round(F.avg(F.abs(F.col("quality") - F.col("guess"))), 6).alias("mae"))
+    return k.crossJoin(stats).select("n", R.scaled_round("agreement", 6).alias("agreement"), R.scaled_round("kappa", 6).alias("kappa"), "pearson", "mae")  # one row each
 
 
 O_AGREE = """
@@ -183,7 +184,7 @@ def spearman(spark: SparkSession, sf: str) -> DataFrame:
     c = VR.table(spark, sf, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 100))
     r = ranks.average_rank(c.select("c_mktsegment", "b", "c_nationkey"), ["c_mktsegment"], "b", "x")
     r = ranks.average_rank(r, ["c_mktsegment"], "c_nationkey", "y")
-    return r.groupBy("c_mktsegment").agg(F.round(F.corr("x", "y"), 6).alias("rho"))
+    return r.groupBy("c_mktsegment").agg(R.scaled_round(F.corr("x", "y"), 6).alias("rho"))
 
 
 _RANK = "rank() OVER (PARTITION BY c_mktsegment ORDER BY {x}) + (count(*) OVER (PARTITION BY c_mktsegment, {x}) - 1) / 2.0"
@@ -194,7 +195,7 @@ O_SPEARMAN = f"SELECT c_mktsegment, round(corr(x, y), 6) AS rho FROM (SELECT c_m
 
 def score_upsert(spark: SparkSession, sf: str) -> DataFrame:
     o = VR.table(spark, sf, "orders")
-    master = o.select(F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".0").otherwise("")).alias("img"), F.when(F.col("o_orderkey") % 4 == 0, F.round(F.col("o_totalprice") / 100_000, 2)).alias("score"))
+    master = o.select(F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".0").otherwise("")).alias("img"), F.when(F.col("o_orderkey") % 4 == 0, R.scaled_round(F.col("o_totalprice") / 100_000, 2)).alias("score"))
     master = master.withColumn("img", T.normal_id(F.col("img")))
     new = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("img"), F.when(F.col("o_orderkey") % 6 == 0, 9.5).alias("score"))
     return results.upsert(master, new, ["img"], ["score"])
@@ -295,7 +296,7 @@ def castable_means(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of the answers' scores that are numbers, to one decimal, a media; null where none is."""
     a = VR.answers(spark, sf, "score_raw")
     x = F.col("score_raw").try_cast("double")
-    return a.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("answers"), F.count(x).alias("scores"), F.round(F.avg(x), 1).alias("mean_score"))
+    return a.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("answers"), F.count(x).alias("scores"), R.scaled_round(F.avg(x), 1).alias("mean_score"))
 
 
 O_CASTABLE = f"SELECT l_orderkey, count(*) AS answers, count(s) AS scores, round(avg(s), 1) AS mean_score FROM (SELECT l_orderkey, TRY_CAST({VR.SCORE} AS DOUBLE) AS s FROM lineitem) GROUP BY l_orderkey"
@@ -304,7 +305,7 @@ O_CASTABLE = f"SELECT l_orderkey, count(*) AS answers, count(s) AS scores, round
 def percentile_rescale(spark: SparkSession, sf: str) -> DataFrame:
     c = VR.table(spark, sf, "customer")
     ranked = ranks.percent_rank(c.select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal", "share")
-    return ranked.select("c_custkey", F.round(1 + 9 * F.col("share"), 6).alias("scaled"))
+    return ranked.select("c_custkey", R.scaled_round(1 + 9 * F.col("share"), 6).alias("scaled"))
 
 
 def decile_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,7 +327,7 @@ SELECT c_custkey, decile, CASE WHEN share < 0.8 THEN 'train' WHEN share < 0.9 TH
 
 def throughput_moving(spark: SparkSession, sf: str) -> DataFrame:
     o = VR.observations(spark, sf).withColumn("tokens", F.col("event_id") % 50).withColumn("seconds", 1 + F.col("event_id") % 7)
-    return A.moving_rate(o, "user_id", [F.col("frame")], "tokens", "seconds").select("user_id", "frame", F.round("rate", 6).alias("rate"))
+    return A.moving_rate(o, "user_id", [F.col("frame")], "tokens", "seconds").select("user_id", "frame", R.scaled_round("rate", 6).alias("rate"))
 
 
 O_MOVING = f"SELECT user_id, frame, round(sum(event_id % 50) OVER w / sum(1 + event_id % 7) OVER w, 6) AS rate FROM ({VR.OBS}) WINDOW w AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -342,7 +343,7 @@ O_FILL = f"SELECT user_id, frame, last_value(CASE WHEN event_id % 4 = 0 THEN eve
 
 def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     e = VR.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count(F.lit(1)).alias("n"), R.scaled_round(F.sum("value"), 4).alias("total"))
     return s.select("user_id", F.unix_timestamp(F.col("session_window.start").cast("timestamp")).alias("start_s"), "n", "total")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixels as PX
+from ..functions import rounding as R
 from ..operators import frames, panels
 from ..sources import containers
 from . import virtual as VR
@@ -97,7 +98,7 @@ def container_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Files of all kinds, one a line item: boxes of both size forms, chunks, elements, cut files and others."""
     files = VR.table(spark, sf, "lineitem").select(*VR.KEY, F.expr(f"unhex({CONTENT})").alias("content"))
     h = containers.header_of(F.col("content"))
-    return files.select(*VR.KEY, h.alias("h")).select(*VR.KEY, "h.container", "h.frames", "h.width", "h.height", F.round("h.duration_s", 6).alias("duration_s"))
+    return files.select(*VR.KEY, h.alias("h")).select(*VR.KEY, "h.container", "h.frames", "h.width", "h.height", R.scaled_round("h.duration_s", 6).alias("duration_s"))
 
 
 _LENGTH = "CAST(" + VR.cases("l_suppkey", [str(x) for x in LENGTHS]) + " AS DOUBLE)"
@@ -146,7 +147,7 @@ GREY = f"(l_partkey * (i % {CROP_W} + 1) + l_suppkey * (i * i % 7) + l_orderkey
 def face_sharpness(spark: SparkSession, sf: str) -> DataFrame:
     crop = f"unhex(array_join(transform(sequence(0L, {CROP_W * CROP_H - 1}L), i -> lpad(hex({GREY}), 2, '0')), ''))"
     rows = VR.table(spark, sf, "lineitem").select(*VR.KEY, F.expr(crop).alias("crop"))
-    return rows.select(*VR.KEY, F.round(PX.sharpness(F.col("crop"), F.lit(CROP_W), F.lit(CROP_H)), 6).alias("sharpness"))
+    return rows.select(*VR.KEY, R.scaled_round(PX.sharpness(F.col("crop"), F.lit(CROP_W), F.lit(CROP_H)), 6).alias("sharpness"))
 
 
 def _mirrored(x: str, size: int) -> str:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rounding as R
 from ..functions import textparse as T
 from ..functions import vocab as V
 from ..inference import PLACE_ONLY, PROMPT_SETS, WITH_DISTANCE, scene_prompt
@@ -141,7 +142,7 @@ O_SCENES = f"SELECT media || '.' || frame AS scene, 't_' || ord AS track, CASE W
 def person_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes of the person class, confident enough, as a detector's thresholds leave them."""
     d = VR.detections(spark, sf).withColumn("cls", F.col("l_partkey") % 3)
-    return select.confident_persons(d, "cls", "conf", 0.93).select("media", "frame", "l_partkey", "l_suppkey", F.round("conf", 6).alias("conf"))
+    return select.confident_persons(d, "cls", "conf", 0.93).select("media", "frame", "l_partkey", "l_suppkey", R.scaled_round("conf", 6).alias("conf"))
 
 
 O_PERSONS = f"SELECT media, frame, l_partkey, l_suppkey, round(conf, 6) AS conf FROM ({VR.DET}) WHERE l_partkey % 3 = 0 AND conf >= 0.93"
@@ -301,7 +302,7 @@ def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
 def streamed_best(spark: SparkSession, sf: str) -> DataFrame:
     """The running best value of each user's events, of equal ones the first."""
     best = jobs.best_so_far(_events(spark, sf), ["user_id"], F.col("value"), "event_id")
-    return _streamed(spark, best, "best").select("user_id", F.round("score", 6).alias("score"), F.col("at").alias("event_id"))
+    return _streamed(spark, best, "best").select("user_id", R.scaled_round("score", 6).alias("score"), F.col("at").alias("event_id"))
 
 
 def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,7 +325,7 @@ def streamed_slots(spark: SparkSession, sf: str) -> DataFrame:
     with jobs.rocks_state(spark):
         jobs.ingest(jobs.candidate_slots(frames), target, shared_path(spark, "slots-state"), ["track"], output="update").awaitTermination()
     slots = ledger.read_master(spark, target)
-    return slots.select("track", *[c for s in jobs.SLOTS for c in (F.round(s, 6).alias(s), f"{s}_frame")])
+    return slots.select("track", *[c for s in jobs.SLOTS for c in (R.scaled_round(s, 6).alias(s), f"{s}_frame")])
 
 
 def _o_slot(name: str, value: str) -> str:

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from prismara.functions.rounding import scaled_round
 from prismara.operators import joins, panels, ranks, spatial
+from prismara.plans import flows
 
 BOX = "media string, o long, x1 double, y1 double, x2 double, y2 double"
 
@@ -176,3 +178,16 @@ def test_medians(scores):
     rows, df = scores
     got = {r["seg"]: r["m"] for r in ranks.medians(df, ["seg"], "v", "m").collect()}
     assert got == {s: median(v for _, v in members if v is not None) for s, members in by_segment(rows).items() if any(v is not None for _, v in members)}
+
+
+def test_rounding_as_sql_engines_round_doubles(spark):
+    got = spark.createDataFrame([(1.005, 2), (2.675, 2), (0.285, 2), (2.5, 0), (-2.5, 0), (None, 2)], "x double, d int")
+    rows = got.select("d", scaled_round("x", 2).alias("two"), scaled_round("x", 0).alias("none")).collect()
+    assert [r["two"] for r in rows] == [1.0, 2.68, 0.28, 2.5, -2.5, None] and [r["none"] for r in rows] == [1.0, 3.0, 0.0, 3.0, -3.0, None]
+
+
+def test_media_in_order_with_durations_on_a_half(spark, tmp_path):
+    orders = spark.createDataFrame([(10, 320007.5), (20, 320005.0), (30, 1.0)], "o_orderkey long, o_totalprice double")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_orderkey"]: r["place"] for r in flows.long_last_order(spark, str(tmp_path)).collect()}
+    assert got == {30: 1, 10: 2, 20: 3}  # both long ones last 64.001 s, as 64.0015 * 1000 is below a half
