@@ -80,7 +80,7 @@ def name_counts(df: DataFrame, keys: Sequence[str], names: str, track: str) -> D
 
 def face_means(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """Faces of an image and the mean of their scores that are numbers, to 2 decimals, ``NA`` without any."""
-    mean = F.round(F.avg(F.col(score).try_cast("double")), 2)
+    mean = R.scaled_round(F.avg(F.col(score).try_cast("double")), 2)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_faces"), F.coalesce(mean.cast("string"), F.lit("NA")).alias("mean_score"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismara.functions.rounding import scaled_round
-from prismara.operators import joins, panels, ranks, spatial
+from prismara.operators import aggregates, joins, panels, ranks, spatial
 from prismara.plans import flows
 
 BOX = "media string, o long, x1 double, y1 double, x2 double, y2 double"
@@ -186,6 +186,12 @@ def test_rounding_as_sql_engines_round_doubles(spark):
     assert [r["two"] for r in rows] == [1.0, 2.68, 0.28, 2.5, -2.5, None] and [r["none"] for r in rows] == [1.0, 3.0, 0.0, 3.0, -3.0, None]
 
 
+def test_face_means_round_as_sql(spark):
+    faces = spark.createDataFrame([(1, str(1 + (i < 1))) for i in range(200)] + [(2, "none")], "u long, s string")
+    got = {r["u"]: r["mean_score"] for r in aggregates.face_means(faces, ["u"], "s").collect()}
+    assert got == {1: "1.0", 2: "NA"}  # 1.005, which is below a half in binary
+
+
 def test_media_in_order_with_durations_on_a_half(spark, tmp_path):
     orders = spark.createDataFrame([(10, 320007.5), (20, 320005.0), (30, 1.0)], "o_orderkey long, o_totalprice double")
     orders.write.parquet(str(tmp_path / "orders.parquet"))
