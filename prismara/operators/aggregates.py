@@ -84,6 +84,19 @@ def face_means(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_faces"), F.coalesce(mean.cast("string"), F.lit("NA")).alias("mean_score"))
 
 
+def means_in_order(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[str], digits: int) -> DataFrame:
+    """Answers, scores that are numbers and their mean, null without any, a row a key; the scores are added up by ``order``.
+
+    A sum of doubles in another order may differ in its last bit and put a mean on the other side of a half. The running sum is a window that
+    spills, so no key's scores are held in memory at once.
+    """
+    rows = df.select(*keys, *order, F.col(score).try_cast("double").alias("__x"))
+    so_far = F.sum("__x").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = rows.withColumn("__sum", so_far).groupBy(*keys)
+    out = out.agg(F.count(F.lit(1)).alias("answers"), F.count("__x").alias("scores"), F.max_by("__sum", F.struct(*order)).alias("__sum"))
+    return out.select(*keys, "answers", "scores", R.scaled_round(F.col("__sum") / F.nullif("scores", F.lit(0)), digits).alias("mean_score"))
+
+
 def most_common(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """Values that say something with their counts, the most common first, of equals the one seen first."""
     counts = df.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__f"))

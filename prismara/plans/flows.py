@@ -294,9 +294,8 @@ def score_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def castable_means(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of the answers' scores that are numbers, to one decimal, a media; null where none is."""
-    a = VR.answers(spark, sf, "score_raw")
-    x = F.col("score_raw").try_cast("double")
-    return a.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("answers"), F.count(x).alias("scores"), R.scaled_round(F.avg(x), 1).alias("mean_score"))
+    a = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "_metadata.file_name", "_metadata.row_index", F.expr(VR.TEXTS["score_raw"]).alias("score_raw"))
+    return A.means_in_order(a, ["l_orderkey"], "score_raw", ["file_name", "row_index"], 1)
 
 
 O_CASTABLE = f"SELECT l_orderkey, count(*) AS answers, count(s) AS scores, round(avg(s), 1) AS mean_score FROM (SELECT l_orderkey, TRY_CAST({VR.SCORE} AS DOUBLE) AS s FROM lineitem) GROUP BY l_orderkey"

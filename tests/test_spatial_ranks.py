@@ -192,6 +192,12 @@ def test_face_means_round_as_sql(spark):
     assert got == {1: "1.0", 2: "NA"}  # 1.005, which is below a half in binary
 
 
+def test_means_add_up_in_the_order_given(spark):
+    rows = [(k, at, s) for k, values in ((1, ["7.3", "15", "7.3", "15"]), (2, ["15", "15", "7.3", "7.3"])) for at, s in enumerate(values)] + [(3, 0, "N/A"), (2, 9, "8/10")]
+    got = aggregates.means_in_order(spark.createDataFrame(rows, "k long, at long, s string").repartition(5), ["k"], "s", ["at"], 1)
+    assert {tuple(r) for r in got.collect()} == {(1, 4, 4, 11.2), (2, 5, 4, 11.1), (3, 1, 0, None)}
+
+
 def test_media_in_order_with_durations_on_a_half(spark, tmp_path):
     orders = spark.createDataFrame([(10, 320007.5), (20, 320005.0), (30, 1.0)], "o_orderkey long, o_totalprice double")
     orders.write.parquet(str(tmp_path / "orders.parquet"))
