@@ -32,8 +32,15 @@ def confident_persons(boxes: DataFrame, cls: str, conf: str, least: float = DETE
 
 
 def demanding(persons: DataFrame, behaviour: str, demand_only: bool = False) -> DataFrame:
-    """Persons whose faces are scored: all of them, or those who make a demand."""
-    return persons.where(F.coalesce(F.col(behaviour), F.lit("")).startswith("demand")) if demand_only else persons
+    """Persons whose faces are scored: all of them, or those who make a demand.
+
+    The optimizer would put a parsed behaviour's whole expression into the filter and parse once more for each of its uses, so the choice is
+    a list of one row or none, which is made once and unnested.
+    """
+    if not demand_only:
+        return persons
+    chosen = F.filter(F.array(F.struct(*[F.col(f"`{c}`") for c in persons.columns])), lambda p: F.coalesce(p[behaviour], F.lit("")).startswith("demand"))
+    return persons.select(F.inline(chosen))
 
 
 def face_turns(obs: DataFrame, key: str, frame: str, points: str) -> DataFrame:

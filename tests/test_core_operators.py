@@ -98,3 +98,14 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     jobs.ingest(stream, target, str(tmp_path / "ck"), ["k"]).awaitTermination()
     jobs.ingest(stream, target, str(tmp_path / "ck"), ["k"]).awaitTermination()
     assert sorted(map(tuple, ledger.read_master(spark, target).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_demands_are_parsed_once(spark):
+    """A filter would hold the whole parser, once for each of its uses."""
+    from prismara.functions import textparse
+    from prismara.operators import select
+
+    rows = spark.createDataFrame([(1, "Behaviour: demand/submission"), (2, "Behaviour: offer/ideal"), (3, "x")], "k long, raw string")
+    found = select.demanding(textparse.person_attributes(rows, "raw", ["behaviour"], []), "behaviour", demand_only=True)
+    assert [r["k"] for r in found.collect()] == [1] and found.columns == ["k", "raw", "behaviour"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
