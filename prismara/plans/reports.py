@@ -310,7 +310,7 @@ def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
     c = VR.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("<"), "c_name", F.lit(f"> & {chr(10)} _x0041_"))).alias("remark"), (F.col("c_acctbal") > 0).alias("credit"))
     path = shared_path(spark, "book") + ".xlsx"
     workbook.write_workbook({"nations": VR.table(spark, sf, "nation"), "customers": c}, path)
-    return read_sheet(spark, path, "customers")
+    return read_sheet(spark, path, "customers", continued=True)
 
 
 O_WORKBOOK = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, CASE WHEN c_custkey % 7 <> 0 THEN '<' || c_name || '> & ' || chr(10) || ' _x0041_' END AS remark, CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END AS credit FROM customer"

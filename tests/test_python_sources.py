@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from prismara.operators import frames as scenes
 from prismara.sources import workbook
 from prismara.sources.frames import read_frames
-from prismara.sources.sheets import read_sheet
+from prismara.sources.sheets import read_sheet, stream_rows
 
 TEXTS = ["plain", "", None, "a & b < c > \"d\" 'e'", "  spaces ", "line\nbreak", "tab\tcr\r", "\x00\x1f control", "_x0041_ literal", "é🙂 ", "=1+1"]
 
@@ -105,3 +105,15 @@ def test_scene_cuts_from_a_file(spark, tmp_path):
     shots = read_frames(spark, str(tmp_path / "film.y4m"), 16)
     cuts = scenes.content_cuts(shots, "media", "frame", "pixels", threshold=27, block=8)
     assert sorted(map(tuple, cuts.collect())) == [("film", 20), ("film", 50)]
+
+
+def test_a_sheet_goes_on_in_the_next(tmp_path):
+    path, main = tmp_path / "long.xlsx", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(["other", "s", "s (2)"])) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(3)) + "</Relationships>")
+        for k, values in enumerate((["x", "9"], ["a", "1", "2"], ["a", "3"])):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f"<row><c><v>{v}</v></c></row>" for v in values) + "</sheetData></worksheet>")
+    assert list(stream_rows(str(path), "s", continued=True)) == [["a"], ["1"], ["2"], ["3"]]
+    assert list(stream_rows(str(path), "s")) == [["a"], ["1"], ["2"]] and list(stream_rows(str(path)))[1:] == [["9"]]
