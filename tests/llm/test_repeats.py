@@ -149,3 +149,20 @@ def test_long_urls_are_judged_and_not_learned_from(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "_best_cut", lambda margin, rejected, times: (seen.append(len(margin)), real(margin, rejected, times))[1])
     url_filter.train(spark.createDataFrame(rows, "url string, rejected boolean, fold int"))
     assert seen == [80]
+
+
+def test_url_models_learn_from_every_url(spark, monkeypatch):
+    """A small ``bound`` changes neither the models nor, but for a cell's width, the threshold; rare contexts go first where grams do not fit."""
+    import numpy as np
+
+    from prismara.llm import url_filter
+
+    rows = [(f"\x02{w}{k % 7}.example.com/{'ab' * (k % 5)}\x03", bad, k % 3) for bad, words in ((False, ["history", "garden", "music"]), (True, ["casino", "pills", "bets"])) for w in words for k in range(60)]
+    df = spark.createDataFrame(rows, "url string, rejected boolean, fold int")
+    whole, few = url_filter.train(df), url_filter.train(df, bound=5)
+    for a, b in zip(whole.accepted + whole.rejected, few.accepted + few.rejected, strict=True):
+        assert np.array_equal(a.key, b.key) and np.allclose(a.logp, b.logp) and np.array_equal(a.context, b.context)
+    assert abs(whole.threshold - few.threshold) <= 1 / url_filter.CELLS
+    small = url_filter.train(df, most_grams=700)
+    for a, b in zip(whole.accepted + whole.rejected, small.accepted + small.rejected, strict=True):
+        assert 0 < len(b.context) < len(a.context) and np.allclose(b.back, a.back[np.isin(a.context, b.context)])
