@@ -51,6 +51,8 @@ CLASS_OF = [*[0] * 10, *[1] * 6, *[2] * 20, *[3] * 6, *[4] * 20, *range(5, 11)]
 CLASS_SIZE = [CLASS_OF.count(k) for k in range(11)]
 #: Nats that each character beyond a format, or missing to its end, costs.
 OFF = 16.0
+#: Kinds with fewer examples have no automaton. Cells a unit of score, in which the thresholds' counts are taken.
+LEAST_EXAMPLES, CELLS = 10, 1024
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -144,12 +146,26 @@ def infer(kind: str, examples: list[str], alpha: float = 0.05) -> Automaton:
             state = to
             total[state] += times
         stop[state] += times
+    return merged(kind, step, stop, total, alpha)
+
+
+def merged(kind: str, step: list[dict[str, tuple[int, int]]], stop: list[int], total: list[int], alpha: float = 0.05) -> Automaton:
+    """Automaton of states that each have one depth, the start first; states of a depth are merged where compatible."""
     width = math.sqrt(0.5 * math.log(2 / alpha))
+    into = list(range(len(step)))
+
+    def now(state: int) -> int:
+        while into[state] != state:
+            into[state] = state = into[into[state]]
+        return state
 
     def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
             a, b = todo.pop()
+            if a == b or (a, b) in seen:
+                continue
+            seen.add((a, b))
             bound = width * (1 / math.sqrt(total[a]) + 1 / math.sqrt(total[b]))
             if bound >= 1:
                 continue  # nor can anything below tell them apart: there are fewer examples still
@@ -160,14 +176,17 @@ def infer(kind: str, examples: list[str], alpha: float = 0.05) -> Automaton:
                 if abs(na / total[a] - nb / total[b]) > bound:
                     return False
                 if na and nb:
-                    todo.append((ta, tb))
+                    todo.append((now(ta), now(tb)))
         return True
 
     def fold(a: int, b: int) -> None:
-        """State b and the tree below it go into a."""
+        """State b and what lies below it go into a."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(now, todo.pop())
+            if a == b:
+                continue
+            into[b] = a
             stop[a] += stop[b]
             total[a] += total[b]
             for c, (tb, nb) in step[b].items():
@@ -180,18 +199,20 @@ def infer(kind: str, examples: list[str], alpha: float = 0.05) -> Automaton:
 
     kept, states = [0], [0]
     while kept:
-        edges = sorted(((total[to], parent, c, to) for parent in kept for c, (to, _) in step[parent].items()), key=lambda e: (-e[0], e[1], e[2]))
+        edges = sorted(((total[now(to)], parent, c, to) for parent in kept for c, (to, _) in step[parent].items()), key=lambda e: (-e[0], e[1], e[2]))
         kept = []
-        for _, parent, c, child in edges:
+        for *_, child in edges:
+            child = now(child)
+            if child in kept:
+                continue
             same = next((r for r in kept if compatible(r, child)), None)
             if same is None:
                 kept.append(child)
             else:
-                step[parent][c] = (same, step[parent][c][1])
                 fold(same, child)
         states += kept
     place = {s: i for i, s in enumerate(states)}
-    return Automaton(kind, [{c: (place[t], n) for c, (t, n) in step[s].items()} for s in states], [stop[s] for s in states]).smoothed()
+    return Automaton(kind, [{c: (place[now(t)], n) for c, (t, n) in step[s].items()} for s in states], [stop[s] for s in states]).smoothed()
 
 
 def seeds() -> dict[str, list[str]]:
@@ -252,32 +273,48 @@ def plain_model(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(examples: dict[str, list[str]], pairs: np.ndarray, ordinary: list[str]) -> Formats:
-    """Automata of the labelled credentials and their thresholds.
-
-    Of each kind every fifth example is kept back. A threshold lies midway between the lowest score of
-    those but a twentieth and the highest of the ``ordinary`` candidates but a hundredth, or three,
-    which may be credentials that nobody has labelled; where these overlap, at the latter. It is 0 at
-    least: a credential must be likelier by its format than as text.
-    """
+    """Automata of the labelled credentials and their thresholds (``threshold``). Of each kind every fifth example is kept back."""
     formats = Formats([], plain_model(pairs))
     bad = sorted(set(ordinary))
     for kind, values in sorted(examples.items()):
-        values = sorted({v for v in values if v and all(c in PLACE for c in v)}, key=lambda v: (hash_of(v), v))
-        if len(values) < 10:
+        learned, held = parted(values)
+        if len(learned) + len(held) < LEAST_EXAMPLES:
             continue
-        held, learned = values[::5], [v for i, v in enumerate(values) if i % 5]
         automaton = infer(kind, learned)
         alone = Formats([automaton], formats.plain)
-        good = sorted(alone.gains(v)[0] for v in held)
-        worst = sorted(alone.gains(v)[0] for v in bad)
-        low = good[len(good) // 20]
-        aside = max(3, len(worst) // 100)
-        high = max(0.0, worst[-1 - aside]) if len(worst) > aside else 0.0
-        automaton.threshold = max(high, (low + high) / 2)
+        automaton.threshold = threshold(Counter(alone.gains(v)[0] for v in held), Counter(alone.gains(v)[0] for v in bad))
         formats.automata.append(automaton)
     return formats
 
 
+def parted(values: list[str]) -> tuple[list[str], list[str]]:
+    """The different values to learn from, and every fifth one, kept back."""
+    values = sorted({v for v in values if v and all(c in PLACE for c in v)}, key=lambda v: (hash_of(v), v))
+    return [v for i, v in enumerate(values) if i % 5], values[::5]
+
+
+def threshold(good: Counter[float], bad: Counter[float]) -> float:
+    """The cut between two classes' scores, given as (score: how many).
+
+    It lies midway between the lowest ``good`` score, that of credentials kept back, but a twentieth and the highest ``bad``
+    one, of ordinary candidates, but a hundredth, or three, which may be credentials that nobody has labelled; where these overlap, at the latter.
+    It is 0 at least: a credential must be likelier by its format than as text.
+    """
+
+    def ranked(scores: Counter[float], place: int, down: bool) -> float:
+        for score in sorted(scores, reverse=down):
+            place -= scores[score]
+            if place < 0:
+                return score
+        raise IndexError(place)
+
+    n_good, n_bad = good.total(), bad.total()
+    low = ranked(good, n_good // 20, False)
+    aside = max(3, n_bad // 100)
+    high = max(0.0, ranked(bad, aside, True)) if n_bad > aside else 0.0
+    return max(high, (low + high) / 2)
+
+
 def hash_of(s: str) -> int:
     """A fixed order that does not follow the alphabet."""
     return int.from_bytes(hashlib.sha256(s.encode()).digest()[:8], "big")
@@ -357,28 +394,107 @@ def text_sample(docs: DataFrame, text_col: str, bound: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < share).select(F.col(text_col).alias("text")).distinct()
 
 
-def learn(docs: DataFrame, text_col: str = "text", bound: int = 20_000, examples: int = 400, longest: int = 256) -> Formats:
-    """Fit on seeds by rule and on a bounded sample of ``docs``.
+def _path(value: str, frequent: frozenset[str], longest: int) -> list[str]:
+    """The states a value goes through: its prefixes while they are frequent, then depth and symbol."""
+    out, known = [""], True
+    for d in range(1, min(len(value), longest) + 1):
+        known = known and value[:d] in frequent
+        out.append(value[:d] if known else f"{d}:{value[d - 1]}")  # no value holds a colon
+    return out
 
-    The sample is about ``bound`` different texts, drawn by hash and read whole. Of it at most
-    ``examples`` values a kind, of up to ``longest`` characters, are labelled credentials, and at most
-    ten times as many candidates outside base spans are ordinary ones: those with the smallest hashes.
+
+def _edges(batches: Iterator[pa.RecordBatch], frequent: dict[str, frozenset[str]], longest: int) -> Iterator[pa.RecordBatch]:
+    """(kind, value) -> (kind, depth, state, symbol, to, n): how many values take each edge, or end, where ``to`` is null."""
+    for batch in batches:
+        found: Counter[tuple[str, int, str, str, str | None]] = Counter()
+        for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            path = _path(value, frequent[kind], longest)
+            found.update((kind, d, path[d], value[d], path[d + 1]) for d in range(len(path) - 1))
+            found[kind, len(path) - 1, path[-1], "" if len(value) <= longest else "on", None] += 1
+        rows = [{"kind": k, "depth": d, "state": a, "symbol": c, "to": b, "n": n} for (k, d, a, c, b), n in found.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("depth", pa.int32()), ("state", pa.string()), ("symbol", pa.string()), ("to", pa.string()), ("n", pa.int64())]))
+
+
+def _gains(batches: Iterator[pa.RecordBatch], formats: Formats) -> Iterator[pa.RecordBatch]:
+    """(kind, value) -> (kind, ordinary, cell, n): of credentials the score by their own automaton, of ordinary candidates by each one, in cells."""
+    for batch in batches:
+        found: Counter[tuple[str, bool, int]] = Counter()
+        for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            for a, gain in zip(formats.automata, formats.gains(value), strict=True):
+                if kind in ("ordinary", a.kind):
+                    found[a.kind, kind == "ordinary", round(gain * CELLS)] += 1
+        rows = [{"kind": k, "ordinary": o, "cell": c, "n": n} for (k, o, c), n in found.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("ordinary", pa.bool_()), ("cell", pa.int64()), ("n", pa.int64())]))
+
+
+def learned_automata(values: DataFrame, own: int, longest: int) -> list[Automaton]:
+    """An automaton of each kind of (kind, value), whose rows differ, from counts over all of them.
+
+    A prefix that one in ``own`` of its kind's values begin with is a state of its own; those below share a state
+    with others of their depth and last symbol, so that a depth has at most ``own`` states and one a symbol. With up to ``own`` values
+    this is their prefix tree. Of a value of more than ``longest`` characters the beginning counts, and no end.
     """
-    modest_batches(docs.sparkSession)
-    sample = text_sample(docs, text_col, bound)
-    found = materialise(sample.mapInArrow(_sample, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
-    draw = F.struct(F.xxhash64("value").alias("h"), F.col("value"))
+    totals = {r[0]: r[1] for r in values.groupBy("kind").agg(F.count(F.lit(1))).collect()}  # a row a kind
+    each = values.select("kind", F.expr(f"explode(transform(sequence(1, least({longest}, length(value))), d -> left(value, d)))").alias("prefix"))
+    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n / own)) for k, n in totals.items()], F.lit(math.inf))
+    common = each.groupBy("kind", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("kind", "prefix")
+    by_kind: dict[str, set[str]] = {k: set() for k in totals}
+    for kind, prefix in common.collect():  # at most ``own`` a kind and depth
+        by_kind[kind].add(prefix)
+    frequent = {k: frozenset(v) for k, v in by_kind.items()}
+    edges = values.select("kind", "value").mapInArrow(lambda b: _edges(b, frequent, longest), "kind string, depth int, state string, symbol string, to string, n long")
+    rows = edges.groupBy("kind", "depth", "state", "symbol", "to").agg(F.sum("n").alias("n")).collect()  # at most as many as states and symbols
+    out = []
+    for kind in sorted(totals):
+        place, step, stop, total = {(0, ""): 0}, [{}], [0], [0]
+        for _, depth, state, symbol, to, n in sorted((r for r in rows if r[0] == kind), key=lambda r: (r[1], r[2], r[3])):
+            at = place[depth, state]
+            total[at] += n
+            if to is None:
+                stop[at] += n if symbol == "" else 0
+                continue
+            if (depth + 1, to) not in place:
+                place[depth + 1, to] = len(step)
+                step.append({})
+                stop.append(0)
+                total.append(0)
+            step[at][symbol] = (place[depth + 1, to], n)
+        out.append(merged(kind, step, stop, total))
+    return out
 
-    def drawn(kind: str, most: int) -> list[str]:
-        fit_in = found.where((F.col("kind") == kind) & (F.length("value") <= longest))
-        return sorted(r[0] for r in fit_in.orderBy(draw).limit(most).select("value").collect())
 
-    labelled = seeds() | {k: v for k in ("assign", "access", "hex") if (v := drawn(k, examples))}
+def learn(docs: DataFrame, text_col: str = "text", bound: int | None = None, examples: int = 400, longest: int = 256) -> Formats:
+    """Fit on seeds by rule and on all of ``docs``, whose texts are read whole; on about ``bound`` different texts where that is asked for.
+
+    The different values of the base matches are labelled credentials, every fifth by hash kept back from the automata (``learned_automata``,
+    with ``examples`` as the states' share); all candidates outside base spans are ordinary ones. Thresholds come from the
+    scores of all of them, counted in cells ``1 / CELLS`` wide.
+    """
+    modest_batches(docs.sparkSession)
+    texts = docs.select(F.col(text_col).alias("text")) if bound is None else text_sample(docs, text_col, bound)
+    found = materialise(texts.mapInArrow(_sample, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     pairs = np.zeros((EDGE + 1, EDGE + 1))
     for value, times in found.where(F.col("kind") == "pair").select("value", "n").collect():  # pairs of symbols
         a, b = map(int, value.split(","))
         pairs[a, b] = times
-    formats = fit(labelled, pairs, drawn("ordinary", 10 * examples))
+    values = found.where(F.col("kind").isin("assign", "access", "hex"))
+    enough = [r[0] for r in values.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_EXAMPLES).collect()]
+    values = values.where(F.col("kind").isin(enough)).select("kind", "value")
+    held = F.pmod(F.xxhash64("value", F.lit("held")), F.lit(5)) == 0
+    seeded = {kind: parted(v) for kind, v in seeds().items()}
+    automata = [infer(kind, learned) for kind, (learned, _) in seeded.items()] + learned_automata(values.where(~held), examples, longest)
+    formats = Formats(sorted(automata, key=lambda a: a.kind), plain_model(pairs))
+    good, bad = ({a.kind: Counter() for a in automata} for _ in range(2))
+    shared = docs.sparkSession.sparkContext.broadcast(formats)
+    asked = values.where(held).unionByName(found.where(F.col("kind") == "ordinary").select("kind", "value"))
+    for kind, ordinary, cell, n in asked.mapInArrow(lambda b: _gains(b, shared.value), "kind string, ordinary boolean, cell long, n long").groupBy("kind", "ordinary", "cell").agg(F.sum("n")).collect():
+        (bad if ordinary else good)[kind][cell / CELLS] += n
+    for a in formats.automata:
+        for v in seeded[a.kind][1] if a.kind in seeded else ():
+            good[a.kind][Formats([a], formats.plain).gains(v)[0]] += 1
+    formats.automata = [a for a in formats.automata if good[a.kind]]
+    for a in formats.automata:
+        a.threshold = threshold(good[a.kind], bad[a.kind])
     discard(found)
     return formats
 

@@ -166,3 +166,28 @@ def test_url_models_learn_from_every_url(spark, monkeypatch):
     small = url_filter.train(df, most_grams=700)
     for a, b in zip(whole.accepted + whole.rejected, small.accepted + small.rejected, strict=True):
         assert 0 < len(b.context) < len(a.context) and np.allclose(b.back, a.back[np.isin(a.context, b.context)])
+
+
+def test_secret_formats_are_learned_from_every_text(spark):
+    """All values count in the automata and all candidates in the thresholds; shared states lose no path of a frequent prefix."""
+    import random
+
+    from prismara.llm import secret_scan
+
+    rng = random.Random(3)
+    values = [f"key{rng.choice('ab')}-" + "".join(rng.choice("0123456789") for _ in range(14)) for _ in range(3000)]
+    df = spark.createDataFrame([("assign", v) for v in sorted(set(values))] + [("hex", "0" * 300)], "kind string, value string")
+    long, learned = sorted(secret_scan.learned_automata(df, 40, 256), key=lambda a: a.kind != "hex")
+    assert sum(learned.stop) == len(set(values)) and all(learned.accepts(v) for v in values) and not any(learned.accepts(v[:-1]) for v in values[:50])
+    assert sum(long.stop) == 0 and len(long.step) == 257
+    tree = secret_scan.learned_automata(df.where("kind = 'assign'").limit(200), 400, 256)[0]
+    assert tree.step == secret_scan.infer("assign", [r["value"] for r in df.where("kind = 'assign'").limit(200).collect()]).step
+    seen = []
+    real = secret_scan.threshold
+    secret_scan.threshold = lambda good, bad: (seen.append((good.total(), bad.total())), real(good, bad))[1]
+    try:
+        texts = [(f"password = {v}",) for v in values] + [(f"a word like international{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100 % 10]}{'efghijklmn'[k // 1000]} here",) for k in range(6000)]
+        secret_scan.learn(spark.createDataFrame(texts, "text string"))
+    finally:
+        secret_scan.threshold = real
+    assert all(bad == 6000 for _, bad in seen) and max(good for good, _ in seen) > 500
