@@ -191,3 +191,18 @@ def test_secret_formats_are_learned_from_every_text(spark):
     finally:
         secret_scan.threshold = real
     assert all(bad == 6000 for _, bad in seen) and max(good for good, _ in seen) > 500
+
+
+def test_quality_counts_of_odd_white_space(spark):
+    """Words, lines and symbols of texts that begin, end or consist of every kind of white space, no-break spaces being part of words."""
+    import re
+
+    from prismara.llm.quality_rules import count_statistics
+
+    texts = ["", " ", "\n\n", "\t a\r\n a\x0b\n\x0c\n", "x" * 3 + "\n \n\n \n" + "x" * 3, "a b\n \n \n#*$%&|<> \\ ^ -", "  lead trail  \r", "  z"]
+    rows = count_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("x")), ("doc_id",)).collect()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
