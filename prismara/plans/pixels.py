@@ -14,6 +14,7 @@ from ..functions import pixels as PX
 from ..functions import rounding as R
 from ..operators import frames, panels
 from ..sources import containers
+from ..sources.tables import written
 from . import virtual as VR
 
 KEYS = ", ".join(VR.KEY)
@@ -177,14 +178,18 @@ LINES = {"votes": 30, "least": 20, "gap": 5, "margin": 6, "contrast": 30.0}
 def _pictures(spark: SparkSession, sf: str) -> DataFrame:
     shade = SHADE.replace("x <", f"i % {PIC_W} <").replace("(y *", f"(floor(i / {PIC_W}) *").replace("AND y >=", f"AND floor(i / {PIC_W}) >=")
     picture = f"unhex(array_join(transform(sequence(0L, {PIC_W * PIC_H - 1}L), i -> lpad(hex(CAST({shade} AS BIGINT)), 2, '0')), ''))"
-    return VR.table(spark, sf, "supplier").select("s_suppkey", F.expr(picture).alias("picture"))
+    # a few bytes a row become a picture, so however small the table is, all cores work on it
+    rows = VR.table(spark, sf, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism)
+    return rows.select("s_suppkey", F.expr(picture).alias("picture"))
 
 
 def _divided(spark: SparkSession, sf: str) -> DataFrame:
     size = (F.lit(PIC_W), F.lit(PIC_H))
-    pictures = _pictures(spark, sf)
-    points = pictures.select("s_suppkey", F.explode(PX.edge_points(F.col("picture"), *size, 60)).alias("p")).select("s_suppkey", "p.x", "p.y")
-    means = pictures.select("s_suppkey", PX.side_means(F.col("picture"), *size).alias("m")).select("s_suppkey", "m.across", "m.down")
+    # pictures are worked on once: edges and means are written, as both kinds of lines ask for them twice
+    seen = _pictures(spark, sf).select("s_suppkey", PX.edge_points(F.col("picture"), *size, 60).alias("edges"), PX.side_means(F.col("picture"), *size).alias("m"))
+    seen = written(seen, "pictures")
+    points = seen.select("s_suppkey", F.explode("edges").alias("p")).select("s_suppkey", "p.x", "p.y")
+    means = seen.select("s_suppkey", "m.across", "m.down")
     return panels.dividing_lines(points, means, "s_suppkey", PIC_W, PIC_H, **LINES)
 
 

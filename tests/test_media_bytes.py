@@ -174,3 +174,10 @@ def test_dividing_lines_of_a_collage(spark):
     assert panels.grid(cuts, "across", "down", w, h).count() == 4
     nothing = panels.dividing_lines(points.limit(0), means, "k", w, h)
     assert nothing.count() == 0
+
+
+def test_pictures_of_a_small_table_are_dealt_over_the_cores(spark, tiny):
+    """A few bytes a row become a picture: one row group must not be one task's work."""
+    from prismara.plans.pixels import _pictures
+
+    assert _pictures(spark, tiny).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
