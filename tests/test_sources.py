@@ -194,3 +194,25 @@ def test_single_and_joint_parsers_agree(spark):
 
 def test_small_tables_are_dealt_over_the_cores(spark, tiny):
     assert read_table(spark, tiny, "region").count() == 5
+
+
+def test_long_parsers_are_compiled(spark, tiny, capsys):
+    """A stage with a method beyond HotSpot's 8,000 bytes is not run as one, as the JVM would interpret it for every row."""
+    import re
+
+    from prismara.llm import common
+    from prismara.plans import catalog
+    from prismara.sources import tables
+
+    spark.conf.unset(tables.METHOD_LIMIT)
+    df = catalog.queries()["parse_score_cascade"](spark, tiny)
+    df.explain("codegen")
+    largest = max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
+    assert 8000 < largest, "the plan no longer shows what the limit is for"
+    assert int(spark.conf.get(tables.METHOD_LIMIT)) <= 8000
+    common.table(spark, tiny, "documents")
+    assert spark.conf.get(tables.METHOD_LIMIT, tables.SPARK_METHOD) == tables.SPARK_METHOD
+    spark.conf.set(tables.METHOD_LIMIT, "20000")
+    catalog.queries()["json_decoded"](spark, tiny)
+    assert spark.conf.get(tables.METHOD_LIMIT) == "20000"
+    spark.conf.unset(tables.METHOD_LIMIT)
