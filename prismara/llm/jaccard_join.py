@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernel import SPACED, Words, mix, slices
-from .common import SPACE_CLASS, discard, materialise, modest_batches, spread_join
+from .common import SPACE_CLASS, discard, give_back, materialise, modest_batches, spread_join
 from .components import connected_components
 
 MAP_BITS = 23
@@ -298,7 +298,7 @@ class JaccardJoin:
     def frequent_map(self) -> np.ndarray:
         """Bit map of MAP_BITS: the hash places of frequent tokens. Its size does not depend on the input."""
         k = self.k
-        counts = self.docs.select("text").mapInArrow(lambda b: _count(b, k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > self.frequent)
+        counts = self.docs.select("text").mapInArrow(lambda b: give_back(_count(b, k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > self.frequent)
         place = F.shiftrightunsigned("token", 64 - MAP_BITS)
         one = F.expr("shiftleft(1L, cast(place & 63 AS int))")
         words = counts.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
@@ -320,11 +320,11 @@ class JaccardJoin:
         """(id, n_shingles, component_id) of every row."""
         k, t = self.k, self.t
         frequent = self.spark.sparkContext.broadcast(self.frequent_map())
-        rows = materialise(self.docs.mapInArrow(lambda b: _keys(b, k, frequent.value), "id long, n long, key long, rare long, sketch binary"))
+        rows = materialise(self.docs.mapInArrow(lambda b: give_back(_keys(b, k, frequent.value)), "id long, n long, key long, rare long, sketch binary"))
         classes = materialise(rows.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("id"), F.max("rare").alias("rare"), F.max("sketch").alias("sketch")))
-        tokens = self.docs.select("text").mapInArrow(lambda b: _index(b, k, t, frequent.value), "token long, n long, key long, salt int")
+        tokens = self.docs.select("text").mapInArrow(lambda b: give_back(_index(b, k, t, frequent.value)), "token long, n long, key long, salt int")
         tokens = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key")
-        shared = materialise(tokens.mapInArrow(lambda b: _buckets(b, t), "token long, salt int, n long, key long"))
+        shared = materialise(tokens.mapInArrow(lambda b: give_back(_buckets(b, t)), "token long, salt int, n long, key long"))
 
         # each class in the buckets of its tokens' pivots, with what brought it there
         central = shared.groupBy("key", "n").agg(F.count(F.lit(1)).alias("w"))
@@ -392,7 +392,7 @@ class JaccardJoin:
                 keep = pa.array(_near(batch.column("n").to_numpy(), batch.column("pivot_n").to_numpy(), bits, t))
                 yield pa.RecordBatch.from_arrays([batch.column("a_id").filter(keep), batch.column("b_id").filter(keep), pa.array(bits).filter(keep)], ["a_id", "b_id", "bits"])
 
-        return pairs.select("a_id", "b_id", "n", "pivot_n", "a_sketch", "b_sketch").mapInArrow(far, "a_id long, b_id long, bits long")
+        return pairs.select("a_id", "b_id", "n", "pivot_n", "a_sketch", "b_sketch").mapInArrow(lambda b: give_back(far(b)), "a_id long, b_id long, bits long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
