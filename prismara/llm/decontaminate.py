@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytekernel import ALNUM, Words, slices, string_bytes
-from .common import modest_batches
+from .common import give_back, modest_batches
 
 SHINGLE = 3
 
@@ -179,13 +179,13 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, length: int = 10,
     extra = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     if blocks == 1:
         ask = _prepared(spark, thin, asked, length)
-        return rows.mapInArrow(lambda b: _match(b, ask.value, sparse=False), T.StructType([*plain, *extra]))
+        return rows.mapInArrow(lambda b: give_back(_match(b, ask.value, sparse=False)), T.StructType([*plain, *extra]))
     # several blocks: each row gets a number for joining the blocks' hits, which are few, to it again
     rows = rows.withColumn("__row", F.xxhash64(F.struct(*[c for c in docs.columns])))
     part = None
     for k in range(blocks):
         ask = _prepared(spark, thin, asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), length)
-        one = rows.select("__row", "__text").mapInArrow(lambda b, ask=ask: _match(b, ask.value, sparse=True), T.StructType([T.StructField("__row", T.LongType()), *extra]))
+        one = rows.select("__row", "__text").mapInArrow(lambda b, ask=ask: give_back(_match(b, ask.value, sparse=True)), T.StructType([T.StructField("__row", T.LongType()), *extra]))
         part = one if part is None else part.unionByName(one)
     merged = part.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_words")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     empty = F.array().cast("array<long>")
@@ -200,7 +200,7 @@ def _prepared(spark, thin: DataFrame, asked: DataFrame, length: int):
     counts: dict[int, int] = {}
     if len(ask.shingle):
         hashes, widths = np.unique(ask.shingle), sorted(set(ask.width.tolist()))
-        found = thin.mapInArrow(lambda b: _count_shingles(b, hashes, widths), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        found = thin.mapInArrow(lambda b: give_back(_count_shingles(b, hashes, widths)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         counts = {r[0]: r[1] for r in found.collect()}  # at most one row a shingle of the block
     return spark.sparkContext.broadcast(ask.use_prefix(counts))
 

@@ -156,3 +156,25 @@ def test_empty_tables_run_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_give_freed_memory_back():
+    """What a task freed below memory that is still in use does not stay with the worker for the tasks after it."""
+    import numpy as np
+
+    from prismara.llm.common import give_back
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def task():
+        many = [np.ones(1000) for _ in range(20_000)]
+        pins.append(np.ones(1000))
+        most.append(resident())
+        del many
+        yield 1
+
+    pins, most = [], []
+    assert list(give_back(task())) == [1]
+    assert resident() < most[0] - 100_000_000
