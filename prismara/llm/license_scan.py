@@ -15,8 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,6 +74,11 @@ def _lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def _words(text: Column) -> Column:
+    """A text's words in their order. It is split between them: an expression that finds each word costs several times that."""
+    return F.array_remove(F.split(_lowered(text), BETWEEN), "")
+
+
 def _maybe(text: Column, templates: list[Template]) -> Column:
     """True for every text that holds a key or base phrase: it contains the longest word of one, or several short ones in a row."""
     low, anchors, rows = F.lower(text), set(), set()
@@ -93,7 +97,7 @@ def _maybe(text: Column, templates: list[Template]) -> Column:
 
 def idf(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, float]:
     """Inverse document frequency of the template words over all documents; the vocabulary bounds the result."""
-    words = F.regexp_extract_all(_lowered(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    words = _words(F.coalesce(F.col(text_col), F.lit("")))
     found = docs.select(F.explode(F.array_intersect(words, _array(vocabulary))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in found.collect()}
     total = docs.count()
@@ -116,8 +120,8 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, leas
     weight = idf(docs, vocabulary, text_col)
     totals = [sum(weight[w] for w in t.words.split()) for t in templates]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("n_words", F.regexp_count(text, F.lit(RAW_WORD)).cast("long")).withColumn("__maybe", _maybe(text, templates))
-    rows = rows.withColumn("__w", F.when(F.col("__maybe"), F.regexp_extract_all(_lowered(text), F.lit(WORD), F.lit(0))))
+    rows = docs.withColumn("n_words", F.size(_words(text)).cast("long")).withColumn("__maybe", _maybe(text, templates))
+    rows = rows.withColumn("__w", F.when(F.col("__maybe"), _words(text)))
     spots = F.transform("__w", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     rows = rows.withColumn("__hits", F.filter(spots, lambda s: F.array_contains(_array(vocabulary), s["word"])))
 

@@ -767,3 +767,13 @@ def test_ring_moves_little():
 
 def test_shards_of_nothing(nothing):
     assert ring_shards(nothing).count() == 0
+
+
+def test_license_words_are_split_and_not_found_one_by_one(spark):
+    """Expressions that find each word took most of the scan's time; edges, white space alone and other scripts count as before."""
+    texts = ["", None, " ", "one", " -the MIT-License. ", "\n\x7fa\x80bé 中文,\U0001f600 K2K", "mit license" + " x" * 5000 + " Apache\tLICENSE"]
+    out = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+    found = [tuple(r) for r in out.orderBy("doc_id").select("n_words", "n_base", "first_word", "last_word").collect()]
+    assert found == [(0, 0, None, None), (0, 0, None, None), (0, 0, None, None), (1, 0, None, None), (3, 1, 1, 1), (4, 0, None, None), (5004, 2, 0, 5002)]
