@@ -54,3 +54,14 @@ def test_one_key_of_many_points_and_intervals(spark):
     best = joins.interval_first(points, intervals.select(F.col("__k").alias("k"), F.col("__s").alias("s"), F.col("__e").alias("e"), F.col("__v").alias("v"), F.col("__o").alias("o")), "k", "at", "s", "e", "v", "o", ["id"])
     wrong = best.join(points, "id").where("v IS NOT NULL AND NOT (at >= v * 70 AND at < v * 70 + 20 + v % 100)")
     assert wrong.count() == 0 and best.count() == 100_000
+
+
+def test_places_are_shuffled_into_tasks_of_bounded_size(spark, monkeypatch):
+    """A task's memory in gap_clusters does not follow from a fixed number of tasks."""
+    from prismara.plans import catalog
+    from prismara.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for name in ("gap_clusters", "gap_splits"):
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 100)
