@@ -11,6 +11,7 @@ from ..functions import textparse as T
 from ..operators import aggregates as A
 from ..operators import joins, ranks, select
 from ..sources import media, metadata, results
+from ..sources.tables import parts_of
 from . import virtual as VR
 
 # --- metadata chain ------------------------------------------------------------------------------
@@ -41,7 +42,8 @@ def _sources(spark: SparkSession, sf: str) -> list[DataFrame]:
 
 def metadata_chain(spark: SparkSession, sf: str) -> DataFrame:
     rows = metadata.chain(_sources(spark, sf), "ord")
-    stems = VR.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("stem"))
+    orders = VR.table(spark, sf, "orders")
+    stems = orders.select(F.col("o_orderkey").cast("string").alias("stem")).repartition(parts_of(spark.read.parquet(f"{sf}/orders.parquet")), "stem")
     return metadata.resolve(stems, rows)
 
 

@@ -50,8 +50,10 @@ def resolve(stems: DataFrame, rows: DataFrame) -> DataFrame:
     post = posts(rows).select(F.col("id").alias("p"), F.col("source_tag").alias("tag"))
     owner, url = members(rows)
     own_post = post.select(F.col("p").alias("op"), F.col("tag").alias("own_tag"))
+    # owners get their posts before the stems, which are many, come in: all of the stems' joins are by one key
+    owner = owner.join(own_post, F.col("owner") == F.col("op"), "left")
     out = stems.join(post, F.col("stem") == F.col("p"), "left").join(owner, F.col("stem") == F.col("member"), "left")
-    out = out.join(own_post, F.col("owner") == F.col("op"), "left").join(url, F.col("stem") == F.col("url_member"), "left")
+    out = out.join(url, F.col("stem") == F.col("url_member"), "left")
     source = F.when(F.col("p").isNotNull(), F.col("tag")).when(F.col("op").isNotNull(), F.concat("own_tag", F.lit("-album"))).when(F.col("owner").isNotNull(), "album-nometa").otherwise("none")
     return out.select("stem", F.coalesce("p", "owner").alias("post_id"), "url", source.alias("match_source"))
 

@@ -109,3 +109,14 @@ def test_demands_are_parsed_once(spark):
     found = select.demanding(textparse.person_attributes(rows, "raw", ["behaviour"], []), "behaviour", demand_only=True)
     assert [r["k"] for r in found.collect()] == [1] and found.columns == ["k", "raw", "behaviour"]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_stems_are_shuffled_once_into_tasks_of_bounded_size(spark, monkeypatch):
+    """A task's memory in the metadata chain does not follow from a fixed number of tasks."""
+    from prismara.plans import catalog
+    from prismara.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 20)
+    rows = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    for name in ("metadata_chain", "matched_media"):
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 20)
