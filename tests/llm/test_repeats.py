@@ -206,3 +206,19 @@ def test_quality_counts_of_odd_white_space(spark):
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+
+
+@pytest.mark.parametrize("most", [0, 700])
+def test_rare_contexts_count_in_margins_however_many(spark, most):
+    """What a broadcast model has no room for is added up in Spark: margins, threshold and verdicts are those of the whole models."""
+    from prismara.llm import url_filter
+
+    words = [(False, ["history", "garden", "music", "été\u0000x"]), (True, ["casino", "pills", "bets"])]
+    rows = [(f"http://{w}{k % 7}{'abc'[k % 3] * (k % 4)}.example.com/{'ab' * (k % 5)}{w[::-1]}", bad) for bad, ws in words for w in ws for k in range(60)]
+    labels = spark.createDataFrame(rows, "url string, rejected boolean")
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows[::3])] + [(k, None) for k in range(30)] + [(900, "http://new.org/" + "xyz" * 20_000)], "page_id long, url string")
+    whole, part = ({(r["page_id"], r["url"]): r for r in url_filter.filter_urls(pages, [], labels=labels, most_grams=n).collect()} for n in (1 << 18, most))
+    assert whole.keys() == part.keys() and pages.columns == ["page_id", "url"]
+    for key, row in whole.items():
+        assert part[key]["margin"] == pytest.approx(row["margin"], abs=1e-8) and part[key]["verdict"] == row["verdict"]
+    assert len({round(r["margin"], 6) for r in whole.values()}) > 50
