@@ -222,3 +222,23 @@ def test_rare_contexts_count_in_margins_however_many(spark, most):
     for key, row in whole.items():
         assert part[key]["margin"] == pytest.approx(row["margin"], abs=1e-8) and part[key]["verdict"] == row["verdict"]
     assert len({round(r["margin"], 6) for r in whole.values()}) > 50
+
+
+@pytest.mark.parametrize(("room", "hot"), [(960, language_id.MODEL_BYTES), (2160, 240), (1, 0)])
+def test_long_orders_count_in_languages_however_many(spark, monkeypatch, room, hot):
+    """Orders that a broadcast model has no room for are added up in Spark, whether a token is frequent or rare."""
+    known = [(t, "x") for t in TEXTS] + [("cadabra bad cab drab ab daba cabra " * 3, "y"), ("hadab abacab\tbrac, abba abra-cad", "y"), ("émile émilie " * 2, "z")]
+    df = spark.createDataFrame(known, "text string, lang string")
+    texts = [*TEXTS, "abra cad", "hadab bracad hadab", "émilie abba", "drab-cab'abba", "a" * 3000 + " cadabra", "abacabra" * 20, "ab", "1 2", "", None, "中文 abra"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id long, text string").repartition(3)
+    whole = language_id.train(df)
+    part = language_id.train(df, model_bytes=room)
+    assert whole.rest is None and part.whole < language_id.ORDER
+    expected, bare = ({r["doc_id"]: r for r in language_id.predict(rows, m).collect()} for m in (whole, language_id.replace(part, rest=None)))
+    monkeypatch.setattr(language_id, "MODEL_BYTES", hot)
+    found = language_id.predict(rows, part).collect()
+    assert len(found) == 2 * len(texts)
+    for r in found:
+        want = expected[r["doc_id"]]
+        assert r["lang_pred"] == want["lang_pred"] and r["cross_entropy"] == pytest.approx(want["cross_entropy"], abs=1e-5) and r["score"] == pytest.approx(want["score"], abs=1e-4)
+    assert any(abs(bare[k]["cross_entropy"] - expected[k]["cross_entropy"]) > 0.01 for k in bare)
