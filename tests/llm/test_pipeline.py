@@ -178,3 +178,21 @@ def test_workers_give_freed_memory_back():
     pins, most = [], []
     assert list(give_back(task())) == [1]
     assert resident() < most[0] - 100_000_000
+
+
+def test_language_stage_judges_by_long_orders_however_many(spark, monkeypatch):
+    """Letters of a known language in another order are rejected, also where only single characters have room in a broadcast model."""
+    import zlib
+
+    from prismara.llm import language_id
+
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    strange = next(k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2)
+    words = "the cat sat on that mat and a dog ate the hat near the oak tree".split()
+    rows = [(k, " ".join(words[(k + i * i) % len(words)] for i in range(30)), "en") for k in ids]
+    rows.append((strange, " ".join(w[::-1] for w in rows[0][1].split()), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda df, **_: train(df, model_bytes=1))
+    kept = P.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(ids)
